@@ -120,6 +120,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "fp", "text_sha256", F.col("top.doc_id").alias("keep_id"), F.col("top.row_id").alias("keep_row"),
         F.when((F.col("forms") == 1) & (F.col("verified") == F.col("group_size")), F.col("group_size")).otherwise(F.raise_error(F.lit("equal SHA-256 digests of different bytes"))).cast("long").alias("group_size"),
     )
+    # Written first, so that both sides of the last join are plain exchanges, whose hot keys Spark can split.
+    classes = cut(classes)
     alone = F.col("group_size").isNull()
     return thin.join(classes, ["fp", "text_sha256"], "left").select(
         "doc_id",
