@@ -228,7 +228,7 @@ def language_id(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_co
     return identify(bare, network, "doc_id", "text").select("doc_id", held_out, "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def known_language(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` whose language is determined with at least score ``least``; columns as they came."""
     network = fit(docs, id_col, text_col, lang_col)
     bare = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("_text"))
