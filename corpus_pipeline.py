@@ -17,7 +17,7 @@ from phylospark.shared import cut
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined; without a letter, or with a score below 0.5, they go."""
+    """Documents whose language is determined; without a letter, or with a score below 0.3, they go."""
     return langid.known_language(docs)
 
 
