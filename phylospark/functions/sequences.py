@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Standard genetic code. Amino acids of the codons in the order of BASES, first base slowest.
 BASES = "TCAG"
@@ -30,7 +31,7 @@ def translate_sequence(seq: str) -> str:
     return np.frombuffer((AMINO_ACIDS + "X").encode(), np.uint8)[number].tobytes().decode()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def translate(seqs: pd.Series) -> pd.Series:
     """Protein of each nucleotide sequence; null stays null."""
     return seqs.map(translate_sequence, na_action="ignore")
