@@ -33,14 +33,24 @@ from phylospark.shared import cut
 PLAIN = re.compile(r"[\t\n\v\f\r\x20-\x7eÀ-ɏ‐-‧]*")
 #: The pre-tokenizer's pattern for such texts. Fixed by the vocabulary.
 WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Words whose ids a task remembers, at most.
-REMEMBERED = 400_000
+#: Words whose ids a task remembers, at most (about 100 MB).
+REMEMBERED = 700_000
 #: Rows of a hash bucket, about.
 BUCKET_ROWS = 1_000_000
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter for which each byte stands in a byte-level vocabulary: printable ones themselves, others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class WordIds(dict):
-    """Word -> its ids as little-endian unsigned 32-bit numbers, filled from the tokenizer."""
+    """Word -> its ids as little-endian unsigned 32-bit numbers, filled from the tokenizer's model."""
 
     def __init__(self, tokenizer):
         super().__init__()
@@ -49,7 +59,8 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        letters = word.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+        ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
         self[word] = ids
         return ids
 
@@ -64,7 +75,7 @@ def open_tokenizer(path: str):
 
     def encode(text: str) -> bytes:
         if PLAIN.fullmatch(text) and not any(s in text for s in special):
-            return b"".join([known[w] for w in WORDS.findall(text)])
+            return b"".join(map(known.__getitem__, WORDS.findall(text)))
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     return encode
@@ -268,8 +279,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     """
     pieces = cut(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
     by_length = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = pd.DataFrame(pack_lengths(by_length, capacity, groups, small).rows(), columns=["length", "lo", "hi", "first", "copies", "offset"])
-    table = {int(k): tuple(g[c].to_numpy(np.int64) for c in ("lo", "first", "copies", "offset")) for k, g in plan.sort_values("lo").groupby("length")}
+    runs = np.array(sorted(pack_lengths(by_length, capacity, groups, small).rows()), np.int64).reshape(-1, 6)
+    widest = max(by_length.values(), default=0) + 1
+    keys, lo, first, copies, offset = runs[:, 0] * widest + runs[:, 1], runs[:, 1], runs[:, 3], runs[:, 4], runs[:, 5]
 
     buckets = max(64, sum(by_length.values()) // BUCKET_ROWS)
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
@@ -282,14 +294,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
 
     def place(frames):
         for b in frames:
-            b["sequence_id"] = b["offset"] = np.int64(0)
-            for length, rows in b.groupby("length").indices.items():
-                lo, first, copies, offset = table[int(length)]
-                rank = b["rank"].to_numpy(np.int64)[rows]
-                run = np.searchsorted(lo, rank, "right") - 1
-                rank = rank - lo[run]
-                b.loc[b.index[rows], "sequence_id"] = first[run] + rank // copies[run]
-                b.loc[b.index[rows], "offset"] = offset[run] + rank % copies[run] * int(length)
-            yield b.drop(columns="rank")
+            length, rank = b["length"].to_numpy(np.int64), b["rank"].to_numpy(np.int64)
+            run = np.searchsorted(keys, length * widest + rank, "right") - 1
+            rank = rank - lo[run]
+            yield b.drop(columns="rank").assign(sequence_id=first[run] + rank // copies[run], offset=offset[run] + rank % copies[run] * length)
 
     return ranked.mapInArrow(_with_ids(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
