@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phylospark.llm.sampling import least_hashes
+
 #: Bound of the training sample: documents, and characters of a window of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 320
 HIDDEN, CHUNK, ROWS = 8, 128, 1024
@@ -174,7 +176,7 @@ class ByteNetwork:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, sample_docs: int = SAMPLE_DOCS) -> ByteNetwork | None:
-    """Train on the ``sample_docs`` labelled documents of least hash whose crc32(id) mod ``folds`` is not 0.
+    """Train on about ``sample_docs`` labelled documents (at most twice as many) with crc32(id) mod ``folds`` other than 0.
 
     Of each a window of ``SAMPLE_CHARS`` characters at a place fixed by its hash
     is used. None if there is no labelled text with a letter.
@@ -183,8 +185,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     usable = F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.crc32(key) % folds != 0)
     room = F.greatest(F.char_length(text_col) - SAMPLE_CHARS, F.lit(0)) + 1
     window = F.substring(F.col(text_col), F.pmod(F.xxhash64(key, F.lit("window")), room).cast("int") + 1, F.lit(SAMPLE_CHARS))
-    drawn = docs.where(usable).select(F.xxhash64(key).alias("h"), F.col(lang_col).cast("string").alias("lang"), window.alias("text"))
-    rows = drawn.orderBy("h", "lang", "text").limit(sample_docs).collect()
+    labelled = docs.where(F.col(lang_col).isNotNull() & (F.crc32(key) % folds != 0)).count()
+    drawn = least_hashes(docs.where(usable).withColumn("_h", key), "_h", sample_docs, labelled)
+    rows = sorted(drawn.select(F.xxhash64(key).alias("h"), F.col(lang_col).cast("string").alias("lang"), window.alias("text")).collect())
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None

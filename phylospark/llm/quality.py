@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phylospark.llm.sampling import least_hashes
+
 #: Bound of the training sample: labelled documents, and characters of a window of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 6000
 PASSAGE, ROWS = 512, 1024
@@ -132,7 +134,7 @@ class AttentionModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held: int = 2, sample_docs: int = SAMPLE_DOCS) -> AttentionModel:
-    """Train on the ``sample_docs`` labels of least hash whose crc32(id) mod ``folds`` is not ``held``.
+    """Train on about ``sample_docs`` labels, at most twice as many, of least hash whose crc32(id) mod ``folds`` is not ``held``.
 
     Of each document a window of ``SAMPLE_CHARS`` characters at a place fixed by
     its hash is used. Without labels the model stays as it began.
@@ -140,13 +142,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     key = F.col("_id").cast("string")
     usable = F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (F.crc32(key) % folds != held)
     drawn = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(usable)
-    drawn = drawn.orderBy(F.xxhash64("_id"), "_y").limit(sample_docs).dropDuplicates(["_id"])
+    drawn = least_hashes(drawn, "_id", sample_docs, drawn.count()).groupBy("_id").agg(F.min("_y").alias("_y"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     room = F.greatest(F.char_length(text) - SAMPLE_CHARS, F.lit(0)) + 1
     window = F.substring(text, F.pmod(F.xxhash64(key, F.lit("window")), room).cast("int") + 1, F.lit(SAMPLE_CHARS))
-    # The sample has at most ``sample_docs`` rows, so its broadcast is bounded.
+    # The sample has at most 2 * ``sample_docs`` rows, so its broadcast is bounded.
     joined = docs.select(F.col(id_col).alias("_key"), F.col(text_col)).join(F.broadcast(drawn), F.col("_key") == F.col("_id"))
-    rows = sorted(joined.select("_id", "_y", window.alias("text")).limit(2 * sample_docs).collect())
+    rows = sorted(joined.select("_id", "_y", window.alias("text")).limit(4 * sample_docs).collect())
     model = AttentionModel()
     if rows:
         model.train([r["text"].encode("utf-8", "replace") for r in rows], np.array([r["_y"] for r in rows], np.float32))

@@ -24,10 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phylospark.llm.sampling import least_hashes
 from phylospark.shared import cut
 
 CELLS = 32
-#: Vectors in the sample from which cells are fitted; bounds hold for any cells.
+#: About how many vectors are in the sample from which cells are fitted; bounds hold for any cells.
 SAMPLE = 4096
 VECTORS_PER_BLOCK, QUERIES_PER_BLOCK = 4096, 512
 
@@ -117,7 +118,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, cells:
     classes = cut(vector_classes(scaled, keep))
     q_classes = cut(asked.select("dim", "packed").distinct().withColumn("q", F.monotonically_increasing_id()))
 
-    drawn = classes.select("packed").orderBy(F.xxhash64("packed")).limit(SAMPLE).collect()
+    drawn = least_hashes(classes.select("packed"), "packed", SAMPLE, classes.count()).collect()
     sample = np.frombuffer(b"".join(r["packed"] for r in drawn), "<i4")
 
     @F.pandas_udf("struct<lo: int, hi: int>")
