@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from phylospark.llm.sampling import least_hashes
 from phylospark.shared import cut
 
-CELLS = 32
+#: A component's cell is one byte, a quarter of the exact value; finer cells give tighter bounds.
+CELLS = 200
 #: About how many vectors are in the sample from which cells are fitted; bounds hold for any cells.
 SAMPLE = 4096
 VECTORS_PER_BLOCK, QUERIES_PER_BLOCK = 4096, 512
