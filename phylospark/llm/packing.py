@@ -19,6 +19,7 @@ documents of its length, counted by hash bucket and then added up.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -60,9 +61,9 @@ class WordIds(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         letters = word.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
-        ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
-        self[word] = ids
-        return ids
+        ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
+        self[word] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
 
 
 def open_tokenizer(path: str):
