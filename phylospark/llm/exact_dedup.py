@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phylospark.llm.sampling import packed
 from phylospark.shared import cut
 
 #: Deleted before comparison: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -141,11 +142,11 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = made.groupBy("doc_id", "fp").agg(F.max("kept").alias("any"), F.count(F.lit(1)).alias("n"))
     drop = cut(pairs.where("not any").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")))
     again = cut(pairs.where("any and n > 1").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")))
-    marked = docs.withColumns({"_mark": mark, "_key": F.col(id_col)})
-    on = [F.col("_key").eqNullSafe(F.col("_id")), F.col("_mark") == F.col("_fp")]
+    marked = packed(docs, key=F.col(id_col), mark=mark)
+    on = [F.col("key").eqNullSafe(F.col("_id")), F.col("mark") == F.col("_fp")]
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
     kept = marked.join(small(drop), on, "left_anti")
     if again.count():
-        twice = kept.join(small(again), on, "left_semi").dropDuplicates(["_key", "_mark"])
+        twice = kept.join(small(again), on, "left_semi").dropDuplicates(["key", "mark"])
         kept = kept.join(small(again), on, "left_anti").unionByName(twice)
-    return kept.drop("_mark", "_key")
+    return kept.select("row.*")

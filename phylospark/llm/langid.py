@@ -47,10 +47,12 @@ class ByteNetwork:
             "c": np.zeros(len(languages), np.float32),
         }
 
-    def states(self, chunks: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def states(self, chunks: np.ndarray, lengths: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States after every byte: forwards and backwards, each (positions, hidden, rows).
 
-        Rows are the last axis, so that the gates of all rows are one stretch of memory.
+        Rows are the last axis, so that the gates of all rows are one stretch of
+        memory. Reading backwards begins at a row's last byte; the padding behind
+        it leaves the state at zero.
         """
         rows, steps, w, h = len(chunks), chunks.shape[1], 2 * self.hidden, self.hidden
         # A logistic gate is (1 + tanh(x / 2)) / 2, so one tanh serves both gates.
@@ -59,6 +61,7 @@ class ByteNetwork:
         u = np.ascontiguousarray((self.p["u"] * half).T)
         cols = np.ascontiguousarray(chunks.T).astype(np.intp)
         state = np.zeros((w, rows), table.dtype)
+        shortest = int(lengths.min())
         fore, aft = np.empty((steps, h, rows), table.dtype), np.empty((steps, h, rows), table.dtype)
         x, y, gap = np.empty((3 * w, rows), table.dtype), np.empty((3 * w, rows), table.dtype), np.empty((w, rows), table.dtype)
         for t in range(steps):
@@ -81,6 +84,8 @@ class ByteNetwork:
             state -= new
             state *= gates[:w]
             state += new
+            if steps - 1 - t >= shortest:
+                state[h:] *= lengths > steps - 1 - t
             fore[t], aft[steps - 1 - t] = state[:h], state[h:]
         return fore, aft
 
@@ -99,7 +104,7 @@ class ByteNetwork:
         """Mean cross entropy of all positions and its gradients, by backpropagation through time."""
         rows, steps, w, h = len(chunks), chunks.shape[1], 2 * self.hidden, self.hidden
         keep: dict = {}
-        fore, aft = self.states(chunks, keep)
+        fore, aft = self.states(chunks, lengths, keep)
         prob = self.probabilities(fore, aft).transpose(0, 2, 1)
         fore, aft = fore.transpose(0, 2, 1), aft.transpose(0, 2, 1)
         real = (np.arange(steps)[:, None] < lengths).astype(np.float32)
@@ -121,6 +126,7 @@ class ByteNetwork:
             state, gates, inner, new = (keep[k][t] for k in "sgmn")
             z, r = gates[:, :w], gates[:, w:]
             ds = carry + np.concatenate([d_fore[t], d_aft[steps - 1 - t]], axis=1)
+            ds[:, h:] *= (lengths > steps - 1 - t)[:, None]
             dn = ds * (1 - z) * (1 - new * new)
             ga[:, :w] = ds * (state - new) * z * (1 - z)
             ga[:, w : 2 * w] = dn * inner * r * (1 - r)
@@ -169,7 +175,7 @@ class ByteNetwork:
                 part = texts[k][j * CHUNK : j * CHUNK + CHUNK]
                 chunks[i, : len(part)] = np.frombuffer(part, np.uint8)
             steps = int(size.max())
-            prob = self.probabilities(*self.states(chunks[:, :steps]))
+            prob = self.probabilities(*self.states(chunks[:, :steps], size))
             prob *= (np.arange(steps)[:, None] < size)[:, None, :]
             np.add.at(sums, who, prob.sum(axis=0).T)
         return sums / np.maximum(lengths, 1)[:, None]

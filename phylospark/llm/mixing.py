@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phylospark.llm.sampling import packed
 from phylospark.shared import cut
 
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
@@ -124,9 +125,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     The decision is made again from each row's id, so texts are not moved.
     """
     _, plan = mix_plan(docs, **options)
-    plan = plan.select(*[F.col(c).alias(f"_{c.strip('_')}") for c in ("_source", "whole", "limit")])
-    h = id_hash(options.get("id_col", "doc_id"), options.get("seed", 0))
-    copies = F.least(F.col("_whole") + (h < F.col("_limit")).cast("int"), F.lit(options.get("most", 2)))
-    source = F.col(options.get("source_col", "source")).cast("string")
-    joined = docs.join(plan, source.eqNullSafe(F.col("_source"))).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return joined.select(*[docs[c] for c in docs.columns])
+    rows = packed(docs, source=F.col(options.get("source_col", "source")).cast("string"), h=id_hash(options.get("id_col", "doc_id"), options.get("seed", 0)))
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _copies(options.get("most", 2))))).select("row.*")

@@ -1,4 +1,4 @@
-"""Bounded samples for the driver."""
+"""Bounded samples for the driver, and rows kept apart from the columns that operators add."""
 
 from __future__ import annotations
 
@@ -16,3 +16,8 @@ def least_hashes(rows: DataFrame, key: str, n: int, of: int) -> DataFrame:
     limit = int(share * 2**62)
     drawn = F.shiftrightunsigned(F.xxhash64(key, F.lit("sample")), 2)
     return (rows if share == 1.0 else rows.where(drawn < limit)).limit(2 * n)
+
+
+def packed(docs: DataFrame, **added) -> DataFrame:
+    """``docs`` as one column ``row``, beside the ``added`` columns; so no name of its own can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[value.alias(name) for name, value in added.items()])

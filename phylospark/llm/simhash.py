@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phylospark.llm.sampling import packed
 from phylospark.operators.components import connected_components
 from phylospark.shared import cut
 
@@ -138,11 +139,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = cut(counts)
     stays = F.col("component_id").eqNullSafe(F.col("doc_id"))
     drop, again = counts.where(~stays).select(F.col("doc_id").alias("_id")), counts.where(stays & (F.col("n") > 1)).select(F.col("doc_id").alias("_id"))
-    kept = docs.join(_sized(drop), F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    rows = packed(docs, key=F.col(id_col))
+    same = F.col("key").eqNullSafe(F.col("_id"))
+    kept = rows.join(_sized(drop), same, "left_anti")
     if again.limit(1).count():
-        same = F.col(id_col).eqNullSafe(F.col("_id"))
-        kept = kept.join(_sized(again), same, "left_anti").unionByName(kept.join(_sized(again), same, "left_semi").dropDuplicates([id_col]))
-    return kept
+        kept = kept.join(_sized(again), same, "left_anti").unionByName(kept.join(_sized(again), same, "left_semi").dropDuplicates(["key"]))
+    return kept.select("row.*")
 
 
 def _sized(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
