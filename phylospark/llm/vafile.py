@@ -32,6 +32,7 @@ CELLS = 200
 #: About how many vectors are in the sample from which cells are fitted; bounds hold for any cells.
 SAMPLE = 4096
 VECTORS_PER_BLOCK, QUERIES_PER_BLOCK = 4096, 512
+BOUNDS = "block long, part int, n int, low binary"
 
 
 def scaled_vectors(vectors: DataFrame, scale: float, id_col: str, vector_col: str) -> DataFrame:
@@ -52,12 +53,22 @@ def scaled_vectors(vectors: DataFrame, scale: float, id_col: str, vector_col: st
     return vectors.where(usable).select(F.col(id_col).cast("long").alias("vec_id"), F.size(x).alias("dim"), pack(x.cast("array<double>")).alias("packed"))
 
 
-def vector_classes(scaled: DataFrame, keep: int) -> DataFrame:
-    """Distinct vectors with their ``keep`` smallest ids; a common vector is reduced in two salted steps."""
-    least = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, keep)
-    first = scaled.groupBy("dim", "packed", F.pmod(F.xxhash64("vec_id"), F.lit(256)).alias("salt")).agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    first = first.withColumn("ids", F.slice("ids", 1, keep))
-    return first.groupBy("dim", "packed").agg(least("ids").alias("ids")).withColumn("class_id", F.monotonically_increasing_id())
+def vector_classes(scaled: DataFrame, keep: int, salts: int = 1024) -> DataFrame:
+    """Distinct vectors with their ``keep`` smallest ids.
+
+    A batch passes on ``keep`` rows of a vector at most, and the rest is reduced
+    in two salted steps, so that a very common vector stays small everywhere.
+    """
+
+    def fewest(batches):
+        for b in batches:
+            b = b.drop_duplicates().sort_values("vec_id", kind="stable")
+            yield b[b.groupby(["dim", "packed"]).cumcount() < keep]
+
+    least = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, keep)
+    first = scaled.mapInPandas(fewest, "vec_id long, dim int, packed binary").groupBy("dim", "packed", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).alias("salt"))
+    first = first.agg(least(F.collect_set("vec_id")).alias("ids"))
+    return first.groupBy("dim", "packed").agg(least(F.flatten(F.collect_list("ids"))).alias("ids")).withColumn("class_id", F.monotonically_increasing_id())
 
 
 def _blocks(rows: DataFrame, id_col: str, size: int, code=None) -> DataFrame:
@@ -133,27 +144,39 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, cells:
     approximations = cut(_blocks(classes, "class_id", VECTORS_PER_BLOCK, grid.code))
     q_blocks = cut(_blocks(q_classes, "q", QUERIES_PER_BLOCK))
     groups = groups or max(1, min(approximations.count(), 4 * spark.sparkContext.defaultParallelism))
+    parts = max(1, int(groups**0.5))
+
+    def greatest(low: np.ndarray) -> np.ndarray:
+        return np.partition(low, low.shape[1] - keep, axis=1)[:, -keep:] if low.shape[1] > keep else low
 
     def greatest_lower_bounds(batches):
-        best: dict[int, np.ndarray] = {}
+        best: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            for dim, block, body, codes in zip(b["dim"], b["block"], b["body"], b["c_body"]):
+            for dim, block, part, body, codes in zip(b["dim"], b["block"], b["part"], b["body"], b["c_body"]):
                 low, _ = grid.bounds(np.frombuffer(body, "<i4").reshape(-1, dim), np.frombuffer(codes, np.uint8).reshape(-1, dim))
-                low = np.concatenate([best[block], low], axis=1) if block in best else low
-                best[block] = np.partition(low, low.shape[1] - keep, axis=1)[:, -keep:] if low.shape[1] > keep else low
+                at = block, part
+                best[at] = greatest(np.concatenate([best[at], low], axis=1) if at in best else low)
                 if len(best) * QUERIES_PER_BLOCK * keep * 8 > 64 << 20:  # hand over early; the merge takes several rows of a block
                     yield _bound_rows(best)
                     best = {}
         yield _bound_rows(best)
 
-    def merge_bounds(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merged(pdf: pd.DataFrame) -> np.ndarray:
         n = int(pdf["n"].iloc[0])
-        low = np.concatenate([np.frombuffer(x, np.float64).reshape(n, -1) for x in pdf["low"]], axis=1)
-        floor = np.partition(low, low.shape[1] - keep, axis=1)[:, -keep] if low.shape[1] >= keep else np.full(n, -np.inf)
+        return greatest(np.concatenate([np.frombuffer(x, np.float64).reshape(n, -1) for x in pdf["low"]], axis=1))
+
+    def merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _bound_rows({(pdf["block"].iloc[0], pdf["part"].iloc[0]): merged(pdf)})
+
+    def merge_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = merged(pdf)
+        floor = low.min(axis=1) if low.shape[1] >= keep else np.full(len(low), -np.inf)
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "floor": [floor.tobytes()]})
 
-    low = _pairs(approximations, q_blocks, groups).select("dim", "block", "body", "c_body").mapInPandas(greatest_lower_bounds, "block long, n int, low binary")
-    floors = low.groupBy("block").applyInPandas(merge_bounds, "block long, floor binary")
+    # Bounds of a block of queries come from every group; they merge in two steps.
+    pairs = _pairs(approximations, q_blocks, groups).select("dim", "block", F.pmod("g", F.lit(parts)).alias("part"), "body", "c_body")
+    low = pairs.mapInPandas(greatest_lower_bounds, BOUNDS).groupBy("block", "part").applyInPandas(merge_part, BOUNDS)
+    floors = low.groupBy("block").applyInPandas(merge_block, "block long, floor binary")
 
     def candidates(batches):
         for b in batches:
@@ -184,5 +207,6 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, cells:
     return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _bound_rows(best: dict[int, np.ndarray]) -> pd.DataFrame:
-    return pd.DataFrame({"block": np.array(list(best), np.int64), "n": np.array([len(x) for x in best.values()], np.int32), "low": [np.ascontiguousarray(x).tobytes() for x in best.values()]})
+def _bound_rows(best: dict[tuple[int, int], np.ndarray]) -> pd.DataFrame:
+    blocks, parts = (np.array([at[i] for at in best], t) for i, t in ((0, np.int64), (1, np.int32)))
+    return pd.DataFrame({"block": blocks, "part": parts, "n": np.array([len(x) for x in best.values()], np.int32), "low": [np.ascontiguousarray(x).tobytes() for x in best.values()]})
