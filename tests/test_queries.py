@@ -2,6 +2,7 @@
 
 import pytest
 
+import phylospark.plans.files  # noqa: F401
 from phylospark.plans import queries
 
 WITH_SQL = sorted(queries.ORACLES)
