@@ -138,7 +138,12 @@ FAMILIES = """WITH RECURSIVE refs AS (SELECT DISTINCT queryid AS ref FROM rb_hit
     m AS (SELECT family, ref AS member, true AS is_ref FROM fam UNION SELECT family, subjectid, false FROM e JOIN fam ON e.queryid = fam.ref WHERE subjectid NOT IN (SELECT ref FROM refs))
     SELECT family, member, is_ref FROM m WHERE family IN (SELECT family FROM m GROUP BY family HAVING count(*) > 1)"""
 query("greencut2_families", FAMILIES)(lambda v: groups.greencut2_families(v("rb_hits"), v("more_hits")))
-query("w2_spanning_families", None)(
+FAMILY_ROWS = FAMILIES.replace("SELECT family, member, is_ref FROM m WHERE", "f AS (SELECT family, member FROM m WHERE", 1) + ")"
+query(
+    "w2_spanning_families",
+    FAMILY_ROWS.replace("WHERE subjectid NOT IN (SELECT ref FROM refs))\n    f AS", "WHERE subjectid NOT IN (SELECT ref FROM refs)),\n    f AS")
+    + " SELECT family AS group_id, member FROM f WHERE family IN (SELECT family FROM f JOIN customer ON member = concat('c', c_custkey) GROUP BY family HAVING count(DISTINCT c_mktsegment) >= 2)",
+)(
     lambda v: workloads.spanning_families(v("rb_hits"), v("more_hits"), v("customer").select(F.col("c_mktsegment").alias("list_id"), F.concat(F.lit("c"), "c_custkey").alias("value")), 2)
 )
 

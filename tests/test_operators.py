@@ -145,6 +145,29 @@ def test_lists_together_equal_lists_alone(spark, sf_dir):
         assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, whole.where(F.col("list_id") == name).collect()))
 
 
+@pytest.mark.parametrize("function", [hits.best_hits, hits.unique_hits, hits.best_hsps, hits.extract_queries, hits.extract_targets, lambda t: hits.filter_pident(t, 80), lambda t: hits.filter_bitscore(t, 30000)])
+def test_one_list_is_the_case_of_one_key(spark, sf_dir, function):
+    from phylospark.plans.views import view
+
+    table = view(spark, sf_dir, "hits_rev")
+    whole = function(table)
+    for name in ("A", "N"):
+        alone = function(table.where(F.col("list_id") == name).drop("list_id"))
+        assert sorted(map(repr, alone.collect())) == sorted(map(repr, whole.where(F.col("list_id") == name).drop("list_id").collect()))
+
+
+def test_translated_search_maps_coordinates(spark):
+    rng = random.Random(11)
+    codons = [a + b + c for a in "ACGT" for b in "ACGT" for c in "ACGT" if sequences.translate_sequence(a + b + c) != "*"]
+    gene = "".join(rng.choice(codons) for _ in range(40))
+    protein = sequences.translate_sequence(gene)
+    turned = gene[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    q = spark.createDataFrame([("p", protein)], "seq_id string, seq string")
+    s = spark.createDataFrame([("fwd", "CC" + gene + "A" * 7), ("rev", "ACCA" + turned + "GG")], "seq_id string, seq string")
+    found = {r["subjectid"]: (r["qstart"], r["qend"], r["sstart"], r["send"]) for r in search.translated_search(1e-6, q, s, "tblastn").collect() if r["alignmentlength"] >= 40}
+    assert found == {"fwd": (1, 40, 3, 122), "rev": (1, 40, 124, 5)}
+
+
 def test_ranges(spark):
     got = lambda df: [r["value"] for r in df.orderBy("pos").collect()]
     assert got(numbers.range_add(spark, 1, 10, 2)) == [1, 3, 5, 7, 9]
