@@ -27,7 +27,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+    return simhash.simhash_components(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

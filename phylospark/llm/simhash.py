@@ -47,14 +47,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """``doc_id, fp`` (a long) of every row; null and blank texts have fingerprint zero."""
 
     @F.pandas_udf("long")
     def marks(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col).alias("doc_id"), marks(F.col(text_col).cast("string")).alias("fp"))
+    return docs.select(F.col(id_col).alias("doc_id"), marks(F.col(text_col).cast("string")).alias("fp"), *keep)
 
 
 def _variants(value, bits: int):
@@ -112,41 +112,51 @@ def near_pairs(distinct: DataFrame, most: int = 3, common: int = COMMON) -> Data
 
 
 def simhash_components(docs: DataFrame, words: int = 3, most: int = 3, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Near-duplicate groups: ``doc_id, fingerprint, component_id``, one row per input row.
+    """Near-duplicate groups: ``doc_id, fingerprint, component_id, component``, one row per input row.
 
     ``component_id`` is the smallest id reachable over links of fingerprints
     that differ in at most ``most`` bits. Copies share a fingerprint, so links
     are sought between distinct fingerprints only. Null and blank texts have
     fingerprint zero and link like any other; a null id counts for no component
-    unless no other row is there; an empty input gives no rows.
+    unless no other row is there; an empty input gives no rows. ``component`` is
+    the group's least fingerprint, which tells groups apart even where different
+    texts share an id.
     """
     marked = cut(fingerprints(docs, words, id_col, text_col))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = connected_components(near_pairs(distinct.select("fp"), most, common))
     labelled = distinct.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = cut(labelled.join(smallest, "component").select("fp", "component_id"))
-    return marked.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = cut(labelled.join(smallest, "component").select("fp", "component_id", "component"))
+    return marked.join(labels, "fp").select("doc_id", _hex("fp").alias("fingerprint"), "component_id", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest id; columns as they came.
 
-    Rows that share the smallest id of their group are reduced to one.
+    Rows that share an id are told apart by their fingerprints; of those that
+    share the smallest id of their group one stays.
     """
-    made = simhash_components(docs, id_col=id_col, text_col=text_col, **options)
-    counts = made.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id"))
-    counts = cut(counts)
-    stays = F.col("component_id").eqNullSafe(F.col("doc_id"))
-    drop, again = counts.where(~stays).select(F.col("doc_id").alias("_id")), counts.where(stays & (F.col("n") > 1)).select(F.col("doc_id").alias("_id"))
-    rows = packed(docs, key=F.col(id_col))
+    made = cut(simhash_components(docs, id_col=id_col, text_col=text_col, **options))
+    counts = made.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("least"))
+    counts = cut(counts.select(F.col("doc_id").alias("_id"), "n", F.col("least").eqNullSafe(F.col("doc_id")).alias("stays")))
+    drop, again = counts.where("n = 1 and not stays").select("_id"), counts.where("n > 1").select("_id")
+    rows = packed(docs, key=F.col(id_col), text=F.col(text_col))
     same = F.col("key").eqNullSafe(F.col("_id"))
     kept = rows.join(_sized(drop), same, "left_anti")
     if again.limit(1).count():
-        kept = kept.join(_sized(again), same, "left_anti").unionByName(kept.join(_sized(again), same, "left_semi").dropDuplicates(["key"]))
+        marked = cut(fingerprints(kept.join(_sized(again), same, "left_semi"), options.get("words", 3), "key", "text", keep=["row"]))
+        first = made.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), "fingerprint", "component").distinct()
+        on = F.col("doc_id").eqNullSafe(F.col("_id")) & (_hex("fp") == F.col("fingerprint"))
+        twice = marked.join(first, on).dropDuplicates(["doc_id", "component"]).select("row")
+        return kept.join(_sized(again), same, "left_anti").select("row").unionByName(twice).select("row.*")
     return kept.select("row.*")
 
 
+def _hex(column: str):
+    return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
 def _sized(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     """Broadcast up to ``most`` ids of 8 bytes; a shuffled join otherwise."""
     return F.broadcast(ids) if ids.count() <= most else ids

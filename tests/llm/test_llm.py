@@ -129,7 +129,8 @@ def test_simhash(odd, none):
     least = {g: min((i for i, m in want if group[m] == g and i is not None), default=None) for g in set(group.values())}
     assert all(f["component_id"] == least[group[int(f["fingerprint"], 16)]] for f in found)
     kept = simhash.one_of_each(odd)
-    assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i in set(least.values()))
+    assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i in least.values())
+    assert sorted(group[brute_fingerprint(r["text"])] for r in kept.collect()) == sorted(set(group.values()))
     assert collect(simhash.simhash_components(none)) == [] and simhash.one_of_each(none).count() == 0
 
 
@@ -377,16 +378,35 @@ def test_quality(spark, odd, none, sf_dir):
 
 
 def test_pipeline_stages(spark, odd, none):
+    """Each stage against brute force over what the one before it kept."""
     import corpus_pipeline
 
+    before, after = {}, {}
     docs = odd
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        before[name] = docs.collect()
         docs = spark.createDataFrame(stage(spark, docs, "").collect(), odd.schema)
+        after[name] = docs.collect()
         assert docs.columns == odd.columns, name
         empty = stage(spark, none, "")
         assert empty.columns == odd.columns and empty.count() == 0, name
-    assert {bare(r["text"]) for r in docs.collect()} <= {bare(r["text"]) for r in odd.collect()}
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count()
+    texts = lambda rows: sorted(str(r["text"]) for r in rows)
+    assert texts(after["language_id"]) == texts([r for r in before["language_id"] if r["text"] and any(map(str.isalpha, r["text"])) and r in after["language_id"]])
+    assert {r["doc_id"] for r in before["language_id"]} - {r["doc_id"] for r in after["language_id"]} >= {43, 44, 45, 46, 48}
+    kept = [bare(r["text"]) for r in after["exact_dedup"]]
+    assert sorted(kept) == sorted({bare(r["text"]) for r in before["exact_dedup"]})
+    marks = {brute_fingerprint(r["text"]) for r in before["simhash_near_dedup"]}
+    group = {m: m for m in marks}
+    for _ in marks:
+        group = {a: min(group[b] for b in marks if bin(a ^ b).count("1") <= 3) for a in marks}
+    assert len(after["simhash_near_dedup"]) == len(set(group.values()))
+    assert sorted(group[brute_fingerprint(r["text"])] for r in after["simhash_near_dedup"]) == sorted(set(group.values()))
+    taken = {r["doc_id"]: r["copies"] for r in mixing.mix_sources(spark.createDataFrame(before["mix_sources"], odd.schema)).collect()}
+    assert texts(after["mix_sources"]) == texts([r for r in before["mix_sources"] for _ in range(taken[r["doc_id"]])])
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    encode = packing.open_tokenizer(queries.tokenizer_path())
+    assert sum(r["length"] for r in packed) == sum(len(encode(r["text"] or "")) // 4 + 1 for r in after["mix_sources"])
+    assert corpus_pipeline.STAGES[-1][1](spark, none, "").count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
