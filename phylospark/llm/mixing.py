@@ -9,7 +9,7 @@ that bucket is split again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from phylospark.llm.sampling import packed
@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 HASH_BITS, STEP_BITS = 60, 10
+#: Tables with one row per source, made on the driver, are broadcast up to this many rows.
+BROADCAST_SOURCES = 100_000
 
 
 def share_out(sizes: list[float], weights: list[float], budget: float, most: float) -> list[float]:
@@ -55,11 +57,11 @@ def hash_thresholds(sized: DataFrame, need: dict) -> dict:
     spark = sized.sparkSession
     state = {s: (0, 0) for s, n in need.items() if n > 0}  # the bucket's first hash, words below it
     done = {s: 0 for s in need if s not in state}
-    schema = "source string, need double, base long, below long"
+    schema = "_s string, need double, base long, below long"
     for bits in range(HASH_BITS - STEP_BITS, -1, -STEP_BITS):
         if not state:
             break
-        open_ = spark.createDataFrame([(s, float(need[s]), b, w) for s, (b, w) in state.items()], schema).withColumnRenamed("source", "_s")
+        open_ = per_source(spark, [(s, float(need[s]), b, w) for s, (b, w) in state.items()], schema)
         inside = sized.join(open_, F.col("source").eqNullSafe(F.col("_s"))).where((F.col("h") >= F.col("base")) & (F.shiftright(F.col("h") - F.col("base"), bits) < (1 << STEP_BITS)))
         bucket = F.shiftright(F.col("h") - F.col("base"), bits)
         sums = inside.groupBy("_s", "need", "base", "below", bucket.alias("bucket")).agg(F.sum("size").alias("size"), F.min("h").alias("lo"), F.max("h").alias("hi"))
@@ -80,6 +82,12 @@ def hash_thresholds(sized: DataFrame, need: dict) -> dict:
     return done
 
 
+def per_source(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of one row per source; broadcast while small, so that documents don't move to meet it."""
+    made = spark.createDataFrame(rows, schema)
+    return F.broadcast(made) if len(rows) <= BROADCAST_SOURCES else made
+
+
 def id_hash(id_col: str, seed: int):
     return F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), 64 - HASH_BITS)
 
@@ -97,7 +105,7 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, budget: float = 1.5, most: int =
     whole = {s: min(int(t // n), most) if n else 0 for s, (n, t) in targets.items()}
     limits = hash_thresholds(sized, {s: t - whole[s] * n for s, (n, t) in targets.items()})
     rows = [(s, n, float(t), whole[s], limits[s]) for s, (n, t) in targets.items()]
-    return sized, sized.sparkSession.createDataFrame(rows, "_source string, source_size long, target double, whole int, limit long")
+    return sized, per_source(sized.sparkSession, rows, "_source string, source_size long, target double, whole int, limit long")
 
 
 def _copies(most: int):
@@ -114,7 +122,6 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     depends on the id alone, so reruns and other partitionings agree.
     """
     sized, plan = mix_plan(docs, **options)
-    # The plan has one row per source: the planner broadcasts it while it is small and shuffles it otherwise.
     joined = sized.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", _copies(options.get("most", 2)))
     return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
