@@ -57,7 +57,9 @@ def six_frames(seqs: DataFrame) -> DataFrame:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """Array of structs (kmer, kpos) with positions from 0; empty for sequences shorter than k."""
-    n = F.length(seq) - k
-    made = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.substring(seq, i + 1, F.lit(k)).alias("kmer"), i.alias("kpos")))
-    return F.when(n >= 0, made).otherwise(F.array().cast("array<struct<kmer:string,kpos:int>>"))
+    """All k-mers of a sequence in order; empty for sequences shorter than k.
+
+    A look-ahead matches at every place, so a sequence is read once; a substring
+    per place would scan from its start each time.
+    """
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))

@@ -39,7 +39,7 @@ def kmer_index(seqs: DataFrame, k: int, max_df: int | None = None, keep: list[st
     ``max_df`` is the sensitivity setting of the search, as in other seed
     searches: over-common k-mers carry no signal. None keeps all.
     """
-    index = seqs.select("seq_id", *keep, F.explode(kmers(F.col("seq"), k)).alias("_k")).select("seq_id", *keep, "_k.kmer", "_k.kpos")
+    index = seqs.select("seq_id", *keep, F.posexplode(kmers(F.col("seq"), k)).alias("kpos", "kmer")).select("seq_id", *keep, "kmer", "kpos")
     if max_df is None:
         return index
     frequent = index.select("seq_id", "kmer").distinct().groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_df)
