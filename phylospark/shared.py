@@ -27,16 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def cut(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The result has no lineage: a lost executor costs the tasks it ran, not a
-    recomputation of what lies before the cut.
+    recomputation of what lies before the cut. ``batch_rows`` bounds the rows
+    that a Python worker gets at once while this table is made.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(BATCH)
+    if batch_rows:
+        spark.conf.set(BATCH, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
