@@ -20,6 +20,8 @@ from phylospark.llm.sampling import least_hashes
 #: Bound of the training sample: documents, and characters of a window of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 320
 HIDDEN, CHUNK, ROWS = 8, 128, 1024
+#: Texts whose bytes a task holds at once.
+AT_ONCE = 500
 UNDETERMINED = "und"
 
 
@@ -214,11 +216,11 @@ def identify(docs: DataFrame, network: ByteNetwork | None, id_col: str = "doc_id
     def label(texts: pd.Series) -> pd.DataFrame:
         langs, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
         at = [i for i, t in enumerate(texts) if network and t and any(map(str.isalpha, t))]
-        if at:
-            prob = network.read([texts.iloc[i].encode("utf-8", "replace") for i in at])
+        for some in (at[k : k + AT_ONCE] for k in range(0, len(at), AT_ONCE)):
+            prob = network.read([texts.iloc[i].encode("utf-8", "replace") for i in some])
             best = prob.argmax(axis=1)
-            langs[at] = np.array(network.languages, object)[best]
-            scores[at] = np.clip(prob[np.arange(len(at)), best], 0, 1)
+            langs[some] = np.array(network.languages, object)[best]
+            scores[some] = np.clip(prob[np.arange(len(some)), best], 0, 1)
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     made = docs.withColumn("_label", label(F.col(text_col).cast("string")))

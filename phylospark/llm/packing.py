@@ -278,7 +278,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     repeats another or has a null id; a null or empty text is its end token
     alone. An empty input gives no rows. The driver holds one count per length.
     """
-    pieces = cut(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
+    pieces = cut(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), batch_rows=1000)
     by_length = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = np.array(sorted(pack_lengths(by_length, capacity, groups, small).rows()), np.int64).reshape(-1, 6)
     widest = max(by_length.values(), default=0) + 1

@@ -19,6 +19,8 @@ from phylospark.llm.sampling import least_hashes
 #: Bound of the training sample: labelled documents, and characters of a window of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 6000
 PASSAGE, ROWS = 512, 1024
+#: Texts whose bytes a task holds at once.
+AT_ONCE = 500
 LAGS = range(2, 26)
 #: Bytes by kind for pair counts: 1 vowel, 2 other small letter, 3 capital, 4 digit, 5 space, 6 line end, 7 beyond ASCII, then punctuation by turns.
 KINDS = 20
@@ -162,7 +164,8 @@ def score_quality(docs: DataFrame, model: AttentionModel, threshold: float = 0.7
     def score(texts: pd.Series) -> pd.Series:
         if not len(texts):
             return pd.Series([], dtype="float64")
-        return pd.Series(model.score([(t or "").encode("utf-8", "replace") for t in texts]))
+        some = (texts.iloc[at : at + AT_ONCE] for at in range(0, len(texts), AT_ONCE))
+        return pd.Series(np.concatenate([model.score([(t or "").encode("utf-8", "replace") for t in part]) for part in some]))
 
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == held, F.lit(False)).alias("held_out")
     made = docs.select(F.col(id_col).alias("doc_id"), held_out, score(F.col(text_col).cast("string")).alias("score"))

@@ -122,7 +122,7 @@ def simhash_components(docs: DataFrame, words: int = 3, most: int = 3, common: i
     the group's least fingerprint, which tells groups apart even where different
     texts share an id.
     """
-    marked = cut(fingerprints(docs, words, id_col, text_col))
+    marked = cut(fingerprints(docs, words, id_col, text_col), batch_rows=1000)
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = connected_components(near_pairs(distinct.select("fp"), most, common))
     labelled = distinct.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
