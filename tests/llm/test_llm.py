@@ -315,6 +315,8 @@ def test_wrappers(spark):
     assert found[102]["text"] == "First 2.\n\nSecond 2."
     assert [found[i]["text"] for i in (200, 201, 202, 203)] == ["loose text", "", "", "a < b < c"]
     assert df.count() == html_wrappers.extract_main_text(df).count() and html_wrappers.extract_main_text(df.limit(0)).count() == 0
+    odd = '<div class="with-sidebar"><article class="post header-large"><p class="x>broken</p><p>kept</p><article class="comment">no</article></article></div>'
+    assert html_wrappers.main_text(odd, None) == "broken\n\nkept"
     wrapper = {r["host"]: html_wrappers.loads(r["wrapper"]) for r in html_wrappers.infer_wrappers(df).collect()}["a.example"]
     assert len(json.dumps(wrapper)) < 3000 and all(html_wrappers.read_by(wrapper, html_wrappers.tokens(r[2])) is not None for r in rows[:30])
 
