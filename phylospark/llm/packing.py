@@ -207,7 +207,7 @@ class Plan:
         return out
 
 
-def pack_lengths(counts: dict[int, int], capacity: int = 2048, groups: int = 48, small: float = 0.125) -> Plan:
+def pack_lengths(counts: dict[int, int], capacity: int = 2048, groups: int = 96, small: float = 0.45) -> Plan:
     """Plan for ``counts`` pieces of each length, all at most ``capacity``."""
     plan = Plan(capacity)
     plan.open(counts.get(capacity, 0), [(capacity, 1)])
@@ -270,7 +270,7 @@ def pack_lengths(counts: dict[int, int], capacity: int = 2048, groups: int = 48,
     return plan
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", groups: int = 48, small: float = 0.125) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", groups: int = 96, small: float = 0.45) -> DataFrame:
     """Pack documents into few sequences of at most ``capacity`` tokens.
 
     Returns one row per piece: ``doc_id, piece, start, length, ids_crc32,
