@@ -13,11 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from phylospark.llm import exact_dedup, langid, mixing, packing, simhash
 from phylospark.llm.queries import tokenizer_path
-from phylospark.shared import cut
+from phylospark.shared import BATCH, cut
+
+#: Documents that a Python worker gets at once.
+BATCH_ROWS = 1000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined; without a letter, or with a score below 0.3, they go."""
+    spark.conf.set(BATCH, str(BATCH_ROWS))
     return langid.known_language(docs)
 
 
