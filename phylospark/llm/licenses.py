@@ -126,6 +126,35 @@ class Templates:
                         found.add((int(whose[i]), int(inside[starts[i]]), name))
         return found
 
+    def windows(self, at: np.ndarray, found: list[tuple], name: str) -> list[tuple[int, int, float]]:
+        """First and last shingle and containment of as many disjoint windows as reach the containment, the most similar of such choices; ``at`` are the places of template shingles ``found``."""
+        total, size = len(self.shingles[name]), self.sizes[name]
+        before, latest = np.full(len(at), -1), {}
+        for i, shingle in enumerate(found):
+            before[i], latest[shingle] = latest.get(shingle, -1), i
+        n = len(at)
+        ends = np.searchsorted(at, at + size).tolist()
+        best, choice = [(0, 0.0)] * (n + 1), [None] * n  # from each place on: windows, and the sum of their similarities
+        for i in range(n - 1, -1, -1):
+            best[i] = best[i + 1]
+            if (ends[i] - i) / total < self.containment:
+                continue
+            distinct = np.cumsum(before[i : ends[i]] < i)
+            if distinct[-1] / total < self.containment:
+                continue
+            similar = np.where(distinct / total >= self.containment, distinct / (at[i : ends[i]] - at[i] + 1 + total - distinct), 0)
+            for k in {int(similar.argmax()), int((similar > 0).argmax())}:
+                count, rest = best[i + k + 1]
+                if (got := (count + 1, rest + float(similar[k]))) >= best[i]:
+                    best[i], choice[i] = got, (i + k, float(distinct[k] / total))
+        out, i = [], 0
+        while i < n:
+            if choice[i]:
+                out.append((int(at[i]), int(at[choice[i][0]]), choice[i][1]))
+                i = choice[i][0]
+            i += 1
+        return out
+
     def verify(self, text: str, near: dict[str, list[int]]) -> list[tuple[str, int, int, float]]:
         """(template, start, end, containment) in characters, for templates near the given shingles."""
         spans = [m.span() for m in WORD.finditer(low)] if len(low := text.lower()) == len(text) else [m.span() for m in WORD.finditer(low)]
@@ -138,15 +167,8 @@ class Templates:
         for name, places in near.items():
             wanted, size = self.shingles[name], self.sizes[name]
             seen = sorted({i for p in places for i in range(max(0, p - size), min(len(words) - SHINGLE + 1, p + 2 * size)) if tuple(words[i : i + SHINGLE]) in wanted})
-            group: list[int] = []
-            for i in [*seen, None]:
-                if group and (i is None or i - group[0] >= size):
-                    share = len({tuple(words[k : k + SHINGLE]) for k in group}) / len(wanted)
-                    if share >= self.containment:
-                        out.append((name, spans[group[0]][0], spans[group[-1] + SHINGLE - 1][1], share))
-                    group = []
-                if i is not None:
-                    group.append(i)
+            for first, last, share in self.windows(np.array(seen, np.int64), [tuple(words[i : i + SHINGLE]) for i in seen], name):
+                out.append((name, spans[first][0], spans[last + SHINGLE - 1][1], share))
         return out
 
     def scan(self, texts: list[str]) -> list[tuple[int, str, int, int, float]]:

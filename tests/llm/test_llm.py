@@ -237,6 +237,29 @@ def test_license_bands_guarantee_collisions():
     assert len(found) == 1 and found[0][4] >= 0.8
 
 
+def test_license_windows_slide():
+    known, notice = licenses.Templates(licenses.LICENSES), licenses.LICENSES["GPL-3.0"]
+    stray = "This work is licensed under terms that the two authors once agreed upon."
+    assert [(m[1], m[2]) for m in known.scan([f"{stray} {notice}"]) if m[1] == "GPL-3.0"] == [("GPL-3.0", len(stray) + 1)]
+    for between in range(30):
+        for text in (f"This work is licensed under{' x' * between} {notice}", f"{notice}{' x' * between} License version 3 this work is licensed under the GNU"):
+            (found,) = known.scan([text])
+            assert found[1] == "GPL-3.0" and text[found[2] : found[3]] == notice.rstrip(".") and found[4] == 1.0
+    long = [f"w{i}" for i in range(100)]
+    known = licenses.Templates({"long": " ".join(long)})
+    altered = [w if i not in (40, 60) else "x" for i, w in enumerate(long)]
+    assert [m[2:4] for m in known.scan([" ".join([*altered, *altered, *long])])] == [(0, 385), (386, 771), (772, 1161)]
+    rng = random.Random(8)
+    for _ in range(300):
+        words = [rng.choice(long) for _ in range(rng.randrange(5))]
+        for _ in range(rng.randint(1, 4)):
+            i = rng.randrange(100)
+            words += long[i : i + rng.randint(5, 100)] + ["y"] * rng.randrange(40)
+        hits = [(i, tuple(words[i : i + 5])) for i in range(len(words) - 4) if tuple(words[i : i + 5]) in known.shingles["long"]]
+        held = any(len({s for j, s in hits if i <= j < i + known.sizes["long"]}) >= 0.8 * 96 for i, _ in hits)
+        assert held == bool(known.verify(" ".join(words), {"long": list(range(0, len(words), 32))}))
+
+
 def test_packing(odd, none, spark):
     path = queries.tokenizer_path()
     from tokenizers import Tokenizer
