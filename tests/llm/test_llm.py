@@ -344,6 +344,27 @@ def test_wrappers(spark):
     assert len(json.dumps(wrapper)) < 3000 and all(html_wrappers.read_by(wrapper, html_wrappers.tokens(r[2])) is not None for r in rows[:30])
 
 
+def test_articles_in_furniture():
+    article = "<article><h1>Head line</h1><p>Body of it.</p></article>"
+    for page in (
+        f"<html><head><title>t</title><meta charset=utf-8><body>{article}</body></html>",
+        f"<body><div>Site</div><nav><ul><li>Home</ul>{article}",
+        f"<body><div>Site</div><header>Site <aside>links {article}<footer>foot</footer></body>",
+        f"<body><div>Site</div><div class='layout sidebar-right'>{article}<div class=sidebar>more</div></div></body>",
+        f"<body class=nav-open><div class=nav-open><nav>menu</nav>{article.replace('article', 'main')}</div>",
+        f"<body><svg/><svg viewBox='0 0 1 1' />{article}<svg><text>no</text></svg>",
+        f"<body><button>{article}<button>no</button>",
+        f"<body><object data='x'>{article}<template><p>no</p><template>no</template></template>",
+        f"<body><button-group></button-group><script src='x'/>{article}<script>no</script>",
+        f"<body>{article}<aside class=related><article>Another, and a very long teaser text at that.</article></aside>",
+        "<body><article><header><h1>Head line</h1><p>Body of it.</p></article></body>",
+        "<body><div class='layout sidebar-right'><nav>menu</nav><h1>Head line</h1><p>Body of it.</p><div class=sidebar>more</div></div>",
+    ):
+        assert html_wrappers.main_text(page, None) == "Head line\n\nBody of it.", page
+    assert html_wrappers.main_text("<body><nav>menu</nav><p>Long text of the page.</p><div class=related><article>no</article></div>", None) == "Long text of the page."
+    assert html_wrappers.main_text("<body><nav>menu</nav></body>", None) == ""
+
+
 def test_revisits(spark):
     rng = random.Random(3)
     rows = []
