@@ -365,6 +365,22 @@ def test_articles_in_furniture():
     assert html_wrappers.main_text("<body><nav>menu</nav></body>", None) == ""
 
 
+def test_copies_are_no_template(spark):
+    para = lambda i: f"The story numbered {i} is told here in one paragraph that is long enough, {i * 7919}."
+    page = lambda i, day, more="": f"<div><h1>Head {i}</h1><div>Day {day}</div><p>{para(i)}</p>{more}</div><div>All rights are kept by us</div>"
+    rows = [(d, "http://copies.example/", page(1, d)) for d in range(3)]
+    rows += [(10 + i, "http://large.example/", page(i, i)) for i in range(40)]
+    rows += [(60 + d, "http://large.example/", page(99, d, "<h2>Only here</h2>")) for d in range(50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    found = {r["page_id"]: r["text"] for r in html_wrappers.extract_main_text(df).collect()}
+    for d in range(3):
+        assert found[d] == f"Head 1\n\nDay {d}\n\n{para(1)}\n\nAll rights are kept by us"
+    for i in range(40):
+        assert found[10 + i] == f"Head {i}\n\nDay {i}\n\n{para(i)}"
+    for d in range(50):
+        assert found[60 + d] == f"Head 99\n\nDay {d}\n\n{para(99)}\n\nOnly here"
+
+
 def test_revisits(spark):
     rng = random.Random(3)
     rows = []
