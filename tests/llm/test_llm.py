@@ -381,6 +381,62 @@ def test_copies_are_no_template(spark):
         assert found[60 + d] == f"Head 99\n\nDay {d}\n\n{para(99)}\n\nOnly here"
 
 
+def plain_site(i):
+    """A page without ``article`` or ``main``, without a class or tag of furniture; and its article."""
+    body = [f"Paragraph {k} of page {i} says what only page {i} says, in {i * 31 + k} words or so." for k in range(1 + i % 5)]
+    links = "".join(f"<p><a href='/{k}'>Story {(i * 7 + k) % 50} that readers liked</a></p>" for k in range(2 + i % 3))
+    more = "<table><tr><td>cell</td></tr></table>" if i % 4 == 0 else ""
+    page = f"""<body><div><p>The Daily Page</p><p>Printed since 1900 in this very town, and read by everybody.</p></div><div><h1>Headline {i}</h1>{"".join(f"<p>{b}</p>" for b in body)}{more}</div>
+    <div>{links}</div><div><p>All rights are reserved by the printers of this page, who may be written to.</p></div></body>"""
+    return page, [f"Headline {i}", *body, *(["cell"] if more else [])]
+
+
+def test_wrappers_decide_without_marks(spark):
+    """Pages without a mark: wrappers find the article, a page alone can't, and no partitioning changes a text."""
+    made = {i: plain_site(i) for i in range(60)}
+    rows = [(i, f"http://plain.example/{i}", made[i][0]) for i in made] + [(100 + i, f"http://plain.example/{i}", made[i][0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = [{r["page_id"]: r["text"] for r in html_wrappers.extract_main_text(df.repartition(n)).collect()} for n in (1, 4, 13)]
+    assert texts[0] == texts[1] == texts[2]
+    assert all(texts[0][i] == texts[0][i % 100] == "\n\n".join(made[i % 100][1]) for i in texts[0])
+    assert all(html_wrappers.main_text(page, None) != "\n\n".join(want) for page, want in made.values())
+    levels = [{r["host"]: r["wrapper"] for r in html_wrappers.infer_wrappers(df.repartition(n), at_once=2).collect()} for n in (1, 7)]
+    assert levels[0] == levels[1]
+
+
+def test_wrappers_drop_template_text_in_articles():
+    page = lambda i: f"<body><article><h1>Daily news</h1><p>Story {i} is told here in a paragraph.</p><div>Subscribe to read it to the end</div></article></body>"
+    wrapper = html_wrappers.decide(html_wrappers.merge_shapes([html_wrappers.page_expression(html_wrappers.tokens(page(i))) for i in range(40)]))
+    assert html_wrappers.main_text(page(39), wrapper) == "Daily news\n\nStory 39 is told here in a paragraph."
+    assert html_wrappers.main_text(page(1), None) == "Daily news\n\nStory 1 is told here in a paragraph.\n\nSubscribe to read it to the end"
+
+
+def test_marks_on_the_region_are_layout():
+    page = lambda i: f"<body><div class='sidebar-layout'><div class=notice-board><h1>Head {i}</h1><p>Told here in a paragraph of its own: {i * 17}, and then some more of it.</p><div class=comments><p>nice {i}</p></div></div></div><p>imprint</p></body>"
+    wrapper = html_wrappers.decide(html_wrappers.merge_shapes([html_wrappers.page_expression(html_wrappers.tokens(page(i))) for i in range(9)]))
+    assert html_wrappers.main_text(page(4), wrapper) == "Head 4\n\nTold here in a paragraph of its own: 68, and then some more of it."
+
+
+def test_article_text_is_kept():
+    same = "<body><article><h1>Title</h1>" + "<p>Again.</p>" * 3 + "</article></body>"
+    assert html_wrappers.main_text(same, html_wrappers.decide(html_wrappers.page_expression(html_wrappers.tokens(same)))) == "Title\n\nAgain.\n\nAgain.\n\nAgain."
+    for page, want in (
+        ("<article><svg-icon></svg-icon><p>one</p><svg/><p>two</p></article>", "one\n\ntwo"),
+        ("<article><p>one</p><button>x<p>two</p><p>three</p></article>", "one\n\nx\n\ntwo\n\nthree"),
+        ("<article><p>As <math><msup><mi>x</mi><mn>2</mn></msup><annotation>x^2</annotation></math> grows</p></article>", "As x2 grows"),
+        ("<article><p>one</p><section class='related-work'><p>two</p></section><div class=search-results-table>three</div><div class='comment-list'>no</div></article>", "one\n\ntwo\n\nthree"),
+    ):
+        assert html_wrappers.main_text(page, None) == want, page
+
+
+def test_long_pages():
+    words = [f"Paragraph {i} of a very long page." for i in range(20000)]
+    page = "<body><nav>menu</nav><article>" + "".join(f"<p>{w}</p>" for w in words) + "</article></body>"
+    assert len(page) > 800_000 and html_wrappers.main_text(page, None) == "\n\n".join(words)
+    open_ = "<body><article>" + "<button>b<svg>" * 40000 + "<p>end</p></article></body>"
+    assert html_wrappers.main_text(open_, None).endswith("end")
+
+
 def test_revisits(spark):
     rng = random.Random(3)
     rows = []
