@@ -23,6 +23,8 @@ NOT_UPDATED = (
     "content-length content-encoding content-type content-range content-md5 connection keep-alive proxy-authenticate "
     "proxy-authentication-info proxy-authorization te trailer transfer-encoding upgrade"
 ).split()
+#: Ids of wanted responses that are broadcast (8 bytes each), so that other responses' bodies stay where they are.
+BROADCAST_WANTED = 1_000_000
 #: Query parameters that track a visit.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid|sessionid|phpsessid)(=|$)"
 
@@ -59,12 +61,17 @@ def resolve_revisits(records: DataFrame, slots: int = 1024) -> DataFrame:
     * ``changed``: the latest earlier response has other validators;
     * ``missing``: no earlier full response of this URL.
 
-    Only resolved rows have headers and a payload. A response at the very time
-    of a revisit is not earlier; among responses of one time the greatest
-    ``record_id`` counts. A revisit without URL or time is ``missing``. Record
-    ids of responses must be unique. An empty table gives no rows.
+    Entity tags are compared weakly, as for If-None-Match: ``W/"a"`` agrees with
+    ``"a"``. Only resolved rows have headers and a payload. A response at the
+    very time of a revisit is not earlier; among responses of one time the
+    greatest ``record_id`` counts. A revisit without URL or time is ``missing``.
+    Repeated revisits give a row each; of responses that share a record id, one
+    counts, chosen by a hash of its content. Null headers are empty; payloads
+    may be long or null. An empty table gives no rows; other columns play no
+    part.
     """
-    thin = records.select("record_id", "ts", "kind", canonical_url(F.col("url")).alias("u"), "etag", "last_modified")
+    tag = F.regexp_replace("etag", "^W/", "")
+    thin = records.select("record_id", "url", "ts", "kind", canonical_url(F.col("url")).alias("u"), tag.alias("etag"), "last_modified")
     least, most = thin.agg(F.min("ts"), F.max("ts")).first()
     width = max(1, -(-((most or 0) - (least or 0) + 1) // slots))
     slot = F.floor((F.col("ts") - F.lit(least or 0)) / width)
@@ -73,7 +80,7 @@ def resolve_revisits(records: DataFrame, slots: int = 1024) -> DataFrame:
     usable = usable.withColumn("full", full)
     # Strictly earlier: a range up to the time before.
     within = Window.partitionBy("u", "slot").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    near = usable.withColumn("near", F.max("full").over(within)).where(F.col("kind") == "revisit").select("record_id", "ts", "u", "slot", "etag", "last_modified", "near")
+    near = usable.withColumn("near", F.max("full").over(within)).where(F.col("kind") == "revisit").select("record_id", "url", "ts", "u", "slot", "etag", "last_modified", "near")
     last = usable.where("full is not null").groupBy("u", "slot").agg(F.max("full").alias("full"))
     # The last response of all earlier slots: only slots that hold a row of the URL have one.
     asked = near.select("u", "slot").distinct().withColumn("full", F.lit(None).cast(last.schema["full"].dataType))
@@ -85,12 +92,23 @@ def resolve_revisits(records: DataFrame, slots: int = 1024) -> DataFrame:
         F.col("last_modified").isNotNull(), F.coalesce(F.col("response.last_modified") == F.col("last_modified"), F.lit(False))
     ).otherwise(F.lit(True))
     status = F.when(F.col("response").isNull(), F.lit("missing")).when(same, F.lit("resolved")).otherwise(F.lit("changed"))
-    links = found.select(F.col("record_id").alias("_r"), F.col("response.record_id").alias("response_id"), F.col("response.ts").alias("response_ts"), status.alias("status"))
-
-    revisits = records.where(F.col("kind") == "revisit").select("record_id", "url", "ts", F.col("headers").alias("fresh"))
-    joined = revisits.join(links, F.col("record_id") == F.col("_r"), "left").drop("_r").withColumn("status", F.coalesce("status", F.lit("missing")))
-    joined = joined.withColumn("_want", F.when(F.col("status") == "resolved", F.col("response_id")))
+    same_row = ("record_id", "url", "ts", "etag", "last_modified")
+    links = found.select(*[F.col(c).alias(f"_{c}") for c in same_row], F.col("response.record_id").alias("response_id"), F.col("response.ts").alias("response_ts"), status.alias("status"))
+    links = links.dropDuplicates([f"_{c}" for c in same_row])
+
+    revisits = records.where(F.col("kind") == "revisit").select("record_id", "url", "ts", tag.alias("etag"), "last_modified", F.col("headers").alias("fresh"))
+    # The id would do as the key; the rest tells rows apart that share one.
+    on = F.col("ts") == F.col("_ts")
+    for c in ("record_id", "url", "etag", "last_modified"):
+        on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    joined = revisits.join(links, on, "left").select("record_id", "url", "ts", "fresh", "response_id", "response_ts", F.coalesce("status", F.lit("missing")).alias("status"))
+    joined = cut(joined.withColumn("_want", F.when(F.col("status") == "resolved", F.col("response_id"))))
     bodies = records.where(F.col("kind") == "response").select(F.col("record_id").alias("_b"), F.col("headers").alias("stored"), "payload")
+    wanted = joined.where("_want is not null").select(F.col("_want").alias("_b")).distinct()
+    if wanted.limit(BROADCAST_WANTED + 1).count() <= BROADCAST_WANTED:
+        bodies = bodies.join(F.broadcast(wanted), "_b", "left_semi")
+    content = F.xxhash64("payload", F.to_json("stored"))
+    bodies = bodies.groupBy("_b").agg(F.min_by(F.struct("stored", "payload"), content).alias("r")).select("_b", "r.stored", "r.payload")
     out = joined.join(bodies, F.col("_want") == F.col("_b"), "left")
     headers = F.when(F.col("status") == "resolved", merged_headers(F.col("stored"), F.col("fresh")))
     return out.select("record_id", "url", "ts", "response_id", "response_ts", "status", headers.alias("headers"), "payload")
