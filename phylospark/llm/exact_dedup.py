@@ -7,6 +7,12 @@ each block of quotients. Two filters of one block merge without loss, because
 the runs are sorted: equal remainders of equal quotients add their counters.
 Only fingerprints counted more than once go on to the comparison of bytes.
 
+A block that is thin in a partition lists its quotients instead of marking them
+in a bitmap, and counters of one take no room, so a filter costs 8 to 13 bytes
+for each fingerprint, however many blocks there are. Where there are many, a
+partition's filters are of few coarse blocks, which salted groups merge and
+split into fine ones; so no merge gets more than about ``BLOCK_SLOTS`` rows.
+
 Cost: one scan for fingerprints, an exchange of compact filters, and one more
 scan that passes on only texts whose fingerprint repeats.
 """
@@ -25,18 +31,21 @@ from phylospark.shared import cut
 SPACES = " \t\n\x0b\x0c\r"
 #: Quotient blocks are sized for about this many fingerprints.
 BLOCK_SLOTS = 1 << 20
+#: A partition's own filters are of at most so many bits' worth of blocks.
+COARSE_BITS = 8
 #: Repeated fingerprints are broadcast up to this number (8 bytes each), and joined by a shuffle beyond it.
 BROADCAST_KEYS = 1_000_000
 
 
-def build_filter(fingerprints: np.ndarray, block_bits: int, quotient_bits: int) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
-    """One filter for each block of quotients that occurs.
+def build_filter(values: np.ndarray, counts: np.ndarray, block_bits: int, quotient_bits: int) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
+    """One filter for each block of quotients that occurs; ``values`` are sorted fingerprints.
 
     Returns (block, occupied, run_ends, remainders, counters). ``occupied`` has
-    a bit for each quotient of the block that has a run, ``run_ends`` a bit for
-    each slot that ends a run; the slots are sorted by quotient and remainder.
+    a bit for each quotient of the block that has a run or, where that is
+    shorter, lists these quotients; its first byte tells which. ``run_ends`` has
+    a bit for each slot that ends a run; the slots are sorted by quotient and
+    remainder. ``counters`` is empty if all are one.
     """
-    values, counts = np.unique(fingerprints, return_counts=True)
     low_bits = 64 - block_bits - quotient_bits
     blocks = values >> np.uint64(64 - block_bits) if block_bits else np.zeros(len(values), np.uint64)
     quotients = (values >> np.uint64(low_bits)) & np.uint64((1 << quotient_bits) - 1)
@@ -45,10 +54,16 @@ def build_filter(fingerprints: np.ndarray, block_bits: int, quotient_bits: int)
     bounds = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]) if len(values) else np.array([], int)
     for lo, hi in zip(bounds, np.r_[bounds[1:], len(values)] if len(values) else []):
         q = quotients[lo:hi]
-        occupied = np.zeros(1 << quotient_bits, bool)
-        occupied[q.astype(np.int64)] = True
         ends = np.r_[q[1:] != q[:-1], True]
-        out.append((int(blocks[lo]), np.packbits(occupied).tobytes(), np.packbits(ends).tobytes(), remainders[lo:hi].tobytes(), counts[lo:hi].astype(np.int64).tobytes()))
+        runs = q[ends]
+        if 32 * len(runs) < 1 << quotient_bits:
+            occupied = b"\x00" + runs.astype("<u4").tobytes()
+        else:
+            marks = np.zeros(1 << quotient_bits, bool)
+            marks[runs.astype(np.int64)] = True
+            occupied = b"\x01" + np.packbits(marks).tobytes()
+        counters = b"" if (counts[lo:hi] == 1).all() else counts[lo:hi].astype("<i8").tobytes()
+        out.append((int(blocks[lo]), occupied, np.packbits(ends).tobytes(), remainders[lo:hi].tobytes(), counters))
     return out
 
 
@@ -57,7 +72,8 @@ def read_filter(occupied: bytes, run_ends: bytes, remainders: bytes, counters: b
     slots = np.frombuffer(remainders, np.uint64)
     ends = np.unpackbits(np.frombuffer(run_ends, np.uint8), count=len(slots))
     run = np.cumsum(ends) - ends
-    return np.flatnonzero(np.unpackbits(np.frombuffer(occupied, np.uint8)))[run].astype(np.uint64), slots, np.frombuffer(counters, np.int64)
+    marked = np.flatnonzero(np.unpackbits(np.frombuffer(occupied, np.uint8, offset=1))) if occupied[0] else np.frombuffer(occupied, "<u4", offset=1)
+    return marked[run].astype(np.uint64), slots, np.frombuffer(counters, "<i8") if counters else np.ones(len(slots), np.int64)
 
 
 def merge_filters(filters: list[tuple[bytes, bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,35 +86,49 @@ def merge_filters(filters: list[tuple[bytes, bytes, bytes, bytes]]) -> tuple[np.
     return q[first], r[first], np.add.reduceat(c, first)
 
 
+FILTER = "block long, occupied binary, run_ends binary, remainders binary, counters binary"
+
+
 def repeated_fingerprints(fingerprints: DataFrame, rows: int, block_slots: int = BLOCK_SLOTS) -> DataFrame:
     """``fp, n`` of the fingerprints (column ``fp``, long) counted more than once among ``rows`` rows."""
-    block_bits = max(6, int(np.ceil(np.log2(max(1, rows / block_slots)))))
-    quotient_bits = int(min(20, max(3, np.ceil(np.log2(max(8, rows / (1 << block_bits)))) - 3)))
-    low_bits = 64 - block_bits - quotient_bits
+    fine = max(6, int(np.ceil(np.log2(max(1, rows / block_slots)))))
+    coarse = min(fine, COARSE_BITS)
+    quotient_bits = int(min(20, max(3, np.ceil(np.log2(max(8, rows / (1 << fine)))) - 3)))
+
+    def frame(made: list[tuple]):
+        for at in range(0, len(made), 256):
+            yield pd.DataFrame(made[at : at + 256], columns=["block", "occupied", "run_ends", "remainders", "counters"])
 
     def build(batches):
         parts = [b["fp"].to_numpy(np.int64).view(np.uint64) for b in batches]
         if parts:
-            made = build_filter(np.concatenate(parts), block_bits, quotient_bits)
-            for at in range(0, len(made), 256):
-                yield pd.DataFrame(made[at : at + 256], columns=["block", "occupied", "run_ends", "remainders", "counters"])
+            yield from frame(build_filter(*np.unique(np.concatenate(parts), return_counts=True), coarse, quotient_bits))
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merged(pdf: pd.DataFrame, block_bits: int) -> tuple[np.ndarray, np.ndarray]:
         q, r, c = merge_filters(list(pdf[["occupied", "run_ends", "remainders", "counters"]].itertuples(index=False, name=None)))
-        many = c > 1
         block = np.uint64(pdf["block"].iloc[0]) << np.uint64(64 - block_bits)
-        fp = block | (q[many] << np.uint64(low_bits)) | r[many]
-        return pd.DataFrame({"fp": fp.view(np.int64), "n": c[many]})
+        return block | (q << np.uint64(64 - block_bits - quotient_bits)) | r, c
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat(frame(build_filter(*merged(pdf, coarse), fine, quotient_bits)))
+
+    def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
+        fp, c = merged(pdf, fine)
+        return pd.DataFrame({"fp": fp[c > 1].view(np.int64), "n": c[c > 1]})
 
-    filters = fingerprints.select("fp").mapInPandas(build, "block long, occupied binary, run_ends binary, remainders binary, counters binary")
-    return filters.groupBy("block").applyInPandas(merge, "fp long, n long")
+    filters = fingerprints.select("fp").mapInPandas(build, FILTER)
+    if fine > coarse:
+        salt = F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(1 << (fine - coarse)))
+        filters = filters.withColumn("salt", salt).groupBy("block", "salt").applyInPandas(split, FILTER)
+    return filters.groupBy("block").applyInPandas(repeated, "fp long, n long")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of texts that are equal without white space, one row per input row.
 
     Null texts count as empty. Of a class the row with the most code points in
-    its original text stays, then the least id (a null id last); of rows that
+    its original text stays, then the least id (of any type that has an order; a
+    null id last); of rows that
     repeat an id with the same text exactly one stays. Returns ``doc_id, keep_id,
     group_size, kept, text_sha256, fp``. Other columns of the input, clashing
     names included, play no part. An empty input gives no rows.
@@ -115,8 +145,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # The bytes of every candidate are compared by grouping on them; copies combine before the exchange.
     texts = marked.join(keys, "fp", "left_semi").groupBy("fp", "text_sha256", "bare").agg(F.count(F.lit(1)).alias("n"))
     checked = texts.groupBy("fp", "text_sha256").agg(F.sum("n").alias("verified"), F.count(F.lit(1)).alias("forms"))
-    best = F.struct("chars", F.coalesce(-F.col("doc_id"), F.lit(-(2**63))).alias("a"), (-F.col("row_id")).alias("b"))
-    classes = thin.join(keys, "fp", "left_semi").groupBy("fp", "text_sha256").agg(F.max(F.struct(best.alias("k"), "doc_id", "row_id")).alias("top"), F.count(F.lit(1)).alias("group_size"))
+    best = F.struct((-F.col("chars")).alias("a"), F.col("doc_id").isNull().alias("b"), "doc_id", "row_id")
+    classes = thin.join(keys, "fp", "left_semi").groupBy("fp", "text_sha256").agg(F.min(best).alias("top"), F.count(F.lit(1)).alias("group_size"))
     classes = classes.join(checked, ["fp", "text_sha256"]).select(
         "fp", "text_sha256", F.col("top.doc_id").alias("keep_id"), F.col("top.row_id").alias("keep_row"),
         F.when((F.col("forms") == 1) & (F.col("verified") == F.col("group_size")), F.col("group_size")).otherwise(F.raise_error(F.lit("equal SHA-256 digests of different bytes"))).cast("long").alias("group_size"),
