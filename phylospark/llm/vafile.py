@@ -32,6 +32,8 @@ CELLS = 200
 #: About how many vectors are in the sample from which cells are fitted; bounds hold for any cells.
 SAMPLE = 4096
 VECTORS_PER_BLOCK, QUERIES_PER_BLOCK = 4096, 512
+#: Queries with one vector from which on they are salted; at most ``MOST_COMMON`` vectors can be that common.
+COMMON_QUERY, MOST_COMMON, SALTS = 256, 4096, 32
 BOUNDS = "block long, part int, n int, low binary"
 
 
@@ -105,9 +107,14 @@ class Cells:
         return a - np.abs(a) * 1e-9, b + np.abs(b) * 1e-9
 
 
+def dealt_to(groups: int):
+    """The group of a block. Blocks are numbered within partitions, so the number itself would deal each partition's first to one group."""
+    return F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")
+
+
 def _pairs(cells: DataFrame, queries: DataFrame, groups: int) -> DataFrame:
     """Every query block beside every block of cells of its dimension."""
-    dealt = cells.select("dim", F.pmod("block", F.lit(groups)).cast("int").alias("g"), F.col("ids").alias("c_ids"), F.col("body").alias("c_body"))
+    dealt = cells.select("dim", dealt_to(groups).alias("g"), F.col("ids").alias("c_ids"), F.col("body").alias("c_body"))
     sent = queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     return sent.join(dealt.hint("shuffle_hash"), ["dim", "g"])
 
@@ -119,8 +126,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, cells:
     ``floor(scale * x)``; scores are integer inner products, ties go to the
     smaller id. Null vectors, vectors with null or non-finite components, empty
     vectors and null ids take no part; vectors of different dimension are not
-    compared; rows that repeat an id count once. A query with fewer candidates
-    gets all of them. Returns ``query_id, rank, vec_id, score``; an empty table
+    compared; rows that repeat an id with the same vector count once, and an id
+    with several vectors takes part with each of them, as a query too. A query
+    with fewer candidates gets all of them. Vectors may be long; other columns
+    play no part. Returns ``query_id, rank, vec_id, score``; an empty table
     gives no rows.
     """
     spark = vectors.sparkSession
@@ -128,7 +137,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, cells:
     scaled = cut(scaled_vectors(vectors, scale, id_col, vector_col))
     asked = scaled.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "dim", "packed").distinct()
     classes = cut(vector_classes(scaled, keep))
-    q_classes = cut(asked.select("dim", "packed").distinct().withColumn("q", F.monotonically_increasing_id()))
+    q_classes = cut(asked.groupBy("dim", "packed").agg(F.count(F.lit(1)).alias("n")).withColumn("q", F.monotonically_increasing_id()))
 
     drawn = least_hashes(classes.select("packed"), "packed", SAMPLE, classes.count()).collect()
     sample = np.frombuffer(b"".join(r["packed"] for r in drawn), "<i4")
@@ -202,7 +211,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, cells:
     rest = found.where(F.col("place") > keep).join(certain, "q").where(F.col("bound") >= F.col("kth"))
     scored = first.unionByName(exact(rest)).select("q", "score", F.explode("ids").alias("vec_id"))
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= keep)
-    answers = asked.join(q_classes, ["dim", "packed"]).select("query_id", "q").join(best, "q").where(F.col("query_id") != F.col("vec_id"))
+    # Queries of a very common vector are dealt by a salt to copies of their class; such classes are few and broadcast as marks.
+    at_least = max(COMMON_QUERY, (q_classes.agg(F.sum("n")).first()[0] or 0) // MOST_COMMON)
+    salt = F.pmod(F.xxhash64("query_id"), F.lit(SALTS))
+    marks = F.broadcast(q_classes.where(F.col("n") > at_least).select("dim", "packed", F.lit(True).alias("common")))
+    salted = asked.join(marks, ["dim", "packed"], "left").withColumn("salt", F.when(F.col("common"), salt).otherwise(0))
+    every_salt = F.explode(F.sequence(F.lit(0), F.when(F.col("n") > at_least, SALTS - 1).otherwise(0)))
+    copies = q_classes.withColumn("salt", every_salt)
+    answers = salted.join(copies.select("dim", "packed", "salt", "q"), ["dim", "packed", "salt"]).select("query_id", "q", "salt")
+    best = best.join(q_classes.select("q", "n"), "q").withColumn("salt", every_salt)
+    answers = answers.join(best.select("q", "salt", "score", "vec_id"), ["q", "salt"]).where(F.col("query_id") != F.col("vec_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
