@@ -6,8 +6,14 @@ for each half, its value and its 32 values with one bit masked out, and an
 equality join of the index with itself meets every pair. A pair that agrees in
 a half meets at the whole value; a pair that differs in bit i of it meets at
 the variant that masks bit i, one side with the bit clear, the other with it
-set. So no pair meets twice in a half, and candidates are verified by counting
-bits. Signatures that are too common get a second signature from the other half.
+set. Candidates are verified by counting bits.
+
+Components need links that span them, not all pairs. So every fingerprint is
+first linked to the least one of each of its signatures, if that is near. Then
+only signatures whose fingerprints are still in different components are joined
+with themselves, and of the pairs found only those of components are kept: the
+fingerprints of a dense ball make links in proportion to their number.
+Signatures that are too common get a second signature from the other half.
 """
 
 from __future__ import annotations
@@ -83,32 +89,53 @@ def _refined(index: DataFrame) -> DataFrame:
     for quarter in (0, 1):
         value = F.shiftrightunsigned(F.when(F.col("half") == 0, _half(F.col("fp"), 1)).otherwise(_half(F.col("fp"), 0)), 16 * quarter).bitwiseAND(F.lit(0xFFFF))
         made = index.withColumn("s", F.explode(_variants(value, 16)))
-        parts.append(made.select("fp", "half", "bit", "rest", "on", F.lit(quarter).alias("quarter"), F.col("s.bit").alias("bit2"), F.col("s.rest").alias("rest2"), F.col("s.on").alias("on2")))
+        parts.append(made.select("fp", "component", "half", "bit", "rest", "on", F.lit(quarter).alias("quarter"), F.col("s.bit").alias("bit2"), F.col("s.rest").alias("rest2"), F.col("s.on").alias("on2")))
     return parts[0].unionByName(parts[1])
 
 
 def _meet(index: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Verified pairs ``src, dst`` of fingerprints that share a signature."""
-    a = index.select(*keys, F.col("fp").alias("src"), *[F.col(c).alias(f"a_{c}") for c in ("on", "on2") if c in index.columns])
-    b = index.select(*keys, F.col("fp").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in ("on", "on2") if c in index.columns])
+    """Pairs ``src, dst`` of components, ends of verified pairs of fingerprints that share a signature."""
+    flags = [c for c in ("on", "on2") if c in index.columns]
+    a = index.select(*keys, F.col("fp").alias("a_fp"), F.col("component").alias("src"), *[F.col(c).alias(f"a_{c}") for c in flags])
+    b = index.select(*keys, F.col("fp").alias("b_fp"), F.col("component").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in flags])
     apart = (F.col("a_on") != F.col("b_on")) | (F.col("bit") < 0)
     if "on2" in index.columns:
         apart &= (F.col("a_on2") != F.col("b_on2")) | (F.col("bit2") < 0)
-    near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= most
-    return a.join(b, keys).where((F.col("src") < F.col("dst")) & apart & near).select("src", "dst")
+    return a.join(b, keys).where((F.col("a_fp") < F.col("b_fp")) & (F.col("src") != F.col("dst")) & apart & _near("a_fp", "b_fp", most)).select("src", "dst").distinct()
 
 
-def near_pairs(distinct: DataFrame, most: int = 3, common: int = COMMON) -> DataFrame:
-    """Pairs of distinct fingerprints (``fp``) that differ in at most ``most`` <= 3 bits."""
+def _near(a: str, b: str, most: int):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
+
+
+def _unsettled(index: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of signatures whose fingerprints are in different components."""
+    ends = index.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return index.join(ends.select(*keys), keys, "left_semi")
+
+
+def near_components(distinct: DataFrame, most: int = 3, common: int = COMMON) -> DataFrame:
+    """``node, component`` of the distinct fingerprints (``fp``) that another one is near, by at most ``most`` <= 3 bits, over any number of links."""
     index = cut(_index(distinct))
     keys = ["half", "bit", "rest"]
-    sums = index.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    sums = index.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first"))
     shared = cut(index.join(sums.where("n > 1"), keys))
-    few, many = shared.where(F.col("n") <= common), shared.where(F.col("n") > common)
-    pairs = _meet(few, keys, most)
+    links = shared.where((F.col("fp") != F.col("first")) & _near("fp", "first", most)).select(F.col("fp").alias("src"), F.col("first").alias("dst"))
+    settled = cut(connected_components(links))
+    labelled = shared.join(settled.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    open_ = cut(_unsettled(labelled, keys))
+    pairs = _meet(open_.where(F.col("n") <= common), keys, most)
+    many = open_.where(F.col("n") > common)
     if many.limit(1).count():
-        pairs = pairs.unionByName(_meet(_refined(many), [*keys, "quarter", "bit2", "rest2"], most))
-    return pairs.distinct()
+        finer = [*keys, "quarter", "bit2", "rest2"]
+        pairs = pairs.unionByName(_meet(_unsettled(_refined(many), finer), finer, most))
+    pairs = cut(pairs)
+    if not pairs.limit(1).count():
+        return settled
+    joined = connected_components(pairs).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    inside = settled.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    # Fingerprints that no first link holds are components of their own; those joined now get a label too.
+    return inside.unionByName(joined.select(F.col("component").alias("node"), F.col("whole").alias("component")).join(inside, "node", "left_anti"))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, most: int = 3, common: int = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,7 +151,7 @@ def simhash_components(docs: DataFrame, words: int = 3, most: int = 3, common: i
     """
     marked = cut(fingerprints(docs, words, id_col, text_col), batch_rows=1000)
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = connected_components(near_pairs(distinct.select("fp"), most, common))
+    groups = near_components(distinct.select("fp"), most, common)
     labelled = distinct.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = cut(labelled.join(smallest, "component").select("fp", "component_id", "component"))
