@@ -286,7 +286,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
 
     buckets = max(64, sum(by_length.values()) // BUCKET_ROWS)
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    in_bucket = Window.partitionBy("bucket", "length").orderBy("doc_id", "piece")
+    in_bucket = Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = dealt.withColumn("rank", F.row_number().over(in_bucket).cast("long") - 1)
     sums = dealt.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket")
