@@ -69,7 +69,7 @@ def test_quotient_filters_merge_without_loss():
     parts = [rng.integers(0, 500, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(5)]
     blocks = defaultdict(list)
     for p in parts:
-        for block, *rest in exact_dedup.build_filter(p, 6, 4):
+        for block, *rest in exact_dedup.build_filter(*np.unique(p, return_counts=True), 6, 4):
             blocks[block].append(tuple(rest))
     got = {}
     for block, filters in blocks.items():
@@ -79,6 +79,32 @@ def test_quotient_filters_merge_without_loss():
     assert got == dict(zip(values.tolist(), counts.tolist()))
 
 
+@pytest.mark.parametrize("slots", [1 << 20, 4])
+def test_repeated_fingerprints(spark, slots):
+    """In one step and, with small blocks, in two salted ones."""
+    rng = random.Random(5)
+    values = [rng.randrange(-(2**63), 2**63) for _ in range(3000)]
+    rows = values + values[:500] + [values[7]] * 4000
+    found = exact_dedup.repeated_fingerprints(spark.createDataFrame([(v,) for v in rows], "fp long").repartition(9), len(rows), slots)
+    assert {tuple(r) for r in found.collect()} == {(v, 4002 if v == values[7] else 2) for v in values[:500]}
+
+
+def test_thin_filters_are_short():
+    rng = np.random.default_rng(1)
+    values = np.unique(rng.integers(0, 2**63, 65_000).astype(np.uint64) * np.uint64(2))
+    made = exact_dedup.build_filter(values, np.ones(len(values), np.int64), 8, 17)
+    assert sum(len(part) for f in made for part in f[1:]) / len(values) < 13
+    alone = exact_dedup.build_filter(values, np.ones(len(values), np.int64), 16, 17)
+    assert sum(len(part) for f in alone for part in f[1:]) / len(values) < 15
+    assert [int(b) for b, *_ in alone] == sorted({int(v) >> 48 for v in values})
+
+
+def test_exact_dedup_of_other_ids(spark):
+    rows = [("b", "x  y"), ("a", "x y "), ("c", "xy"), (None, " x y"), ("d", None), ("e", "")]
+    found = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert found == {"a": ("a", True), "b": ("a", False), "c": ("a", False), None: ("a", False), "d": ("d", True), "e": ("d", False)}
+
+
 def test_mixing(odd, none):
     found = collect(mixing.mix_sources(odd))
     sizes = defaultdict(int)
@@ -134,21 +160,50 @@ def test_simhash(odd, none):
     assert collect(simhash.simhash_components(none)) == [] and simhash.one_of_each(none).count() == 0
 
 
+def near_labels(marks):
+    """Least fingerprint reachable, by brute force, of those that are near another one."""
+    group = {m: m for m in marks}
+    near = {a: [b for b in marks if bin((a ^ b) % 2**64).count("1") <= 3] for a in marks}
+    while True:
+        new = {a: min(group[b] for b in near[a]) for a in marks}
+        if new == group:
+            return {a: g for a, g in group.items() if len(near[a]) > 1}
+        group = new
+
+
 @pytest.mark.parametrize("common", [2, 10**6])
-def test_near_pairs_are_all_pairs(spark, common):
+def test_near_components_are_those_of_all_pairs(spark, common):
     rng = random.Random(6)
     base = [rng.getrandbits(64) for _ in range(6)]
     marks = {b for b in base}
     for b in base:
         for _ in range(25):
             x = b
-            for bit in rng.sample(range(64), rng.randint(1, 4)):
+            for bit in rng.sample(range(64), rng.randint(1, 6)):
                 x ^= 1 << bit
             marks.add(x)
+    chain = rng.getrandbits(64)
+    for _ in range(30):  # each near the last one only
+        for bit in rng.sample(range(64), 3):
+            chain ^= 1 << bit
+        marks.add(chain)
     signed = sorted(m - 2**64 if m >> 63 else m for m in marks)
-    want = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) % 2**64).count("1") <= 3}
-    found = simhash.near_pairs(spark.createDataFrame([(m,) for m in signed], "fp long"), common=common).collect()
-    assert {tuple(r) for r in found} == want and len(found) == len(want)
+    found = simhash.near_components(spark.createDataFrame([(m,) for m in signed], "fp long"), common=common).collect()
+    assert dict(map(tuple, found)) == near_labels(signed) and len(found) == len({r["node"] for r in found})
+
+
+def test_a_dense_ball_makes_few_links(spark, monkeypatch):
+    rng = random.Random(8)
+    center, marks = rng.getrandbits(63), set()
+    while len(marks) < 340:
+        x = center
+        for bit in rng.sample(range(12), rng.randint(0, 4)):
+            x ^= 1 << bit
+        marks.add(x)
+    links, inner = [], simhash.connected_components
+    monkeypatch.setattr(simhash, "connected_components", lambda edges: links.append(edges.count()) or inner(edges))
+    found = dict(map(tuple, simhash.near_components(spark.createDataFrame([(m,) for m in marks], "fp long")).collect()))
+    assert found == near_labels(sorted(marks)) and sum(links) < 40 * len(marks)
 
 
 def test_top_k(spark):
@@ -168,6 +223,23 @@ def test_top_k(spark):
     assert vafile.top_k(df.limit(0), lambda c: c % 20 == 0).count() == 0
 
 
+def test_top_k_of_common_queries_and_several_vectors(spark, monkeypatch):
+    rows = [(20 * i, [1.0, 2.0]) for i in range(50)] + [(7, [3.0, 1.0]), (7, [4.0, 4.0]), (9, [0.0, 1.0]), (9, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    for common in (256, 3):
+        monkeypatch.setattr(vafile, "COMMON_QUERY", common)
+        found = vafile.top_k(df, lambda c: c % 20 == 0, k=4, scale=1.0).collect()
+        assert len(found) == 50 * 4
+        for r in found:
+            others = [v for v in (0, 20, 40) if v != r["query_id"]]
+            assert (r["vec_id"], r["score"]) == [(7, 12), (7, 5), (others[0], 5), (others[1], 5)][r["rank"] - 1]
+
+
+def test_blocks_are_dealt_evenly(spark):
+    blocks = spark.range(64).select((F.col("id") * 2**33).alias("block"))
+    assert len({r[0] for r in blocks.select(vafile.dealt_to(32)).collect()}) > 16
+
+
 def test_network_gradients():
     rng = np.random.default_rng(1)
     net = langid.ByteNetwork(["a", "b", "c"])
@@ -444,6 +516,7 @@ def test_revisits(spark):
         url = rng.choice(["http://www.x.org/a/", "https://x.org/a#top", "http://X.org:80/a/index.html?utm_source=q", "http://y.org/b?b=2&a=1", "https://y.org/b?a=1&b=2", None])
         kind = "response" if rng.random() < 0.4 else "revisit"
         etag, modified = rng.choice(["e1", "e2", None]), rng.choice(["m1", None])
+        etag = etag and rng.choice(["", "W/"]) + etag
         rows.append((i, url, rng.choice([rng.randrange(400), None] if rng.random() < 0.1 else [rng.randrange(400)]), kind, etag, modified, {"ETag": str(etag), "Content-Type": f"t{i}", "Age": str(i)} if i % 7 else None, f"body {i}" if kind == "response" else None))
     schema = "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>, payload string"
     df = spark.createDataFrame(rows, schema).withColumn("slot", F.lit("x")).repartition(4)
@@ -452,11 +525,13 @@ def test_revisits(spark):
     for r in rows:
         if r[3] == "revisit":
             full = max(((q[2], q[0], q) for q in rows if q[3] == "response" and group(q[1]) is not None and group(q[1]) == group(r[1]) and None not in (q[2], r[2]) and q[2] < r[2]), default=None, key=lambda x: x[:2])
-            same = full and (full[2][4] == r[4] if r[4] is not None else full[2][5] == r[5] if r[5] is not None else True)
+            same = full and ((full[2][4] or "").removeprefix("W/") == r[4].removeprefix("W/") if r[4] is not None else full[2][5] == r[5] if r[5] is not None else True)
             want[r[0]] = (full and full[1], "missing" if not full else "resolved" if same else "changed", full[2][7] if full and same else None)
     for slots in (1, 16, 1024):
         found = {r["record_id"]: r for r in revisits.resolve_revisits(df, slots).collect()}
         assert {k: (r["response_id"], r["status"], r["payload"]) for k, r in found.items()} == want
+    twice = revisits.resolve_revisits(df.unionByName(df)).collect()
+    assert len(twice) == 2 * len(found) and {r["record_id"]: (r["response_id"], r["status"], r["payload"]) for r in twice} == want
     for k, r in found.items():
         if r["status"] == "resolved":
             stored, fresh = rows[r["response_id"]][6] or {}, rows[k][6] or {}
