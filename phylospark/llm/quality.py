@@ -4,7 +4,8 @@ A document is a bag of passages of 512 bytes; only the document has a label.
 Every passage is encoded, a gated attention (tanh times logistic) gives it a
 weight among the passages of its document, and the weighted sum is scored. So a
 page of junk in a long text can decide, and the label need not say where it is.
-The model is trained in numpy on a bounded sample; scoring reads whole texts.
+The model is trained in numpy on the whole texts of a bounded number of labelled
+documents; scoring reads whole texts too.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylospark.llm.sampling import least_hashes
+from phylospark.shared import cut
 
-#: Bound of the training sample: labelled documents, and characters of a window of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 3000, 6000
+#: Bound of the training sample: labelled documents, and characters of all of them (fewer documents beyond it, each whole).
+SAMPLE_DOCS, SAMPLE_CHARS = 3000, 64_000_000
 PASSAGE, ROWS = 512, 1024
 #: Texts whose bytes a task holds at once.
 AT_ONCE = 500
@@ -79,26 +81,26 @@ class AttentionModel:
         t, s = np.tanh(h @ self.p["v"]), 1 / (1 + np.exp(-(h @ self.p["u"])))
         return h, ((t * s) @ self.p["a"])[..., 0], t, s
 
-    def gradients(self, x: np.ndarray, real: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-        """Mean log loss of bags ``x`` (bags, passages, features) with padding where not ``real``."""
+    def gradients(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
+        """Mean log loss of bags and its gradients; ``x`` are all passages' features, ``counts`` the passages of each bag."""
         h, logit, t, s = self.encode(x)
-        e = np.exp(logit - np.where(real, logit, -np.inf).max(axis=1, keepdims=True)) * real
-        weight = e / e.sum(axis=1, keepdims=True)
-        z = (weight[..., None] * h).sum(axis=1)
+        first, bag = np.cumsum(counts) - counts, np.repeat(np.arange(len(counts)), counts)
+        e = np.exp(logit - np.maximum.reduceat(logit, first)[bag])
+        weight = e / np.add.reduceat(e, first)[bag]
+        z = np.add.reduceat(weight[:, None] * h, first)
         score = 1 / (1 + np.exp(-((z @ self.p["c"])[:, 0] + self.p["d"])))
         loss = -np.mean(y * np.log(score + 1e-9) + (1 - y) * np.log(1 - score + 1e-9))
         d = (score - y) / len(y)
         g = {"c": z.T @ d[:, None], "d": d.sum(keepdims=True)}
-        dz = d[:, None] * self.p["c"][:, 0]
-        dw = np.einsum("bf,bkf->bk", dz, h)
-        dl = weight * (dw - (weight * dw).sum(axis=1, keepdims=True))
-        g["a"] = np.einsum("bk,bkm->m", dl, t * s)[:, None]
-        dgate = dl[..., None] * self.p["a"][:, 0]
+        dz = (d[:, None] * self.p["c"][:, 0])[bag]
+        dw = (dz * h).sum(axis=1)
+        dl = weight * (dw - np.add.reduceat(weight * dw, first)[bag])
+        g["a"] = (t * s).T @ dl[:, None]
+        dgate = dl[:, None] * self.p["a"][:, 0]
         dt, ds = dgate * s * (1 - t * t), dgate * t * s * (1 - s)
-        g["v"], g["u"] = np.einsum("bkf,bkm->fm", h, dt), np.einsum("bkf,bkm->fm", h, ds)
-        dh = weight[..., None] * dz[:, None] + dt @ self.p["v"].T + ds @ self.p["u"].T
-        dx = (dh * (1 - h * h)).reshape(-1, h.shape[-1])
-        g["w"], g["b"] = x.reshape(-1, x.shape[-1]).T @ dx, dx.sum(axis=0)
+        g["v"], g["u"] = h.T @ dt, h.T @ ds
+        dx = (weight[:, None] * dz + dt @ self.p["v"].T + ds @ self.p["u"].T) * (1 - h * h)
+        g["w"], g["b"] = x.T @ dx, dx.sum(axis=0)
         return float(loss), g
 
     def train(self, texts: list[bytes], y: np.ndarray, epochs: int = 14, bags: int = 48, rate: float = 0.01, decay: float = 1e-5, seed: int = 3) -> None:
@@ -112,11 +114,8 @@ class AttentionModel:
             for at in range(0, len(order), bags):
                 step += 1
                 of = order[at : at + bags]
-                most = int(counts[of].max())
-                real = np.arange(most) < counts[of][:, None]
-                x = np.zeros((len(of), most, FEATURES), np.float32)
-                x[real] = features(rows[np.concatenate([np.arange(first[i], first[i] + counts[i]) for i in of])])
-                _, grads = self.gradients(x, real, y[of])
+                x = features(rows[np.concatenate([np.arange(first[i], first[i] + counts[i]) for i in of])])
+                _, grads = self.gradients(x, counts[of], y[of])
                 for k, g in grads.items():
                     a, b = moments[k]
                     a += 0.1 * (g - a)
@@ -138,19 +137,21 @@ class AttentionModel:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held: int = 2, sample_docs: int = SAMPLE_DOCS) -> AttentionModel:
     """Train on about ``sample_docs`` labels, at most twice as many, of least hash whose crc32(id) mod ``folds`` is not ``held``.
 
-    Of each document a window of ``SAMPLE_CHARS`` characters at a place fixed by
-    its hash is used. Without labels the model stays as it began.
+    Each is read whole; if they have more than ``SAMPLE_CHARS`` characters in
+    all, those of greatest hash are left out. Without labels the model stays as
+    it began. An id with both labels counts as 0.
     """
     key = F.col("_id").cast("string")
     usable = F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (F.crc32(key) % folds != held)
     drawn = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(usable)
     drawn = least_hashes(drawn, "_id", sample_docs, drawn.count()).groupBy("_id").agg(F.min("_y").alias("_y"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    room = F.greatest(F.char_length(text) - SAMPLE_CHARS, F.lit(0)) + 1
-    window = F.substring(text, F.pmod(F.xxhash64(key, F.lit("window")), room).cast("int") + 1, F.lit(SAMPLE_CHARS))
     # The sample has at most 2 * ``sample_docs`` rows, so its broadcast is bounded.
-    joined = docs.select(F.col(id_col).alias("_key"), F.col(text_col)).join(F.broadcast(drawn), F.col("_key") == F.col("_id"))
-    rows = sorted(joined.select("_id", "_y", window.alias("text")).limit(4 * sample_docs).collect())
+    joined = docs.select(F.col(id_col).alias("_key"), text.alias("text")).join(F.broadcast(drawn), F.col("_key") == F.col("_id"))
+    sample = cut(joined.select(F.xxhash64(key).alias("h"), "_id", "_y", "text").limit(4 * sample_docs))
+    sizes = sorted((r["h"], r["n"]) for r in sample.select("h", F.char_length("text").alias("n")).collect())
+    inside = np.cumsum([n for _, n in sizes]) <= SAMPLE_CHARS
+    rows = sorted(sample.where(F.col("h") <= sizes[int(inside.sum()) - 1][0]).select("_id", "_y", "text").collect()) if inside.any() else []
     model = AttentionModel()
     if rows:
         model.train([r["text"].encode("utf-8", "replace") for r in rows], np.array([r["_y"] for r in rows], np.float32))
@@ -173,5 +174,10 @@ def score_quality(docs: DataFrame, model: AttentionModel, threshold: float = 0.7
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Train and score: one row per row of ``docs``; an empty table gives none, labels without documents are ignored."""
+    """Train and score: one row per row of ``docs``; an empty table gives none, labels without documents are ignored.
+
+    Null texts are empty; empty texts have a score, and texts may be very long.
+    Equal texts have equal scores. Null ids are not held out; null labels and
+    other columns play no part.
+    """
     return score_quality(docs, fit(docs, labels, id_col, text_col), threshold, id_col, text_col)
