@@ -22,6 +22,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 HASH_BITS, STEP_BITS = 60, 10
 #: Tables with one row per source, made on the driver, are broadcast up to this many rows.
 BROADCAST_SOURCES = 100_000
+#: Sources that a mix may have: names of collections, so thousands are many.
+MOST_SOURCES = 1_000_000
 
 
 def share_out(sizes: list[float], weights: list[float], budget: float, most: float) -> list[float]:
@@ -40,8 +42,11 @@ def share_out(sizes: list[float], weights: list[float], budget: float, most: flo
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, budget: float = 1.5, most: float = 2.0) -> dict:
-    """For each source: its size and target. The driver holds one number per source, and no document."""
-    rows = sorted(sized.groupBy("source").agg(F.sum("size").alias("size")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
+    """For each source: its size and target. The driver holds two numbers per source, and no document; over a million sources are an error."""
+    sums = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
+    if len(sums) > MOST_SOURCES:
+        raise ValueError(f"a mix has at most {MOST_SOURCES} sources")
+    rows = sorted(sums, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in rows]
     shares = share_out(sizes, [weights[i % len(weights)] for i in range(len(rows))], budget * sum(sizes), most)
     return {r["source"]: (r["size"], share) for r, share in zip(rows, shares)}
