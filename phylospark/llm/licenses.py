@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phylospark.llm.license_texts import LICENSES
+
 SHINGLE, SIMILARITY, MISS = 5, 0.8, 1e-4
 WORD = re.compile(r"[^\W_]+")
 #: Words handled at once in a task; the next texts wait for the next block.
@@ -30,15 +32,6 @@ BLOCK_WORDS = 400_000
 TEMPLATE_BYTES = 64 << 20
 FULL = np.uint64(2**64 - 1)
 
-#: Notices of common licenses, as they are written.
-LICENSES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-}
-
-
 def collision_probability(similarity: float, rows: int, bands: int) -> float:
     """Chance that two sets of this Jaccard similarity agree in all rows of at least one band."""
     return 1 - (1 - similarity**rows) ** bands
@@ -108,22 +101,28 @@ class Templates:
         if not len(hashes):
             return found
         begins = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        inside = np.arange(len(doc)) - np.repeat(begins, np.diff(np.r_[begins, len(doc)]))
+        starts = np.arange(len(doc))
+        inside = starts - np.repeat(begins, np.diff(np.r_[begins, len(doc)]))
+        # Blocks of 1, 2, 4 ... shingles of each text: which blocks of half the size begin one, and what window of so many blocks stays in its text.
+        levels, step = [], 1
+        while step <= max(1, max(self.sizes.values()) // 4):
+            begin = np.flatnonzero(inside[starts] % step == 0)
+            starts = starts[begin]
+            whose = doc[starts]
+            levels.append((step, begin, starts, whose, [whose[k:] == whose[:-k] for k in (1, 2, 3)]))
+            step *= 2
         for band in sorted({b for _, b in self.bands}):
-            values = permuted(hashes, band)
-            for size in sorted({w for w, b in self.bands if b == band}):
-                step = max(1, size // 4)
-                starts = np.flatnonzero(inside % step == 0)
-                least = np.minimum.reduceat(values, starts) if step > 1 else values
-                whose = doc[starts]
-                window = least.copy()
-                for k in range(1, size // step):  # a document's end shortens its last windows
-                    same = whose[k:] == whose[:-k]
-                    window[:-k] = np.minimum(window[:-k], np.where(same, least[k:], FULL))
-                keys = self.bands[size, band]
-                for i in np.flatnonzero(self.filters[size, band][window & np.uint64(0xFFFF)]):
-                    for name in keys.get(int(window[i]), ()):
-                        found.add((int(whose[i]), int(inside[starts[i]]), name))
+            least = permuted(hashes, band)
+            for step, begin, starts, whose, same in levels:
+                least = np.minimum.reduceat(least, begin) if step > 1 else least
+                for size in sorted({w for w, b in self.bands if b == band and max(1, w // 4) == step}):
+                    window = least.copy()
+                    for k in range(1, size // step):  # a document's end shortens its last windows
+                        window[:-k] = np.minimum(window[:-k], np.where(same[k - 1], least[k:], FULL))
+                    keys = self.bands[size, band]
+                    for i in np.flatnonzero(self.filters[size, band][window & np.uint64(0xFFFF)]):
+                        for name in keys.get(int(window[i]), ()):
+                            found.add((int(whose[i]), int(inside[starts[i]]), name))
         return found
 
     def windows(self, at: np.ndarray, found: list[tuple], name: str) -> list[tuple[int, int, float]]:
@@ -196,9 +195,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     """Where license templates stand in texts: ``doc_id, license, start, end, containment``.
 
     A match holds at least ``containment`` of the template's shingles within
-    one window; ``start`` and ``end`` are places in code points. Null texts and
-    texts of fewer than five words match nothing; repeated rows each give their
-    matches; an empty table gives no rows. Whole texts are read.
+    one window; ``start`` and ``end`` are places in code points. Matches of one
+    template don't overlap, the choice with most of them and then the most
+    similar one counts; matches of different templates may overlap, and each is
+    given. Null texts and texts of fewer than five words match nothing; repeated
+    rows each give their matches; an empty table gives no rows. Whole texts are
+    read, however long; columns of other names play no part.
     """
     texts = LICENSES if templates is None else templates
     if sum(map(len, texts.values())) > TEMPLATE_BYTES:

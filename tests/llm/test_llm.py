@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import phylospark.llm.queries as queries
-from phylospark.llm import exact_dedup, html_wrappers, langid, licenses, mixing, packing, quality, revisits, simhash, vafile
+from phylospark.llm import exact_dedup, html_wrappers, langid, license_texts, licenses, mixing, packing, quality, revisits, simhash, vafile
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, row string, _id long, h string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -356,7 +356,7 @@ def test_license_scan_finds_what_brute_force_finds(spark, none):
     texts, want = [], []
     for i in range(120):
         words, names = filler(rng.randint(0, 60)), []
-        for name in rng.sample(list(licenses.LICENSES), rng.randint(0, 2)):
+        for name in rng.sample(list(license_texts.NOTICES), rng.randint(0, 2)):
             words += [licenses.LICENSES[name].upper() if rng.random() < 0.3 else licenses.LICENSES[name]] + filler(rng.randint(20, 40))
             names.append(name)
         texts.append(" ".join(words))
@@ -370,6 +370,45 @@ def test_license_scan_finds_what_brute_force_finds(spark, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def held_by_brute_force(text, template):
+    """Whether some window of the template's size holds 80 % of its shingles."""
+    words = [m[0] for m in re.finditer(r"[^\W_]+", text.lower())]
+    wanted = re.findall(r"[^\W_]+", template.lower())
+    wanted = {tuple(wanted[i : i + 5]) for i in range(len(wanted) - 4)}
+    places = [(i, tuple(words[i : i + 5])) for i in range(len(words) - 4) if tuple(words[i : i + 5]) in wanted]
+    size = licenses.window_size(len(wanted))
+    return any(len({s for j, s in places if i <= j < i + size}) >= 0.8 * len(wanted) for i, _ in places)
+
+
+def test_license_recall():
+    """Altered license texts among stray stretches of other ones: all that brute force finds, and nothing else."""
+    rng = random.Random(21)
+    known, found, held = licenses.Templates(licenses.LICENSES), 0, 0
+    for _ in range(120):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += [rng.choice(["alpha", "beta", "the", "software"]) for _ in range(rng.randrange(40))]
+            some = rng.choice(list(licenses.LICENSES.values())).split()
+            if rng.random() < 0.3:  # a stray stretch
+                at = rng.randrange(len(some))
+                words += some[at : at + rng.randint(5, 30)]
+            changes = rng.choice([0, 0.01, 0.03, 0.05])
+            words += ["other" if rng.random() < changes else w for w in some]
+        text = " ".join(words)
+        got = {m[1] for m in known.scan([text])}
+        want = {name for name, template in licenses.LICENSES.items() if held_by_brute_force(text, template)}
+        assert got == want
+        found, held = found + len(got & want), held + len(want)
+    assert held > 100 and found == held
+
+
+def test_stray_phrases_split_no_license():
+    known = licenses.Templates(licenses.LICENSES)
+    assert {m[1] for m in known.scan(["licensed under the apache license as is. Licensed under the Apache License, Version 2.0."])} == {"Apache-2.0"}
+    long = licenses.LICENSES["MIT-text"]
+    assert {m[1] for m in known.scan(["to deal in the software " + "x " * 60 + long])} == {"MIT-text"}
+
+
 def test_license_bands_guarantee_collisions():
     for n in range(1, 200):
         assert licenses.collision_probability(licenses.lowest_similarity(n), 1, licenses.bands_needed(n)) >= 1 - licenses.MISS
@@ -381,7 +420,7 @@ def test_license_bands_guarantee_collisions():
 
 
 def test_license_windows_slide():
-    known, notice = licenses.Templates(licenses.LICENSES), licenses.LICENSES["GPL-3.0"]
+    known, notice = licenses.Templates(license_texts.NOTICES), licenses.LICENSES["GPL-3.0"]
     stray = "This work is licensed under terms that the two authors once agreed upon."
     assert [(m[1], m[2]) for m in known.scan([f"{stray} {notice}"]) if m[1] == "GPL-3.0"] == [("GPL-3.0", len(stray) + 1)]
     for between in range(30):
