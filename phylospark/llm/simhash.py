@@ -5,8 +5,7 @@ halves; of three differing bits one half holds at most one. So the index keeps,
 for each half, its value and its 32 values with one bit masked out, and an
 equality join of the index with itself meets every pair. A pair that agrees in
 a half meets at the whole value; a pair that differs in bit i of it meets at
-the variant that masks bit i, one side with the bit clear, the other with it
-set. Candidates are verified by counting bits.
+the variant that masks bit i. Candidates are verified by counting bits.
 
 Components need links that span them, not all pairs. So every fingerprint is
 first linked to the least one of each of its signatures, if that is near. Then
@@ -63,11 +62,11 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).alias("doc_id"), marks(F.col(text_col).cast("string")).alias("fp"), *keep)
 
 
-def _variants(value, bits: int):
-    """Structs (masked bit or -1, value without it, the bit's value) of a segment."""
-    whole = F.struct(F.lit(-1).alias("bit"), value.alias("rest"), F.lit(None).cast("boolean").alias("on"))
-    masked = [F.struct(F.lit(i).alias("bit"), value.bitwiseAND(F.lit(~(1 << i))).alias("rest"), (value.bitwiseAND(F.lit(1 << i)) != 0).alias("on")) for i in range(bits)]
-    return F.array(whole, *masked)
+def _variants(value, segment: int, bits: int):
+    """Signatures of a segment, one long each: segment, masked bit (from 1; 0 for none), and the value without it."""
+    at = lambda bit: F.lit(segment << (bits + 6) | bit << bits)
+    masked = [value.bitwiseAND(F.lit(~(1 << i))).bitwiseOR(at(i + 1)) for i in range(bits)]
+    return F.array(value.bitwiseOR(at(0)), *masked)
 
 
 def _half(fp, half: int):
@@ -75,33 +74,23 @@ def _half(fp, half: int):
 
 
 def _index(distinct: DataFrame) -> DataFrame:
-    """``fp, key, on`` for every signature of every fingerprint."""
-    parts = []
-    for half in (0, 1):
-        made = distinct.select("fp", F.explode(_variants(_half(F.col("fp"), half), 32)).alias("s"))
-        parts.append(made.select("fp", F.lit(half).alias("half"), "s.bit", "s.rest", "s.on"))
+    """``fp, sig`` for every signature of every fingerprint."""
+    parts = [distinct.select("fp", F.explode(_variants(_half(F.col("fp"), half), half, 32)).alias("sig")) for half in (0, 1)]
     return parts[0].unionByName(parts[1])
 
 
 def _refined(index: DataFrame) -> DataFrame:
-    """Signatures of both halves: one 16-bit quarter of the other half differs by at most one bit too."""
-    parts = []
-    for quarter in (0, 1):
-        value = F.shiftrightunsigned(F.when(F.col("half") == 0, _half(F.col("fp"), 1)).otherwise(_half(F.col("fp"), 0)), 16 * quarter).bitwiseAND(F.lit(0xFFFF))
-        made = index.withColumn("s", F.explode(_variants(value, 16)))
-        parts.append(made.select("fp", "component", "half", "bit", "rest", "on", F.lit(quarter).alias("quarter"), F.col("s.bit").alias("bit2"), F.col("s.rest").alias("rest2"), F.col("s.on").alias("on2")))
+    """Rows with signatures ``finer`` of the other half: one 16-bit quarter of it differs by at most one bit too."""
+    other = F.when(F.shiftright("sig", 38) == 0, _half(F.col("fp"), 1)).otherwise(_half(F.col("fp"), 0))
+    parts = [index.withColumn("finer", F.explode(_variants(F.shiftrightunsigned(other, 16 * quarter).bitwiseAND(F.lit(0xFFFF)), quarter, 16))) for quarter in (0, 1)]
     return parts[0].unionByName(parts[1])
 
 
 def _meet(index: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Pairs ``src, dst`` of components, ends of verified pairs of fingerprints that share a signature."""
-    flags = [c for c in ("on", "on2") if c in index.columns]
-    a = index.select(*keys, F.col("fp").alias("a_fp"), F.col("component").alias("src"), *[F.col(c).alias(f"a_{c}") for c in flags])
-    b = index.select(*keys, F.col("fp").alias("b_fp"), F.col("component").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in flags])
-    apart = (F.col("a_on") != F.col("b_on")) | (F.col("bit") < 0)
-    if "on2" in index.columns:
-        apart &= (F.col("a_on2") != F.col("b_on2")) | (F.col("bit2") < 0)
-    return a.join(b, keys).where((F.col("a_fp") < F.col("b_fp")) & (F.col("src") != F.col("dst")) & apart & _near("a_fp", "b_fp", most)).select("src", "dst").distinct()
+    a = index.select(*keys, F.col("fp").alias("a_fp"), F.col("component").alias("src"))
+    b = index.select(*keys, F.col("fp").alias("b_fp"), F.col("component").alias("dst"))
+    return a.join(b, keys).where((F.col("src") < F.col("dst")) & _near("a_fp", "b_fp", most)).select("src", "dst").distinct()
 
 
 def _near(a: str, b: str, most: int):
@@ -116,10 +105,9 @@ def _unsettled(index: DataFrame, keys: list[str]) -> DataFrame:
 
 def near_components(distinct: DataFrame, most: int = 3, common: int = COMMON) -> DataFrame:
     """``node, component`` of the distinct fingerprints (``fp``) that another one is near, by at most ``most`` <= 3 bits, over any number of links."""
-    index = cut(_index(distinct))
-    keys = ["half", "bit", "rest"]
-    sums = index.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first"))
-    shared = cut(index.join(sums.where("n > 1"), keys))
+    index, keys = cut(_index(distinct)), ["sig"]
+    sums = cut(index.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first")).where("n > 1"))
+    shared = cut(index.join(_sized(sums), keys))
     links = shared.where((F.col("fp") != F.col("first")) & _near("fp", "first", most)).select(F.col("fp").alias("src"), F.col("first").alias("dst"))
     settled = cut(connected_components(links))
     labelled = shared.join(settled.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -127,7 +115,7 @@ def near_components(distinct: DataFrame, most: int = 3, common: int = COMMON) ->
     pairs = _meet(open_.where(F.col("n") <= common), keys, most)
     many = open_.where(F.col("n") > common)
     if many.limit(1).count():
-        finer = [*keys, "quarter", "bit2", "rest2"]
+        finer = [*keys, "finer"]
         pairs = pairs.unionByName(_meet(_unsettled(_refined(many), finer), finer, most))
     pairs = cut(pairs)
     if not pairs.limit(1).count():
@@ -185,5 +173,5 @@ def _hex(column: str):
 
 
 def _sized(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Broadcast up to ``most`` ids of 8 bytes; a shuffled join otherwise."""
+    """Broadcast up to ``most`` rows of some ids; a shuffled join otherwise."""
     return F.broadcast(ids) if ids.count() <= most else ids
