@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylospark.llm.sampling import packed
+from phylospark.shared import cut
 
 #: Bound of the training sample: documents in all, least number of each language, windows of each at places all over its text, and their characters.
 SAMPLE_DOCS, LEAST_DOCS, WINDOWS, WINDOW_CHARS = 2000, 100, 16, 64
@@ -27,6 +28,8 @@ HIDDEN, CHUNK, ROWS = 8, 128, 1024
 #: Texts whose bytes a task holds at once.
 AT_ONCE = 500
 UNDETERMINED = "und"
+#: Documents that go are broadcast up to this number (16 bytes each).
+BROADCAST_GONE = 1_000_000
 
 
 class ByteNetwork:
@@ -251,7 +254,7 @@ def language_id(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_co
     return identify(bare, network, "doc_id", "text").select("doc_id", held_out, "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, least: float = DETERMINED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def known_language(docs: DataFrame, least: float = DETERMINED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", batch_rows: int | None = None) -> DataFrame:
     """``docs`` whose language is determined; columns as they came.
 
     A document goes if it is null or has no letter, or if no language has more
@@ -261,6 +264,11 @@ def known_language(docs: DataFrame, least: float = DETERMINED, id_col: str = "do
     the right one.
     """
     network = fit(docs, id_col, text_col, lang_col)
-    bare = packed(docs, _text=F.col(text_col))
-    marked = identify(bare, network, text_col="_text")
-    return marked.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") > least)).select("row.*")
+    text = F.col(text_col).cast("string")
+    thin = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_mark"), text.alias("_text"))
+    sure = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") > least)
+    # Only what goes is written; texts stay where they are. Equal texts of one id have one answer.
+    gone = cut(identify(thin, network, "_id", "_text").where(~sure).select("_id", "_mark").distinct(), batch_rows)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_GONE else gone
+    rows = packed(docs, key=F.col(id_col), mark=F.xxhash64(text))
+    return rows.join(gone, F.col("key").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_anti").select("row.*")
