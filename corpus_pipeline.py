@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     go. The network learns from the labelled documents of the table; without
     labels nothing is determined and nothing stays. Long texts are read whole.
     """
-    return cut(langid.known_language(docs), BATCH_ROWS)
+    return langid.known_language(docs, batch_rows=BATCH_ROWS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
