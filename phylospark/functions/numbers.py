@@ -58,35 +58,38 @@ def range_multiply(spark: SparkSession, start: float, stop: float, factor: float
     """start, start * factor, ... while the size stays within that of stop."""
     if start == stop:
         return _numbers(spark, 1).select("pos", F.lit(float(start)).alias("value"))
-    if start == 0 or stop == 0 or start * stop < 0 and factor > 0 or factor == 0:
-        raise ValueError("a multiplied range needs ends of one sign, none zero, and a factor other than zero")
-    if abs(factor) == 1 or (abs(stop) > abs(start)) != (abs(factor) > 1):
+    if start == 0 or stop == 0:
+        raise ValueError("a multiplied range has no end at zero")
+    if start * stop < 0:
+        raise ValueError("the ends of a multiplied range have one sign")
+    if factor <= 0:
+        raise ValueError("the factor of a multiplied range is greater than zero")
+    if factor == 1 or (abs(stop) > abs(start)) != (factor > 1):
         raise ValueError("the factor does not lead from start to stop")
     values, x = [], float(start)
-    within = (lambda v: abs(v) <= abs(stop)) if abs(factor) > 1 else (lambda v: abs(v) >= abs(stop))
+    within = (lambda v: abs(v) <= abs(stop)) if factor > 1 else (lambda v: abs(v) >= abs(stop))
     while within(x):  # a range of doubles has at most about two thousand steps of factor two, the driver's list stays small
         values.append((len(values), x))
         x *= factor
     return spark.createDataFrame(values, "pos long, value double")
 
 
+def _asked(x: float, total: int) -> float:
+    """How many of ``total`` a rule asks for, before rounding: a share of them, a number, or a number counted from the end.
+
+    A share lies strictly between -1 and 1; counting from the end repeats until
+    the number is a share or not below zero any more.
+    """
+    while x <= -1 and total > 0:
+        x += total
+    return x * total if abs(x) < 1 else x
+
+
 def pick_min(x: float, total: int) -> int:
-    """At least how many of ``total`` proteomes ``x`` asks for: a number, a share, or counted from the end."""
-    if x == 0:
-        return 0
-    if -1 < x < 1:
-        return math.ceil(x * total)
-    if x < -total:
-        return 0
-    return pick_min(total + x, total) if x < 0 else math.ceil(x)
+    """At least how many of ``total`` proteomes ``x`` asks for; further from the end than there are counts as none."""
+    return 0 if x < -total else math.ceil(_asked(x, total))
 
 
 def pick_max(x: float, total: int) -> int:
-    """At most how many of ``total`` proteomes ``x`` allows."""
-    if x == 0:
-        return 0
-    if -1 < x < 1:
-        return math.floor(x * total)
-    if x > total:
-        return total
-    return pick_max(total + x, total) if x < 0 else math.floor(x)
+    """At most how many of ``total`` proteomes ``x`` allows, all of them at most."""
+    return min(math.floor(_asked(x, total)), total)

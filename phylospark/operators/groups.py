@@ -10,8 +10,17 @@ from phylospark.operators.components import connected_components
 
 
 def orthogroup_containing(groups: DataFrame, member: str) -> DataFrame:
-    """Members of the group that holds ``member``; none if no group does."""
-    return orthogroups_containing(groups, groups.sparkSession.createDataFrame([(member,)], "value string"))
+    """Members of the group that holds ``member``, an id or the beginning of one.
+
+    An exact id counts before longer ones that begin with it. An id that no
+    group holds and a beginning of several ids are errors.
+    """
+    found = [r["member"] for r in groups.where(F.col("member").startswith(member)).select("member").distinct().orderBy(F.col("member") != member, "member").limit(2).collect()]
+    if not found:
+        raise ValueError(f"no group holds {member}")
+    if found[0] != member and len(found) > 1:
+        raise ValueError(f"{member} is the beginning of several ids: {found[0]}, {found[1]}")
+    return orthogroups_containing(groups, groups.sparkSession.createDataFrame([(found[0],)], "value string"))
 
 
 def orthogroups_containing(groups: DataFrame, ids: DataFrame) -> DataFrame:

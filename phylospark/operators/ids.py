@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Ids that a prefix lookup broadcasts; beyond it both sides meet on the first letters.
-BROADCAST_IDS = 100_000
+#: Hexadecimal digits of a hashed id.
+DIGITS = 32
 
 
-def hash_of(header: Column, digits: int = 32) -> Column:
+def hash_of(header: Column, digits: int = DIGITS) -> Column:
     """``seqid_`` and the first digits of the MD5 of the quoted header."""
     return F.concat(F.lit("seqid_"), F.substring(F.md5(F.concat(F.lit('"'), header, F.lit('"'))), 1, digits))
 
 
-def hash_ids(seqs: DataFrame, digits: int = 32) -> tuple[DataFrame, DataFrame]:
+def hash_ids(seqs: DataFrame, digits: int = DIGITS) -> tuple[DataFrame, DataFrame]:
     """Sequences under hashed ids, and the table ``hash, header`` that leads back.
 
     Ten digits (40 bits) collide from about a million headers on; the default
@@ -33,11 +33,11 @@ def unhash_ids(df: DataFrame, idmap: DataFrame, columns: list[str], long: bool =
     return df
 
 
-def unhash_text(df: DataFrame, idmap: DataFrame, column: str, key: str, long: bool = False, digits: int = 10) -> DataFrame:
-    """Headers in place of ``seqid_`` tokens anywhere in a text; ``key`` tells rows apart."""
+def unhash_text(df: DataFrame, idmap: DataFrame, column: str, key: str, long: bool = False) -> DataFrame:
+    """Headers in place of ``seqid_`` tokens anywhere in a text, of as many digits as the map's ids have; ``key`` tells rows apart."""
     name = F.col("header") if long else F.regexp_extract("header", r"^\S*", 0)
     back = idmap.select(F.col("hash").alias("_h"), name.alias("_n")).dropDuplicates(["_h"])
-    pattern = rf"seqid_[0-9a-f]{{{digits}}}"
+    pattern = r"seqid_[0-9a-f]+"
     marked = F.split(F.regexp_replace(F.col(column), f"({pattern})", "\u0001$1\u0001"), "\u0001")
     parts = df.select(key, F.posexplode(marked).alias("_i", "_t")).join(back, F.col("_t") == F.col("_h"), "left")
     texts = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("_n", "_t").alias("t")))).alias("_p"))
@@ -45,23 +45,23 @@ def unhash_text(df: DataFrame, idmap: DataFrame, column: str, key: str, long: bo
     return joined.withColumn(column, F.when(F.col(column).isNotNull(), F.array_join(F.transform("_p", lambda p: p["t"]), ""))).select(*df.columns)
 
 
-def _starts(longer: DataFrame, column: str, prefixes: DataFrame, first: int = 6) -> DataFrame:
+def _starts(longer: DataFrame, column: str, prefixes: DataFrame) -> DataFrame:
     """Pairs in which ``column`` begins with ``prefix``.
 
-    A small table of prefixes is broadcast. Otherwise rows meet on the first
-    letters; prefixes shorter than that meet on their own length.
+    Prefixes have few lengths, so each row gets a start for every length that
+    occurs and rows meet on whole prefixes, by an equality join.
     """
-    if prefixes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        return longer.join(F.broadcast(prefixes), F.col(column).startswith(F.col("prefix")))
-    sizes = F.array(*[F.substring(F.col(column), 1, n) for n in range(1, first + 1)])
-    keyed = longer.withColumn("_k", F.explode(F.array_distinct(sizes)))
-    return keyed.join(prefixes.withColumn("_k", F.substring("prefix", 1, first)), "_k").where(F.col(column).startswith(F.col("prefix"))).drop("_k")
+    lengths = [r["n"] for r in prefixes.select(F.length("prefix").alias("n")).distinct().collect() if r["n"] is not None]
+    if not lengths:
+        return longer.join(prefixes.limit(0), F.col(column) == F.col("prefix"))
+    starts = F.array_distinct(F.array(*[F.when(F.length(column) >= n, F.substring(F.col(column), 1, n)) for n in sorted(lengths)]))
+    return longer.withColumn("prefix", F.explode(starts)).join(prefixes, "prefix")
 
 
 def lookup_ids(idmap: DataFrame, partial: DataFrame) -> DataFrame:
     """``value, hash, header``: entries whose hash is the value or whose header begins with it; unmatched values keep nulls."""
     asked = partial.select(F.col("value").alias("prefix")).distinct()
-    found = idmap.join(asked, F.col("hash") == F.col("prefix")).unionByName(_starts(idmap, "header", asked)).distinct()
+    found = idmap.select("hash", "header").join(asked, F.col("hash") == F.col("prefix")).unionByName(_starts(idmap.select("hash", "header"), "header", asked)).distinct()
     return asked.join(found, "prefix", "left").select(F.col("prefix").alias("value"), "hash", "header")
 
 

@@ -1,8 +1,10 @@
 """Similarity search of sequences against sequences: a seed join, then ungapped extension.
 
-Sequences that share k-mers meet on them; of each pair the diagonal with most
-shared k-mers is extended to its best-scoring segment. Scores count matches and
-mismatches, and e-values follow from the letter frequencies (Karlin-Altschul).
+Sequences that share k-mers meet on them; every diagonal of a pair with enough
+shared k-mers is extended to its best-scoring segment, so a pair has a hit for
+each. Nucleotides score by match and mismatch, proteins by BLOSUM62, and
+e-values follow from Karlin-Altschul statistics. Segments are the same in both
+directions, so a reciprocal search makes them once.
 """
 
 from __future__ import annotations
@@ -16,9 +18,37 @@ from pyspark.sql import functions as F
 
 from phylospark.functions.sequences import kmers, six_frames
 from phylospark.operators.hits import reciprocal_best
-
-#: Defaults by alphabet: letters, match, mismatch, the constant K, and k.
-ALPHABETS = {"dna": (4, 1.0, -3.0, 0.711, 11), "protein": (20, 5.0, -2.0, 0.13, 5)}
+from phylospark.shared import cut
+
+#: Nucleotide presets: match, mismatch, the constant K of these scores, and k.
+NUCLEOTIDES = {"dna": (1.0, -3.0, 0.711, 11), "similar_dna": (1.0, -2.0, 0.621, 28)}
+#: BLOSUM62's order of amino acids and lower triangle, its constants lambda and K without gaps; and k.
+AMINO_ACIDS = "ARNDCQEGHILKMFPSTWYV"
+BLOSUM62 = """
+4
+-1 5
+-2 0 6
+-2 -2 1 6
+0 -3 -3 -3 9
+-1 1 0 0 -3 5
+-1 0 0 2 -4 2 5
+0 -2 0 -1 -3 -2 -2 6
+-2 0 1 -1 -3 0 0 -2 8
+-1 -3 -3 -3 -1 -3 -3 -4 -3 4
+-1 -2 -3 -4 -1 -2 -3 -4 -3 2 4
+-1 2 0 -1 -3 1 1 -2 -1 -3 -2 5
+-1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5
+-2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6
+-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7
+1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4
+0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5
+-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11
+-2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
+0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
+"""
+PROTEIN_LAMBDA, PROTEIN_K, PROTEIN_WORD = 0.3176, 0.134, 5
+#: Scores of a stop with another letter, and of other letters.
+STOP, UNKNOWN = -4.0, -1.0
 
 
 def score_scale(letters: int, match: float, mismatch: float) -> float:
@@ -33,6 +63,25 @@ def score_scale(letters: int, match: float, mismatch: float) -> float:
     return lo
 
 
+def score_table(alphabet: str) -> tuple[np.ndarray, float, float, int]:
+    """Scores of each pair of bytes, lambda, K and the default k."""
+    if alphabet in NUCLEOTIDES:
+        match, mismatch, big_k, k = NUCLEOTIDES[alphabet]
+        table = np.full((256, 256), mismatch)
+        np.fill_diagonal(table, match)
+        return table, score_scale(4, match, mismatch), big_k, k
+    if alphabet != "protein":
+        raise ValueError(f"unknown alphabet: {alphabet}")
+    table = np.full((256, 256), UNKNOWN)
+    table[ord("*")], table[:, ord("*")] = STOP, STOP
+    table[ord("*"), ord("*")] = 1.0
+    for i, line in enumerate(BLOSUM62.split("\n")[1:-1]):
+        for j, value in enumerate(line.split()):
+            for a, b in ((i, j), (j, i)):
+                table[ord(AMINO_ACIDS[a]), ord(AMINO_ACIDS[b])] = float(value)
+    return table, PROTEIN_LAMBDA, PROTEIN_K, PROTEIN_WORD
+
+
 def kmer_index(seqs: DataFrame, k: int, max_df: int | None = None, keep: list[str] = ()) -> DataFrame:
     """``seq_id, kmer, kpos`` (from 0); k-mers in more than ``max_df`` sequences are left out.
 
@@ -62,65 +111,88 @@ def seed_pairs(queries: DataFrame, subjects: DataFrame, k: int, min_seeds: int =
     return joined.select("queryid", "subjectid", "seeds", (-F.col("b.d")).cast("int").alias("diag"), F.col("b.n").alias("diag_seeds"))
 
 
-def best_segment(query: str, subject: str, diag: int, match: float, mismatch: float) -> tuple[float, int, int, int]:
-    """Score, start and end in the query, and matches of the best ungapped segment on a diagonal."""
-    lo, hi = max(0, -diag), min(len(query), len(subject) - diag)
-    if hi <= lo:
-        return 0.0, 0, 0, 0
-    q = np.frombuffer(query[lo:hi].encode("ascii", "replace"), np.uint8)
-    s = np.frombuffer(subject[lo + diag : hi + diag].encode("ascii", "replace"), np.uint8)
-    same = q == s
-    total = np.r_[0.0, np.cumsum(np.where(same, match, mismatch))]
-    low = np.minimum.accumulate(total)
-    end = int((total - low).argmax())
+def best_segment(query: str, subject: str, table: np.ndarray) -> tuple[float, int, int, int]:
+    """Score, start, end and equal letters of the best segment of two stretches side by side; the first of those that tie."""
+    q = np.frombuffer(query.encode("ascii", "replace"), np.uint8)
+    s = np.frombuffer(subject.encode("ascii", "replace"), np.uint8)
+    total = np.r_[0.0, np.cumsum(table[q, s])]
+    end = int((total - np.minimum.accumulate(total)).argmax())
     start = int(total[: end + 1].argmin())
-    return float(total[end] - total[start]), lo + start, lo + end, int(same[start:end].sum())
+    return float(total[end] - total[start]), start, end, int((q[start:end] == s[start:end]).sum())
+
+
+def segments(queries: DataFrame, subjects: DataFrame, alphabet: str, k: int | None, min_seeds: int, max_df: int | None, at: list[str]) -> DataFrame:
+    """The best segment of every diagonal on which a query and a subject share at least ``min_seeds`` k-mers.
+
+    ``at`` are the subjects' columns that tell lists apart; ids must be unique
+    within a list. Only the stretches side by side go to Python.
+    """
+    table, _, _, default_k = score_table(alphabet)
+    q = kmer_index(queries, k or default_k).select(F.col("seq_id").alias("queryid"), "kmer", F.col("kpos").alias("qpos"))
+    s = kmer_index(subjects, k or default_k, max_df, at).select(*at, F.col("seq_id").alias("subjectid"), "kmer", F.col("kpos").alias("spos"))
+    diagonals = q.join(s, "kmer").groupBy(*at, "queryid", "subjectid", (F.col("spos") - F.col("qpos")).alias("diag")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_seeds)
+    full = diagonals.join(queries.select(F.col("seq_id").alias("queryid"), F.col("seq").alias("_q")), "queryid").join(subjects.select(*at, F.col("seq_id").alias("subjectid"), F.col("seq").alias("_s")), [*at, "subjectid"])
+    first = F.greatest(F.lit(0), -F.col("diag"))
+    full = full.withColumns({"first": first, "qlen": F.length("_q"), "slen": F.length("_s")}).withColumn("beside", F.least(F.col("qlen"), F.col("slen") - F.col("diag")) - F.col("first"))
+
+    @F.pandas_udf("struct<score: double, start: int, end: int, matches: int>")
+    def extend(q: pd.Series, s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([best_segment(a, b, table) for a, b in zip(q, s)], columns=["score", "start", "end", "matches"])
+
+    made = full.select(*at, "queryid", "subjectid", "diag", "first", "qlen", "slen", extend(F.substring("_q", F.col("first") + 1, F.col("beside")), F.substring("_s", F.col("first") + F.col("diag") + 1, F.col("beside"))).alias("e"))
+    return made.where("e.end > e.start").select(
+        *at, "queryid", "subjectid", "qlen", "slen", F.col("e.score").alias("score"), (F.col("e.end") - F.col("e.start")).alias("alignmentlength"), F.col("e.matches").alias("matches"),
+        (F.col("first") + F.col("e.start") + 1).alias("qstart"), (F.col("first") + F.col("e.end")).alias("qend"),
+        (F.col("first") + F.col("diag") + F.col("e.start") + 1).alias("sstart"), (F.col("first") + F.col("diag") + F.col("e.end")).alias("send"),
+    )
+
+
+def _hits(found: DataFrame, evalue: float, alphabet: str, database: DataFrame, at: list[str], by: list[str]) -> DataFrame:
+    """Segments as hits against the sequences of ``database``, one for each of ``by``."""
+    _, scale, big_k, _ = score_table(alphabet)
+    sizes = database.groupBy(*by).agg(F.sum(F.length("seq")).alias("_n"))
+    full = found.join(sizes, by) if by else found.withColumn("_n", F.lit(sizes.first()[0] or 0))
+    bits = (F.col("score") * scale - math.log(big_k)) / math.log(2)
+    length = F.col("alignmentlength")
+    return full.select(
+        *at, "queryid", "subjectid", (100.0 * F.col("matches") / length).alias("pident"), length, (length - F.col("matches")).alias("mismatches"), F.lit(0).alias("gapopens"), "qstart", "qend", "sstart", "send",
+        (F.col("qlen").cast("double") * F.col("_n") * F.pow(F.lit(2.0), -bits)).alias("evalue"), bits.alias("bitscore"),
+    ).where(F.col("evalue") <= evalue)
+
+
+def _turned(found: DataFrame) -> DataFrame:
+    names = {"queryid": "subjectid", "qlen": "slen", "qstart": "sstart", "qend": "send"}
+    other = names | {b: a for a, b in names.items()}
+    return found.select(*[F.col(other.get(c, c)).alias(c) for c in found.columns])
 
 
 def search(
     evalue: float, queries: DataFrame, subjects: DataFrame, alphabet: str = "dna", k: int | None = None, min_seeds: int = 1, max_df: int | None = None, by: list[str] | None = None,
 ) -> DataFrame:
-    """Hits with ``evalue`` at most the cutoff, in the columns of a hit table.
+    """Hits with ``evalue`` at most the cutoff, in the columns of a hit table: all diagonals of all pairs that pass.
 
-    With ``by=['list_id']`` the subjects' lists are databases of their own;
-    otherwise all subjects are one database. Sequence ids must be unique.
+    With ``by=['list_id']`` the subjects' lists are databases of their own, and
+    ids need be unique in each only; otherwise all subjects are one database.
     """
-    letters, match, mismatch, big_k, default_k = ALPHABETS[alphabet]
-    scale = score_scale(letters, match, mismatch)
     at = list(by or [])
-    pairs = seed_pairs(queries, subjects, k or default_k, min_seeds, max_df)
-    sizes = subjects.groupBy(*at).agg(F.sum(F.length("seq")).alias("_n"))
-    targets = subjects.select(F.col("seq_id").alias("subjectid"), F.col("seq").alias("_s"), *at)
-    full = pairs.join(queries.select(F.col("seq_id").alias("queryid"), F.col("seq").alias("_q")), "queryid").join(targets, "subjectid")
-    if at:
-        full = full.join(sizes, at)
-    else:
-        full = full.withColumn("_n", F.lit(sizes.first()[0] or 0))
-
-    @F.pandas_udf("struct<score: double, qstart: int, qend: int, matches: int>")
-    def extend(q: pd.Series, s: pd.Series, diag: pd.Series) -> pd.DataFrame:
-        found = [best_segment(a, b, int(d), match, mismatch) for a, b, d in zip(q, s, diag)]
-        return pd.DataFrame(found, columns=["score", "qstart", "qend", "matches"])
-
-    made = full.withColumn("_e", extend("_q", "_s", "diag"))
-    bits = (F.col("_e.score") * scale - math.log(big_k)) / math.log(2)
-    length = F.col("_e.qend") - F.col("_e.qstart")
-    hits = made.select(
-        *at, "queryid", "subjectid", (100.0 * F.col("_e.matches") / length).alias("pident"), length.alias("alignmentlength"), (length - F.col("_e.matches")).alias("mismatches"), F.lit(0).alias("gapopens"),
-        (F.col("_e.qstart") + 1).alias("qstart"), F.col("_e.qend").alias("qend"), (F.col("_e.qstart") + F.col("diag") + 1).alias("sstart"), (F.col("_e.qend") + F.col("diag")).alias("send"),
-        (F.length("_q").cast("double") * F.col("_n") * F.pow(F.lit(2.0), -bits)).alias("evalue"), bits.alias("bitscore"),
-    )
-    return hits.where((F.col("alignmentlength") > 0) & (F.col("evalue") <= evalue))
+    return _hits(segments(queries, subjects, alphabet, k, min_seeds, max_df, at), evalue, alphabet, subjects, at, at)
 
 
-def search_rev(evalue: float, queries: DataFrame, subjects: DataFrame, **options) -> DataFrame:
-    """The search with the roles of queries and subjects exchanged."""
-    return search(evalue, subjects, queries, **options)
+def search_rev(
+    evalue: float, queries: DataFrame, subjects: DataFrame, alphabet: str = "dna", k: int | None = None, min_seeds: int = 1, max_df: int | None = None, by: list[str] | None = None,
+) -> DataFrame:
+    """The search with the roles of queries and subjects exchanged; with ``by`` one result for each of the subjects' lists."""
+    at = list(by or [])
+    return _hits(_turned(segments(queries, subjects, alphabet, k, min_seeds, max_df, at)), evalue, alphabet, queries, at, [])
 
 
-def search_rbh(evalue: float, queries: DataFrame, subjects: DataFrame, mode: str = "best", **options) -> DataFrame:
-    """Reciprocal best hits of the search both ways."""
-    return reciprocal_best(search(evalue, queries, subjects, **options), search_rev(evalue, queries, subjects, **options), mode, by=[])
+def search_rbh(
+    evalue: float, queries: DataFrame, subjects: DataFrame, mode: str = "best", alphabet: str = "dna", k: int | None = None, min_seeds: int = 1, max_df: int | None = None, by: list[str] | None = None,
+) -> DataFrame:
+    """Reciprocal best hits of the search both ways, for each of the subjects' lists if ``by`` names them; one seed join serves both."""
+    at = list(by or [])
+    found = cut(segments(queries, subjects, alphabet, k, min_seeds, max_df, at))
+    return reciprocal_best(_hits(found, evalue, alphabet, subjects, at, at), _hits(_turned(found), evalue, alphabet, queries, at, []), mode, by=at)
 
 
 def translated_search(evalue: float, queries: DataFrame, subjects: DataFrame, mode: str, k: int | None = None, **options) -> DataFrame:

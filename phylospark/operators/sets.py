@@ -74,11 +74,12 @@ def length_each(items: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def sets_table(items: DataFrame, names: list[str]) -> DataFrame:
-    """One row per element, one column per list: x where the list has it, else empty."""
+    """One row per element, one column per list: x where the list has it, else empty; numbers in the order of their values, before other texts."""
     if len(names) > MOST_LISTS:
         raise ValueError(f"a membership table takes at most {MOST_LISTS} lists")
     made = items.groupBy("value").pivot("list_id", names).agg(F.first(F.lit("x")))
-    return made.fillna("", subset=[c for c in made.columns if c != "value"])
+    number = F.expr("try_cast(value as double)")
+    return made.fillna("", subset=[c for c in made.columns if c != "value"]).orderBy(number.isNull(), number, "value")
 
 
 def set_regions(items: DataFrame) -> DataFrame:

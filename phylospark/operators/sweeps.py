@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,13 +11,20 @@ from pyspark.sql import functions as F
 from phylospark.operators.sets import all_of
 
 
-def replace_each(function: Callable[[DataFrame], DataFrame], values: DataFrame) -> DataFrame:
+def replace_each(function: Callable, values: DataFrame | list) -> DataFrame:
     """``function`` for each alternative value, in one plan.
 
-    ``values`` has ``pos, variant``; the function gets them as rows and returns
-    rows that still have ``pos, variant``, so a thousand values are one job.
+    With a table of values (``pos, variant``) the function gets them as rows and
+    returns rows that still have ``pos, variant``, so a thousand values are one
+    job. With a list of values it is called for each, for functions that can't
+    take the value as a column, and ``pos, variant`` are added to what it returns.
     """
-    return function(values)
+    if isinstance(values, DataFrame):
+        return function(values)
+    if not values:
+        raise ValueError("no values to replace with")
+    made = [function(v).withColumns({"pos": F.lit(i).cast("long"), "variant": F.lit(v)}) for i, v in enumerate(values)]
+    return reduce(DataFrame.unionByName, made)
 
 
 def replace(function: Callable[[DataFrame], DataFrame], values: DataFrame, variant) -> DataFrame:

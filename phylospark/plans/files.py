@@ -99,11 +99,17 @@ def read_crb(v):
 
 @query("read_busco_summaries", "SELECT regexp_extract(text, 'C:([0-9.]*)%', 1)::DOUBLE AS complete, count(*) AS n FROM summaries GROUP BY 1")
 def read_busco_summaries(v):
+    """Summaries of one size are files of one folder, a record each, and the reader takes whole files."""
     path = _new(v("part"))
-    v("summaries").select("text").write.option("lineSep", "\u0001").text(path)
-    # Written as lines with another separator: one summary is one value again.
-    texts = v("part").sparkSession.read.option("lineSep", "\u0001").text(path).select(F.col("value").alias("text"))
-    return readers.busco_percent_complete(texts).groupBy("complete").agg(F.count(F.lit(1)).alias("n"))
+    v("summaries").select("text", F.regexp_extract("path", r"(\d\d?)$", 1).alias("folder")).repartition("folder").write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+    return readers.busco_percent_complete(readers.read_busco_summaries(v("part").sparkSession, f"{path}/folder=*")).groupBy("complete").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("write_table", "SELECT l_orderkey, CAST(l_linenumber AS INT) AS l_linenumber, l_returnflag FROM lineitem")
+def write_table(v):
+    table, path = v("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), _new(v("lineitem"))
+    writers.write_table(table, path)
+    return table.sparkSession.read.schema("l_orderkey long, l_linenumber int, l_returnflag string").csv(path, sep="\t", header=True)
 
 
 def _genbank(v):

@@ -95,8 +95,8 @@ query("length_each", "SELECT l.list_id, l.pos, count(i.value) AS n FROM lists l
 NAMES = ["click", "purchase", "scroll", "signup", "view"]
 query("sets_table", "SELECT value, " + ", ".join(f"coalesce(max(CASE WHEN list_id = '{n}' THEN 'x' END), '') AS \"{n}\"" for n in NAMES) + " FROM items GROUP BY value")(lambda v: sets.sets_table(v("items"), NAMES))
 query("set_regions", "WITH c AS (SELECT value, string_agg(DISTINCT list_id, ',' ORDER BY list_id) AS lists FROM items GROUP BY value) SELECT lists, count(*) AS n FROM c GROUP BY lists")(lambda v: sets.set_regions(v("items")))
-query("leave_each_out", "WITH n AS (SELECT n_regionkey AS list_id, n_nationkey AS pos, n_name AS value FROM nation) SELECT a.list_id, b.pos AS out_pos, a.pos, a.value FROM n a JOIN n b ON a.list_id = b.list_id AND a.pos <> b.pos")(
-    lambda v: sets.leave_each_out(v("nation").select(F.col("n_regionkey").alias("list_id"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("value")))
+query("leave_each_out", "WITH n AS (SELECT DISTINCT l_orderkey AS list_id, l_partkey AS pos, concat('p', l_partkey) AS value FROM lineitem) SELECT a.list_id, b.pos AS out_pos, a.pos, a.value FROM n a JOIN n b ON a.list_id = b.list_id AND a.pos <> b.pos")(
+    lambda v: sets.leave_each_out(v("lineitem").select(F.col("l_orderkey").alias("list_id"), F.col("l_partkey").alias("pos"), F.concat(F.lit("p"), "l_partkey").alias("value")).distinct())
 )
 query("singletons", "SELECT pos AS list_id, CAST(1 AS BIGINT) AS pos, value FROM items")(lambda v: sets.singletons(v("items")))
 query("zip_lists", "SELECT l_orderkey AS list_id, l_linenumber AS pos, l_partkey AS a, l_suppkey AS b FROM (SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)")(
@@ -128,7 +128,7 @@ for _name, _function, _n, _c in (
 ):
     query(_name, SPAN.format(c=_c))(lambda v, f=_function, n=_n: f(n, v("og"), v("proteomes")))
 query("ortholog_in_any", SPAN.format(c=">= 1"))(lambda v: groups.ortholog_in_any(v("og"), v("proteomes")))
-query("ortholog_in_all", SPAN.format(c=">= n"))(lambda v: groups.ortholog_in_all(v("og"), v("proteomes")))
+query("ortholog_in_all", SPAN.format(c=">= n").replace("proteomes", "makers"))(lambda v: groups.ortholog_in_all(v("og"), v("makers")))
 query("group_spans", "SELECT og.group_id, count(DISTINCT p.list_id) AS span FROM og LEFT JOIN proteomes p ON og.member = p.value GROUP BY og.group_id")(lambda v: groups.group_spans(v("og"), v("proteomes")))
 FAMILIES = """WITH RECURSIVE refs AS (SELECT DISTINCT queryid AS ref FROM rb_hits),
     e AS (SELECT DISTINCT queryid, subjectid FROM (SELECT * FROM rb_hits UNION ALL SELECT * FROM more_hits) WHERE queryid IN (SELECT ref FROM refs)),
@@ -223,10 +223,58 @@ query(
     c AS (SELECT queryid, subjectid, count(DISTINCT kmer) AS seeds FROM m GROUP BY ALL)
     SELECT b.queryid, b.subjectid, seeds, diag, diag_seeds FROM b JOIN c ON b.queryid = c.queryid AND b.subjectid = c.subjectid WHERE seeds >= 10""",
 )(lambda v: search.seed_pairs(v("item_seqs"), v("doc_seqs"), 14, 10))
-query("search", None)(lambda v: search.search(1e-5, v("item_seqs"), v("doc_seqs"), k=14, min_seeds=5))
-query("search_rev", None)(lambda v: search.search_rev(1e-5, v("item_seqs"), v("doc_seqs"), k=14, min_seeds=5))
-query("search_each", None)(lambda v: search.search(1e-5, v("item_seqs"), v("doc_seqs").withColumn("list_id", F.substring("seq_id", -1, 1)), k=14, min_seeds=5, by=["list_id"]))
-query("search_rbh", None)(lambda v: search.search_rbh(1e-5, v("item_seqs"), v("doc_seqs"), k=14, min_seeds=5))
+SCALE = search.score_scale(4, 1.0, -3.0)
+#: The best segment of a diagonal: where the running score is furthest above its least value so far.
+SEGMENTS = f"""q AS {KMERS.format(k=14, t="item_seqs")}, s AS {KMERS.format(k=14, t="doc_seqs")},
+    d AS (SELECT q.seq_id AS queryid, s.seq_id AS subjectid, s.kpos - q.kpos AS diag FROM q JOIN s ON q.kmer = s.kmer GROUP BY ALL HAVING count(*) >= 5),
+    f AS (SELECT d.*, a.seq AS qs, b.seq AS ss, greatest(0, -diag) AS first, least(length(a.seq), length(b.seq) - diag) - greatest(0, -diag) AS beside FROM d JOIN item_seqs a ON a.seq_id = queryid JOIN doc_seqs b ON b.seq_id = subjectid),
+    l AS (SELECT queryid, subjectid, diag, first, length(qs) AS qlen, length(ss) AS slen, i, CASE WHEN substr(qs, CAST(first + i AS INT), 1) = substr(ss, CAST(first + diag + i AS INT), 1) THEN 1 ELSE 0 END AS same FROM f, unnest(range(1, beside + 1)) AS u(i)),
+    r AS (SELECT *, sum(CASE WHEN same = 1 THEN 1 ELSE -3 END) OVER w AS t, sum(same) OVER w AS m FROM l WINDOW w AS (PARTITION BY queryid, subjectid, diag ORDER BY i)),
+    v AS (SELECT *, t - least(0, min(t) OVER w) AS gain, least(0, min(t) OVER w) AS low FROM r WINDOW w AS (PARTITION BY queryid, subjectid, diag ORDER BY i)),
+    e AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY queryid, subjectid, diag ORDER BY gain DESC, i) = 1),
+    g AS (SELECT e.queryid, e.subjectid, e.diag, e.first, e.qlen, e.slen, e.gain AS score, e.i AS stop, coalesce(min(r.i), 0) AS start, any_value(e.m) - coalesce(arg_min(r.m, r.i), 0) AS matches
+        FROM e LEFT JOIN r ON r.queryid = e.queryid AND r.subjectid = e.subjectid AND r.diag = e.diag AND r.i < e.i AND e.low < 0 AND r.t = e.low GROUP BY ALL),
+    h AS (SELECT queryid, subjectid, right(subjectid, 1) AS list_id, qlen, slen, score, matches, stop - start AS alignmentlength, first + start + 1 AS qstart, first + stop AS qend, first + diag + start + 1 AS sstart, first + diag + stop AS send,
+        (score * {SCALE!r} - ln(0.711)) / ln(2) AS bits FROM g WHERE stop > start)"""
+SHOWN = "CAST(alignmentlength AS INT) AS alignmentlength, CAST(matches AS INT) AS matches"
+FORWARD = "(SELECT sum(length(seq)) FROM doc_seqs)"
+FORWARD_EACH = "(SELECT sum(length(x.seq)) FROM doc_seqs x WHERE right(x.seq_id, 1) = list_id)"
+BACKWARD = "(SELECT sum(length(seq)) FROM item_seqs)"
+
+
+def _shown(df, *more):
+    matches = (F.col("alignmentlength") - F.col("mismatches")).alias("matches")
+    return df.select(*more, "queryid", "subjectid", "alignmentlength", matches, *[F.col(c).cast("int").alias(c) for c in ("qstart", "qend", "sstart", "send")], F.round("bitscore", 6).alias("bitscore"))
+
+
+def _found(columns: str, evalue: str, turned: bool = False) -> str:
+    ends = "CAST(sstart AS INT) AS qstart, CAST(send AS INT) AS qend, CAST(qstart AS INT) AS sstart, CAST(qend AS INT) AS send" if turned else "CAST(qstart AS INT) AS qstart, CAST(qend AS INT) AS qend, CAST(sstart AS INT) AS sstart, CAST(send AS INT) AS send"
+    ids = "subjectid AS queryid, queryid AS subjectid" if turned else "queryid, subjectid"
+    return f"WITH {SEGMENTS} SELECT {columns}{ids}, {SHOWN}, {ends}, round(bits, 6) AS bitscore FROM h WHERE {'slen' if turned else 'qlen'} * {evalue} * pow(2.0, -bits) <= 1e-5"
+
+
+def _mutual(each: bool) -> str:
+    """Reciprocal best hits of the segments: least e-value, then greatest bits, then least partner, then the other columns."""
+    at = "list_id, " if each else ""
+    rank = "e, bits DESC, {o}, 100.0 * matches / alignmentlength, alignmentlength, alignmentlength - matches, {s}, {t}, {x}, {y}"
+    return f"""WITH {SEGMENTS}, fw AS (SELECT *, qlen * {FORWARD_EACH if each else FORWARD} * pow(2.0, -bits) AS e FROM h), bw AS (SELECT *, slen * {BACKWARD} * pow(2.0, -bits) AS e FROM h),
+    a AS (SELECT * FROM fw WHERE e <= 1e-5 QUALIFY row_number() OVER (PARTITION BY {at}queryid ORDER BY {rank.format(o="subjectid", s="qstart", t="qend", x="sstart", y="send")}) = 1),
+    b AS (SELECT * FROM bw WHERE e <= 1e-5 QUALIFY row_number() OVER (PARTITION BY {at}subjectid ORDER BY {rank.format(o="queryid", s="sstart", t="send", x="qstart", y="qend")}) = 1)
+    SELECT {at}queryid, subjectid, {SHOWN}, CAST(qstart AS INT) AS qstart, CAST(qend AS INT) AS qend, CAST(sstart AS INT) AS sstart, CAST(send AS INT) AS send, round(bits, 6) AS bitscore
+    FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.queryid = b.queryid AND a.subjectid = b.subjectid)"""
+
+
+def _listed(v):
+    return v("doc_seqs").withColumn("list_id", F.substring("seq_id", -1, 1))
+
+
+SEEDS = {"k": 14, "min_seeds": 5}
+query("search", _found("", FORWARD))(lambda v: _shown(search.search(1e-5, v("item_seqs"), v("doc_seqs"), **SEEDS)))
+query("search_each", _found("list_id, ", FORWARD_EACH))(lambda v: _shown(search.search(1e-5, v("item_seqs"), _listed(v), by=["list_id"], **SEEDS), "list_id"))
+query("search_rev", _found("", BACKWARD, True))(lambda v: _shown(search.search_rev(1e-5, v("item_seqs"), v("doc_seqs"), **SEEDS)))
+query("search_rev_each", _found("list_id, ", BACKWARD, True))(lambda v: _shown(search.search_rev(1e-5, v("item_seqs"), _listed(v), by=["list_id"], **SEEDS), "list_id"))
+query("search_rbh", _mutual(False))(lambda v: _shown(search.search_rbh(1e-5, v("item_seqs"), v("doc_seqs"), **SEEDS)))
+query("search_rbh_each", _mutual(True))(lambda v: _shown(search.search_rbh(1e-5, v("item_seqs"), _listed(v), by=["list_id"], **SEEDS), "list_id"))
 query("translated_search", None)(lambda v: search.translated_search(1e-5, v("item_seqs"), v("doc_seqs"), "tblastx", k=6, min_seeds=5))
 
 # Names and tables
@@ -236,8 +284,8 @@ query(
     "WITH s AS (SELECT regexp_extract(text, 'for file (.*)', 1) AS fasta, regexp_extract_all(text, ':([0-9.]{1,5})', 1) AS a FROM summaries) SELECT fasta, a[1]::DOUBLE AS complete, a[2]::DOUBLE AS single, a[3]::DOUBLE AS duplicated, a[4]::DOUBLE AS fragmented, a[5]::DOUBLE AS missing, a[6]::INT AS n FROM s",
 )(lambda v: readers.busco_scores_table(v("summaries")))
 query("busco_percent_complete", "SELECT regexp_extract(text, 'C:([0-9.]*)%', 1)::DOUBLE AS complete FROM summaries")(lambda v: readers.busco_percent_complete(v("summaries")))
-query("busco_filter_completeness", "SELECT p_name AS value FROM part WHERE p_size + 0.5 >= 30 AND p_name IN (SELECT p_name FROM part GROUP BY p_name HAVING count(*) = 1)")(
-    lambda v: readers.busco_filter_completeness(30, readers.busco_scores_table(v("summaries")), v("part").groupBy(F.col("p_name").alias("value")).count().where("count = 1").select("value"))
+query("busco_filter_completeness", "SELECT concat('f', p_partkey) AS value FROM part WHERE p_size + 0.5 >= 30")(
+    lambda v: readers.busco_filter_completeness(30, readers.busco_scores_table(v("summaries")), v("part").select(F.concat(F.lit("f"), "p_partkey").alias("value")))
 )
 query(
     "parse_searches",

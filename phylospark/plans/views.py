@@ -23,16 +23,17 @@ DNA = "ACGTACGTACGTACGTACGTACGTAC"
 VIEWS = {
     "hits_fwd": HITS_FWD,
     "hits_rev": HITS_REV,
-    "items": "SELECT event_type AS list_id, event_id AS pos, user_id AS value FROM {events} WHERE value < 5",
+    "items": "SELECT event_type AS list_id, event_id AS pos, user_id AS value FROM {events}",
     "lists": "SELECT list_id, CAST(row_number() OVER (ORDER BY list_id) AS BIGINT) AS pos FROM (SELECT DISTINCT event_type AS list_id FROM {events} UNION ALL SELECT 'none' AS list_id) x",
     "full_lists": "SELECT list_id, CAST(row_number() OVER (ORDER BY list_id) AS BIGINT) AS pos FROM (SELECT DISTINCT event_type AS list_id FROM {events}) x",
     "og": "SELECT l_orderkey AS group_id, concat('p', l_partkey) AS member FROM {lineitem}",
     "proteomes": "SELECT p_brand AS list_id, concat('p', p_partkey) AS value FROM {part}",
-    "rb_hits": "SELECT concat('c', c_custkey) AS queryid, concat('c', c_custkey + c_nationkey - 12) AS subjectid FROM {customer} WHERE c_custkey % 3 = 0",
-    "more_hits": "SELECT concat('c', c_custkey) AS queryid, concat('x', c_custkey % 50) AS subjectid FROM {customer} WHERE c_custkey % 2 = 0",
+    "makers": "SELECT CASE WHEN p_size < 25 THEN 'small' ELSE 'large' END AS list_id, concat('p', p_partkey) AS value FROM {part}",
+    "rb_hits": "SELECT concat('c', c_custkey) AS queryid, concat('c', c_custkey + c_nationkey - 12) AS subjectid FROM {customer} WHERE c_mktsegment <> 'MACHINERY'",
+    "more_hits": "SELECT concat('c', c_custkey) AS queryid, concat('x', c_custkey % 50) AS subjectid FROM {customer}",
     "headers": "SELECT concat(s_name, ' nation ', s_nationkey) AS header, s_name AS seq_id FROM {supplier}",
     "idmap": """SELECT concat('seqid_', substr(md5(concat('"', s_name, ' nation ', s_nationkey, '"')), 1, 10)) AS hash, concat(s_name, ' nation ', s_nationkey) AS header FROM {supplier}""",
-    "summaries": """SELECT concat('s', p_partkey) AS path, concat('# for file ', p_name, chr(10), 'C:', CAST(p_size AS VARCHAR(9)), '.5%[S:', CAST(p_size AS VARCHAR(9)), '.1%,D:0.4%],F:1.5%,M:', CAST(60 - p_size AS VARCHAR(9)), '.0%,n:', CAST(p_partkey % 900 AS VARCHAR(9))) AS text FROM {part}""",
+    "summaries": """SELECT concat('s', p_partkey) AS path, concat('# for file f', p_partkey, chr(10), 'C:', CAST(p_size AS VARCHAR(9)), '.5%[S:', CAST(p_size AS VARCHAR(9)), '.1%,D:0.4%],F:1.5%,M:', CAST(60 - p_size AS VARCHAR(9)), '.0%,n:', CAST(p_partkey % 900 AS VARCHAR(9))) AS text FROM {part}""",
     "searches": """SELECT concat(s_name, ' sp. ', CASE s_suppkey % 4 WHEN 0 THEN '(refseq)' WHEN 1 THEN concat('(ensemblgenomes id.', s_suppkey, ')') WHEN 2 THEN concat('(genbank G_', s_suppkey, ')') ELSE '' END) AS value FROM {supplier}""",
 }
 SEQS = f"substr(translate(regexp_replace(lower(text), '[^a-z]', ''{{g}}), '{LETTERS}', '{DNA}'), 1)"

@@ -20,5 +20,5 @@ def write_list(items: DataFrame, path: str) -> None:
 
 
 def write_table(table: DataFrame, path: str) -> None:
-    """One file of tab-separated values with a header: a membership table is for people to read."""
-    table.coalesce(1).write.csv(path, sep="\t", header=True)
+    """Tab-separated values, each file with a header; as many files as the table has partitions, in its order."""
+    table.write.csv(path, sep="\t", header=True)

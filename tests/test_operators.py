@@ -288,7 +288,8 @@ def test_best_segment_equals_brute_force():
         d = rng.randint(-12, 12)
         cells = [1.0 if q[i] == s[i + d] else -3.0 for i in range(max(0, -d), min(len(q), len(s) - d))]
         want = max((sum(cells[a:b]) for a in range(len(cells)) for b in range(a, len(cells) + 1)), default=0.0)
-        assert search.best_segment(q, s, d, 1.0, -3.0)[0] == max(0.0, want)
+        lo, hi = max(0, -d), min(len(q), len(s) - d)
+        assert search.best_segment(q[lo:hi] if hi > lo else "", s[lo + d : hi + d] if hi > lo else "", search.score_table("dna")[0])[0] == max(0.0, want)
 
 
 def test_hashed_ids_come_back(spark):
@@ -311,3 +312,71 @@ def test_streamed_best_hits(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r["queryid"], r["subjectid"]) for r in spark.sql("SELECT * FROM best").collect()] == [("q", "s1")]
+
+
+def test_protein_scores():
+    table, scale, big_k, k = search.score_table("protein")
+    letters = [ord(c) for c in search.AMINO_ACIDS]
+    assert (table == table.T).all() and (table[letters, letters] >= 4).all() and table[ord("W"), ord("W")] == 11 and table[ord("E"), ord("D")] == 2 and table[ord("I"), ord("V")] == 3
+    # Background shares of amino acids in proteins: with them the mean of exp(lambda * score) is one.
+    shares = dict(zip("ARNDCQEGHILKMFPSTWYV", (0.078, 0.051, 0.045, 0.054, 0.019, 0.043, 0.063, 0.074, 0.022, 0.051, 0.091, 0.057, 0.022, 0.039, 0.052, 0.071, 0.058, 0.013, 0.032, 0.064)))
+    assert abs(sum(a * b * 2.718281828 ** (scale * table[ord(x), ord(y)]) for x, a in shares.items() for y, b in shares.items()) - 1) < 0.02
+
+
+def test_search_finds_every_diagonal_and_lists_apart(spark):
+    rng = random.Random(3)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    gene, other = dna(120), dna(90)
+    q = spark.createDataFrame([("q", gene)], "seq_id string, seq string")
+    s = spark.createDataFrame([("l1", "g", dna(30) + gene[:60] + dna(50) + gene[60:]), ("l2", "g", gene), ("l2", "h", other)], "list_id string, seq_id string, seq string")
+    both = search.search(1e-6, q, s.where("list_id = 'l1'").drop("list_id")).collect()
+    assert min(r["qstart"] for r in both) == 1 and max(r["qend"] for r in both) == 120
+    assert len([r for r in both if r["alignmentlength"] >= 50]) == 2
+    found = {(r["list_id"], r["subjectid"]) for r in search.search_rbh(1e-6, q, s, by=["list_id"]).collect()}
+    assert found == {("l1", "g"), ("l2", "g")}
+    assert {r["list_id"] for r in search.search_rev(1e-6, q, s, by=["list_id"]).collect()} == {"l1", "l2"}
+
+
+def test_prefix_lookups_by_length(spark):
+    seqs = spark.createDataFrame([(f"seqid_{i:04d}",) for i in range(300)] + [("x",)], "seq_id string")
+    asked = spark.createDataFrame([("seqid_00",), ("seqid_0299",), ("seqid_02990",), ("x",), (None,)], "value string")
+    assert values(ids.extract_seqs(seqs, asked), "seq_id") == sorted([f"seqid_{i:04d}" for i in range(100)] + ["seqid_0299", "x"])
+    assert ids.extract_seqs(seqs, asked.limit(0)).count() == 0
+
+
+def test_hashed_ids_lead_back_at_their_defaults(spark):
+    _, idmap = ids.hash_ids(spark.createDataFrame([("alpha one", "ACGT")], "header string, seq string"))
+    texts = spark.createDataFrame([(1, "see " + idmap.first()["hash"] + "!")], "k long, t string")
+    assert values(ids.unhash_text(texts, idmap, "t", "k"), "t") == ["see alpha!"]
+
+
+def test_group_lookups_by_prefix(spark):
+    og = spark.createDataFrame([(1, "gene1"), (1, "gene10"), (2, "other")], "group_id long, member string")
+    assert values(groups.orthogroup_containing(og, "gene1"), "member") == ["gene1", "gene10"]
+    assert values(groups.orthogroup_containing(og, "oth"), "member") == ["other"]
+    for wrong in ("none", "gene"):
+        with pytest.raises(ValueError):
+            groups.orthogroup_containing(og, wrong)
+
+
+def test_replace_each_calls_functions_of_plain_values(spark):
+    made = sweeps.replace_each(lambda v: spark.range(v), [1, 3])
+    assert sorted(map(tuple, made.select("pos", "variant", "id").collect())) == [(0, 1, 0), (1, 3, 0), (1, 3, 1), (1, 3, 2)]
+
+
+@pytest.mark.parametrize("wrong", [(1, 20, -2), (0, 5, 2), (-1, 5, 2), (1, 20, 0), (1, 20, 0.5), (1, 20, 1)])
+def test_multiplied_ranges_refuse(spark, wrong):
+    with pytest.raises(ValueError):
+        numbers.range_multiply(spark, *wrong)
+
+
+def test_membership_tables_are_in_numeric_order(spark):
+    data, _ = items(spark, [10, 9, 100], [9, "b", "a"])
+    assert [r["value"] for r in sets.sets_table(data, ["0", "1"]).collect()] == ["9", "10", "100", "a", "b"]
+
+
+def test_missing_scores_are_an_error(spark):
+    scores = spark.createDataFrame([("a", 50.0)], "fasta string, complete double")
+    asked = spark.createDataFrame([("a",), ("b",)], "value string")
+    with pytest.raises(Exception, match="no score for b"):
+        readers.busco_filter_completeness(10, scores, asked).collect()

@@ -6,7 +6,7 @@ import phylospark.plans.files  # noqa: F401
 from phylospark.plans import queries
 
 WITH_SQL = sorted(queries.ORACLES)
-ROWS_ONLY = sorted(set(queries.QUERIES) - set(WITH_SQL) - {"search_each", "search_rev", "search_rbh", "translated_search", "search"})
+ROWS_ONLY = sorted(set(queries.QUERIES) - set(WITH_SQL))
 
 
 def compare(df, con, sql):
@@ -36,6 +36,6 @@ def test_entry(spark):
 
 
 def test_plans_have_no_cartesian_product(spark, sf_dir):
-    for name in ("w1_shared_genes", "reciprocal_best", "ortholog_in_min", "seed_pairs", "w3_cutoff_stability"):
+    for name in ("w1_shared_genes", "reciprocal_best", "ortholog_in_min", "seed_pairs", "w3_cutoff_stability", "lookup_ids", "extract_seqs"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
