@@ -93,7 +93,7 @@ def read_orthogroups(spark: SparkSession, path, kind: str) -> DataFrame:
 
 def read_busco_summaries(spark: SparkSession, paths) -> DataFrame:
     """``path, text``: whole summary files."""
-    return spark.read.option("wholetext", True).text(paths).select(_path().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(paths, wholetext=True).select(_path().alias("path"), F.col("value").alias("text"))
 
 
 def busco_scores_table(summaries: DataFrame) -> DataFrame:
