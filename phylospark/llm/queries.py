@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phylospark.llm import exact_dedup, html_wrappers, langid, licenses, mixing, packing, quality, revisits, simhash, vafile
+from phylospark.llm import exact_dedup, html_wrappers, langid, licenses, merkle, merkle_sql, mixing, packing, quality, revisits, simhash, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_mix_sources": op2_mix_sources,
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES = {
@@ -103,4 +108,5 @@ ORACLES = {
         k AS (SELECT bare, first(doc_id ORDER BY chars DESC, doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY bare)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.bare) AS text_sha256 FROM t JOIN k ON t.bare = k.bare
     """,
+    "op11_merkle_manifest": merkle_sql.SQL,
 }
