@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phylospark.llm import exact_dedup, html_wrappers, imatch, imatch_sql, langid, licenses, merkle, merkle_sql, mixing, packing, quality, revisits, simhash, vafile
+from phylospark.llm import exact_dedup, html_wrappers, imatch, imatch_sql, langid, licenses, merkle, merkle_sql, mixing, packing, quality, repair, repair_sql, revisits, simhash, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints_and_edits(_table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_document_fingerprints": op13_document_fingerprints,
 }
 
@@ -114,5 +119,6 @@ ORACLES = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.bare) AS text_sha256 FROM t JOIN k ON t.bare = k.bare
     """,
     "op11_merkle_manifest": merkle_sql.SQL,
+    "op12_conversation_repair": repair_sql.SQL,
     "op13_document_fingerprints": imatch_sql.SQL,
 }
