@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phylospark.llm.ranking import ranked
+from phylospark.llm.ranking import group_key, ranked
 from phylospark.shared import cut
 
 #: Documents of a hundred thousand that a term of the band is in: at least and at most (idf 9.0 to 2.3).
@@ -39,35 +39,44 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", least: int = LEAST, most: int = MOST) -> DataFrame:
-    """``term, digest`` of the band, from all documents; written."""
+    """``term`` of the band, from all documents; written."""
     rows = docs.agg(F.count(F.lit(1))).first()[0]
     found = docs.select(F.explode(terms(F.col(f"`{text_col}`"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return cut(found.where((F.col("n") * OF >= rows * least) & (F.col("n") * OF <= rows * most)).select("term", F.sha2("term", 256).alias("digest")))
+    return cut(found.where((F.col("n") * OF >= rows * least) & (F.col("n") * OF <= rows * most)).select("term"))
+
+
+def membership() -> Column:
+    """A bit for each part of the lexicon that a ``term`` is in, by four digits of the term's own digest for each."""
+    bits = [F.when(F.substring("_digest", at, 4) < limit, 1 << k).otherwise(0) for k, (at, limit) in enumerate(LIMITS)]
+    return sum(bits[1:], bits[0])
 
 
 def _hashes(found: Column) -> Column:
-    """Of sorted terms (structs of ``term, digest``) the hash of those in each part of the lexicon, joined; a term without a digest is in every part."""
-    limits = F.array(*[F.struct(F.lit(at).alias("at"), F.lit(limit).alias("limit")) for at, limit in LIMITS])
-    inside = lambda p: F.filter(found, lambda t: F.substring(t["digest"], p["at"], F.lit(4)) < p["limit"])
-    kept = F.transform(limits, lambda p: F.array_join(F.transform(inside(p), lambda t: t["term"]), " "))
+    """Of sorted terms (structs of ``term, bits``) the hash of those in each part of the lexicon, joined."""
+    kept = F.transform(F.sequence(F.lit(0), F.lit(len(PARTS) - 1)), lambda k: F.array_join(F.transform(F.filter(found, lambda t: F.getbit(t["bits"], k) == 1), lambda t: t["term"]), " "))
     return F.array_join(F.transform(kept, lambda x: F.when(x == "", NONE).otherwise(F.substring(F.md5(x), 1, DIGITS))), "")
 
 
 def fingerprints(texts: DataFrame, keys: list[str], words: DataFrame, text_col: str = "text") -> DataFrame:
-    """``fingerprint`` of each row of ``texts``, which ``keys`` tell apart.
+    """``fingerprint`` and ``sha``, the text's SHA-256, of each row of ``texts``, which ``keys`` tell apart.
 
     Where ``texts`` is dealt by the first of ``keys``, nothing is exchanged.
     A text without a term of the band is represented by the digest of all its
     distinct terms, and one without any term by that of itself.
     """
     single = texts.select(*keys, F.col(text_col).alias("_text"), terms(F.col(text_col)).alias("_terms"))
-    instead = F.concat(F.lit(MARK), F.md5(F.when(F.size("_terms") > 0, F.array_join(F.array_sort("_terms"), " ")).otherwise(F.concat(F.lit(MARK), F.col("_text")))))
+    # One more element for each text: it keeps texts without terms and takes the digest along, so that rows stay short.
+    instead = F.concat(F.lit(MARK), F.md5(F.when(F.size("_terms") > 0, F.array_join(F.array_sort("_terms"), " ")).otherwise(F.concat(F.lit(MARK), F.col("_text")))), F.sha2("_text", 256))
     single = single.select(*keys, F.explode(F.array_append("_terms", instead)).alias("term"))
-    marked = words.count() <= BROADCAST_TERMS
-    known = single.join(F.broadcast(words) if marked else words, "term", "left").withColumn("digest", F.when(F.col("term").startswith(MARK), "").otherwise(F.col("digest"))).where("digest is not null")
-    found = known.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("term", "digest"))).alias("_all"))
-    used = found.select(*keys, F.when(F.size("_all") > 1, F.filter("_all", lambda t: t["digest"] != "")).otherwise(F.col("_all")).alias("_used"))
-    return used.select(*keys, _hashes(F.col("_used")).alias("fingerprint"))
+    marked = words.select("term", F.sha2("term", 256).alias("_digest")).select("term", membership().alias("bits"))
+    known = single.join(F.broadcast(marked) if words.count() <= BROADCAST_TERMS else marked, "term", "left")
+    known = known.withColumn("bits", F.when(F.col("term").startswith(MARK), 0).otherwise(F.col("bits"))).where("bits is not null")
+    found = known.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("term", "bits"))).alias("_all"))
+    # The mark sorts before all terms.
+    mark, whole = F.col("_all")[0]["term"], (1 << len(PARTS)) - 1
+    real = F.filter("_all", lambda t: t["bits"] > 0)
+    used = found.select(*keys, F.substring(mark, 34, 64).alias("sha"), F.when(F.size(real) > 0, real).otherwise(F.array(F.struct(F.substring(mark, 1, 33).alias("term"), F.lit(whole).alias("bits")))).alias("_used"))
+    return used.select(*keys, "sha", _hashes(F.col("_used")).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -95,13 +104,13 @@ def fingerprints_and_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     part. An empty table gives no rows.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.md5(text).alias("mark"), text.alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.unhex(F.md5(text)).alias("mark"), text.alias("text"))
     words = lexicon(rows)
-    key = F.md5(F.concat(F.coalesce(F.concat(F.lit("1"), F.col("doc_id").cast("string")), F.lit("0")), F.lit(":"), F.col("mark")))
+    key = F.unhex(F.md5(F.concat(group_key(F.col("doc_id")), F.lit(":"), F.hex("mark"))))
     rows = rows.select(key.alias("key"), "doc_id", "mark", "text")
     # One thin row for each different id and text: who follows whom.
     thin = cut(rows.select("key", "doc_id", "mark", F.char_length("text").alias("n_chars")).groupBy("key", "doc_id", "mark", "n_chars").agg(F.count(F.lit(1)).alias("c")))
-    placed = cut(ranked(thin.withColumn("tree", F.lit("")), "tree", ["doc_id", "mark"]).select("key", "doc_id", "n_chars", "c", "pos", "n"))
+    placed = ranked(thin.withColumn("tree", F.lit("")), "tree", ["doc_id", "mark"])
     after = placed.select(F.col("key").alias("next"), F.pmod(F.col("pos") - 1, F.col("n")).alias("pos"), "n")
     links = cut(placed.join(after.drop("n"), "pos").select("key", "next", "doc_id", "n_chars", "c"))
     # A text meets what it must give to the one before it, so only the halves that are needed move a second time.
@@ -110,12 +119,11 @@ def fingerprints_and_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     given = texts.join(gives, "key").select(F.col("to").alias("key"), F.expr("left(text, half)").alias("tail"))
     whole = texts.join(links, "key").join(given, "key")
     head = F.expr("left(text, n_chars - n_chars div 2)")
-    own = F.struct(F.lit(0).alias("which"), F.col("text").alias("text"))
-    edited = F.struct(F.lit(1).alias("which"), F.concat(head, F.col("tail")).alias("text"))
-    again = F.struct(F.lit(2).alias("which"), F.concat(head, F.expr("left(text, n_chars div 2)")).alias("text"))
+    own = F.struct(F.lit(0).cast("byte").alias("which"), F.col("text").alias("text"))
+    edited = F.struct(F.lit(1).cast("byte").alias("which"), F.concat(head, F.col("tail")).alias("text"))
+    again = F.struct(F.lit(2).cast("byte").alias("which"), F.concat(head, F.expr("left(text, n_chars div 2)")).alias("text"))
     forms = whole.select("key", F.explode(F.when(F.col("c") > 1, F.array(own, edited, again)).otherwise(F.array(own, edited))).alias("f")).select("key", "f.which", "f.text")
-    forms = forms.withColumn("sha", F.when(F.col("which") > 0, F.sha2("text", 256)))
-    made = cut(fingerprints(forms, ["key", "which", "sha"], words))
+    made = cut(fingerprints(forms, ["key", "which"], words))
     one = made.groupBy("key").agg(*[F.max(F.when(F.col("which") == w, F.col(c))).alias(f"{c}{w}") for w in (0, 1, 2) for c in ("fingerprint", "sha")])
     full = links.join(one, "key")
     nexts = made.where("which = 0").select(F.col("key").alias("next"), F.col("fingerprint").alias("_next"))
