@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from phylospark.shared import require
+
 ORDER = ("evalue", "bitscore", "subjectid")
 
 
@@ -17,9 +19,11 @@ def keys(df: DataFrame, by: list[str] | None) -> list[str]:
 
 
 def _checked(hits: DataFrame, column: str, condition) -> DataFrame:
-    """Rows that meet ``condition`` (pushed to the scan, which keeps nulls too); a null is an error, not a missing row."""
-    kept = hits.where(condition | F.col(column).isNull())
-    return kept.withColumn(column, F.coalesce(F.col(column), F.raise_error(F.lit(f"{column} is null")).cast(hits.schema[column].dataType)))
+    """Rows that meet ``condition`` (pushed to the scan, which keeps nulls too); a null is an error, not a missing row.
+
+    The check is a filter, so it holds whatever columns are read afterwards.
+    """
+    return require(hits.where(condition | F.col(column).isNull()), F.col(column).isNotNull(), F.lit(f"{column} is null"))
 
 
 def filter_evalue(hits: DataFrame, cutoff: float) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phylospark.shared import require
+
 #: Lists that a membership table or a difference may have: each becomes a column or a flag of every element.
 MOST_LISTS = 10_000
 
@@ -110,9 +112,8 @@ def singletons(items: DataFrame) -> DataFrame:
 def zip_lists(a: DataFrame, b: DataFrame) -> DataFrame:
     """``list_id, pos, a, b``: two lists side by side; unequal lengths are an error."""
     left, right = a.select("list_id", "pos", F.col("value").alias("a"), F.lit(1).alias("_a")), b.select("list_id", "pos", F.col("value").alias("b"), F.lit(1).alias("_b"))
-    uneven = F.raise_error(F.lit("lists of unequal length")).cast("long")
     joined = left.join(right, ["list_id", "pos"], "full")
-    return joined.withColumn("pos", F.when(F.col("_a").isNull() | F.col("_b").isNull(), uneven).otherwise(F.col("pos"))).select("list_id", "pos", "a", "b")
+    return require(joined, F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.lit("lists of unequal length")).select("list_id", "pos", "a", "b")
 
 
 def _draw(salt, *columns: Column) -> Column:

@@ -23,7 +23,7 @@ DNA = "ACGTACGTACGTACGTACGTACGTAC"
 VIEWS = {
     "hits_fwd": HITS_FWD,
     "hits_rev": HITS_REV,
-    "items": "SELECT event_type AS list_id, event_id AS pos, user_id AS value FROM {events}",
+    "items": "SELECT event_type AS list_id, event_id AS pos, user_id * 100 + hour(ts) AS value FROM {events}",
     "lists": "SELECT list_id, CAST(row_number() OVER (ORDER BY list_id) AS BIGINT) AS pos FROM (SELECT DISTINCT event_type AS list_id FROM {events} UNION ALL SELECT 'none' AS list_id) x",
     "full_lists": "SELECT list_id, CAST(row_number() OVER (ORDER BY list_id) AS BIGINT) AS pos FROM (SELECT DISTINCT event_type AS list_id FROM {events}) x",
     "og": "SELECT l_orderkey AS group_id, concat('p', l_partkey) AS member FROM {lineitem}",

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -27,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def require(df: DataFrame, condition: Column, message: Column) -> DataFrame:
+    """``df``, or an error when a row is read that does not meet ``condition``; as a filter it survives column pruning."""
+    return df.where(F.when(condition, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+
+
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phylospark.sources.genbank import parse_records
+from phylospark.shared import require
 from phylospark.sources.schemas import CRB, FEATURES, HITS, RECORDS
 
 #: Lines that begin so stand for an empty value.
@@ -32,9 +33,9 @@ def read_hits(spark: SparkSession, paths) -> DataFrame:
     """Tables of twelve columns without header; a line with another number of columns is an error."""
     lines = _lines(spark, paths).where(~F.col("value").startswith(EMPTY) & (F.col("value") != ""))
     cells = F.split("value", "\t")
-    good = F.when(F.size(cells) == 12, cells).otherwise(F.raise_error(F.concat(F.lit("not a hit table: "), "value")).cast("array<string>"))
+    lines = require(lines, F.size(cells) == 12, F.concat(F.lit("not a hit table: "), "value"))
     names = [c.strip().split(" ") for c in HITS.split(",")]
-    return lines.withColumn("_c", good).select("list_id", *[F.trim(F.col("_c")[i]).cast(kind).alias(name) for i, (name, kind) in enumerate(names)])
+    return lines.withColumn("_c", cells).select("list_id", *[F.trim(F.col("_c")[i]).cast(kind).alias(name) for i, (name, kind) in enumerate(names)])
 
 
 def read_crb(spark: SparkSession, paths) -> DataFrame:
@@ -125,5 +126,5 @@ def parse_searches(strings: DataFrame, column: str = "value") -> DataFrame:
     pattern = r"^([A-Za-z0-9. ]+?) *(?:\((?:(genbank|refseq|ensemblgenomes|ensembl)(?: +|(?=\))))?([A-Za-z0-9._]+)?\))?$"
     text = F.trim(F.col(column))
     part = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, pattern, i), F.lit("")), F.lit("NA"))
-    organism = F.when(text.rlike(pattern), part(1)).otherwise(F.raise_error(F.concat(F.lit("not a search: "), text)).cast("string"))
-    return strings.select(organism.alias("organism"), part(2).alias("database"), part(3).alias("identifier"))
+    good = require(strings, F.coalesce(text.rlike(pattern), F.lit(False)), F.concat(F.lit("not a search: "), F.coalesce(text, F.lit("null"))))
+    return good.select(part(1).alias("organism"), part(2).alias("database"), part(3).alias("identifier"))

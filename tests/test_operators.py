@@ -380,3 +380,35 @@ def test_missing_scores_are_an_error(spark):
     asked = spark.createDataFrame([("a",), ("b",)], "value string")
     with pytest.raises(Exception, match="no score for b"):
         readers.busco_filter_completeness(10, scores, asked).collect()
+
+
+def test_errors_survive_column_pruning(spark, tmp_path):
+    """Whatever is read of the result, a row that must not be there is an error."""
+    table = hit_table(spark, [("a", "x", None, None), ("b", "y", 1e-9, 2.0)]).withColumn("pident", F.when(F.col("queryid") == "b", 90.0))
+    a, b = items(spark, ["p", "q"])[0], items(spark, ["p"])[0]
+    strings = spark.createDataFrame([("a (b) c",)], "value string")
+    (tmp_path / "bad.bht").write_text("q\ts\t1\n")
+    scores, asked = spark.createDataFrame([("a", 50.0)], "fasta string, complete double"), spark.createDataFrame([("b",)], "value string")
+    made = {
+        "evalue is null": hits.filter_evalue(table, 1e-5), "bitscore is null": hits.filter_bitscore(table, 1), "pident is null": hits.filter_pident(table, 80), "unequal length": sets.zip_lists(a, b),
+        "not a search": readers.parse_searches(strings), "not a hit table": readers.read_hits(spark, str(tmp_path / "bad.bht")), "no score for b": readers.busco_filter_completeness(10, scores, asked),
+    }
+    for message, df in made.items():
+        for some in [df, *[df.select(c) for c in df.columns]]:
+            with pytest.raises(Exception, match=message):
+                some.count()
+            with pytest.raises(Exception, match=message):
+                some.collect()
+    with pytest.raises(Exception, match="evalue is null"):
+        hits.extract_queries(hits.filter_evalue(table, 1e-5)).collect()
+
+
+def test_set_goldens(spark):
+    """Two lists and three, each operation with its own answer."""
+    a, b = spark.createDataFrame([("a", i, v) for i, v in enumerate("wxyz")], "list_id string, pos long, value string"), spark.createDataFrame([("b", i, v) for i, v in enumerate("yzv")], "list_id string, pos long, value string")
+    assert values(sets.union(a, b)) == ["v", "w", "x", "y", "z"]
+    assert values(sets.intersection(a, b)) == ["y", "z"]
+    assert values(sets.difference(a, b)) == ["w", "x"] and values(sets.difference(b, a)) == ["v"]
+    c = spark.createDataFrame([("c", 0, "z"), ("c", 1, "w"), ("c", 2, "w")], "list_id string, pos long, value string")
+    regions = {r["lists"]: r["n"] for r in sets.set_regions(a.unionByName(b).unionByName(c)).collect()}
+    assert regions == {"a": 1, "b": 1, "a,b": 1, "a,c": 1, "a,b,c": 1}

@@ -39,3 +39,11 @@ def test_plans_have_no_cartesian_product(spark, sf_dir):
     for name in ("w1_shared_genes", "reciprocal_best", "ortholog_in_min", "seed_pairs", "w3_cutoff_stability", "lookup_ids", "extract_seqs"):
         plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_set_queries_tell_operators_apart(spark):
+    """On the given tables no two of these have the same rows, and only the one with an empty list has none."""
+    made = {name: sorted(map(repr, queries.QUERIES[name](spark, "/root/testdata/sf0.01").collect())) for name in ("union", "intersection", "difference", "any", "all", "some", "diff", "set_regions", "sets_table")}
+    assert all(made.values()) and len({tuple(rows) for rows in made.values()}) == len(made)
+    assert len(made["set_regions"]) > 20
+    assert not queries.QUERIES["all_with_an_empty_list"](spark, "/root/testdata/sf0.01").head(1)
