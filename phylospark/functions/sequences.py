@@ -41,6 +41,50 @@ def reverse_complement(seq: Column) -> Column:
     return F.translate(F.reverse(seq), CODES, COMPLEMENTS)
 
 
+#: Letters that a tile begins with, and tiles of a piece.
+TILE, PIECE = 1 << 16, 64
+
+
+def tiles(seqs: DataFrame, overlap: int, size: int = TILE) -> DataFrame:
+    """Sequences as rows of bounded length: ``offset`` (from 0) and ``seq``, ``size`` letters and ``overlap`` more that begin the next tile.
+
+    Every stretch of ``overlap + 1`` letters begins in one tile alone. Long
+    sequences are first cut into pieces of ``PIECE`` tiles, as every cut reads
+    its text from the start. Empty sequences have one tile, null ones none.
+    """
+    whole = seqs.where("seq is not null").withColumn("_n", F.length("seq"))
+    pieces = whole.withColumn("_from", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0)), F.lit(size * PIECE)))).withColumn("seq", F.substring(F.col("seq"), F.col("_from") + 1, F.lit(size * PIECE + overlap)))
+    own = F.least(F.lit(size * PIECE), F.greatest(F.col("_n") - F.col("_from"), F.lit(1)))
+    made = pieces.withColumn("_at", F.explode(F.sequence(F.lit(0), own - 1, F.lit(size))))
+    return made.withColumns({"offset": F.col("_from") + F.col("_at"), "seq": F.substring(F.col("seq"), F.col("_at") + 1, F.lit(size + overlap))}).drop("_n", "_from", "_at")
+
+
+def six_frame_tiles(seqs: DataFrame, size: int = TILE) -> DataFrame:
+    """The six frames of long sequences as rows of bounded length: ``frame``, ``offset`` (from 0, in amino acids of the frame) and ``seq``.
+
+    A frame's tiles, in the order of their offsets, are the protein that
+    ``six_frames`` gives; empty tiles are left out.
+    """
+    step = max(1, size // 3) * 3
+    made = tiles(seqs.withColumn("_len", F.length("seq")), 2, step)
+    frames = [F.struct(F.lit(f).alias("frame"), F.floor(F.col("offset") / 3).alias("offset"), F.substring(F.col("seq"), F.lit(f), F.lit(step)).alias("s")) for f in (1, 2, 3)]
+    for f in (1, 2, 3):
+        # Read backwards, a frame's codons end f - 1 letters before the end, so forwards they begin at what is left of that by threes.
+        last = F.col("_len") - (f - 1)
+        first = F.pmod(last, F.lit(3))
+        letters = F.greatest(F.lit(0), F.least(F.lit(step), last - F.col("offset") - first))
+        frames.append(F.struct(F.lit(-f).alias("frame"), F.floor((last - F.col("offset") - first - letters) / 3).alias("offset"), reverse_complement(F.substring(F.col("seq"), first + 1, letters)).alias("s")))
+    out = made.withColumn("_f", F.explode(F.array(*frames)))
+    return out.withColumns({"frame": F.col("_f.frame"), "offset": F.col("_f.offset"), "seq": translate("_f.s")}).where("seq <> ''").drop("_f", "_len")
+
+
+def translated_tiles(seqs: DataFrame, size: int = TILE) -> DataFrame:
+    """First-frame translation of long sequences as rows of bounded length: ``offset`` (from 0, in amino acids) and ``seq``."""
+    step = max(1, size // 3) * 3
+    made = tiles(seqs, 0, step)
+    return made.withColumns({"offset": F.floor(F.col("offset") / 3), "seq": translate("seq")}).where("seq <> ''")
+
+
 def translate_seqs(seqs: DataFrame) -> DataFrame:
     """SEQS of nucleotides to SEQS of proteins."""
     return seqs.withColumn("seq", translate("seq"))

@@ -1,10 +1,16 @@
-"""Similarity search of sequences against sequences: a seed join, then ungapped extension.
-
-Sequences that share k-mers meet on them; every diagonal of a pair with enough
-shared k-mers is extended to its best-scoring segment, so a pair has a hit for
-each. Nucleotides score by match and mismatch, proteins by BLOSUM62, and
-e-values follow from Karlin-Altschul statistics. Segments are the same in both
-directions, so a reciprocal search makes them once.
+"""Similarity search of sequences against sequences: a seed join, then ungapped extension with a drop-off.
+
+Sequences that share k-mers meet on them. On every diagonal of a pair with
+enough shared k-mers each seed is extended both ways until the score falls too
+far below its best, so two good stretches with a bad one between are two hits.
+Nucleotides score by match and mismatch, proteins by BLOSUM62, and e-values
+follow from Karlin-Altschul statistics. Letters have no case; a letter that is
+no nucleotide (no amino acid) is never a match and in no seed. Segments are the
+same in both directions, so a reciprocal search makes them once.
+
+K-mers come from tiles of bounded length. Those that stand at very many places
+are found by a frequency sketch, and their rows are dealt over as many parts as
+that takes on either side, so none is one task's.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phylospark.functions.sequences import kmers, six_frames
+from phylospark.functions.sequences import kmers, six_frames, tiles
 from phylospark.operators.hits import reciprocal_best
 from phylospark.shared import cut
 
@@ -49,6 +55,12 @@ BLOSUM62 = """
 PROTEIN_LAMBDA, PROTEIN_K, PROTEIN_WORD = 0.3176, 0.134, 5
 #: Scores of a stop with another letter, and of other letters.
 STOP, UNKNOWN = -4.0, -1.0
+#: How far, in bits, the score may fall below its best before an extension ends.
+DROP_BITS = {"dna": 20.0, "similar_dna": 20.0, "protein": 7.0}
+#: Letters around the seeds of a diagonal that are read at first; extensions that need more read the whole diagonal.
+MARGIN = 2000
+#: A k-mer with more than this share of a side's rows, and at least so many, is split; the sketch finds up to so many of them.
+SHARE, HOT_ROWS, SKETCHED = 1000, 1000, 2000
 
 
 def score_scale(letters: int, match: float, mismatch: float) -> float:
@@ -63,12 +75,17 @@ def score_scale(letters: int, match: float, mismatch: float) -> float:
     return lo
 
 
+def letters_of(alphabet: str) -> str:
+    return "ACGT" if alphabet in NUCLEOTIDES else AMINO_ACIDS
+
+
 def score_table(alphabet: str) -> tuple[np.ndarray, float, float, int]:
-    """Scores of each pair of bytes, lambda, K and the default k."""
+    """Scores of each pair of bytes, lambda, K and the default k; only letters of the alphabet match."""
     if alphabet in NUCLEOTIDES:
         match, mismatch, big_k, k = NUCLEOTIDES[alphabet]
         table = np.full((256, 256), mismatch)
-        np.fill_diagonal(table, match)
+        for c in letters_of(alphabet):
+            table[ord(c), ord(c)] = match
         return table, score_scale(4, match, mismatch), big_k, k
     if alphabet != "protein":
         raise ValueError(f"unknown alphabet: {alphabet}")
@@ -82,71 +99,199 @@ def score_table(alphabet: str) -> tuple[np.ndarray, float, float, int]:
     return table, PROTEIN_LAMBDA, PROTEIN_K, PROTEIN_WORD
 
 
-def kmer_index(seqs: DataFrame, k: int, max_df: int | None = None, keep: list[str] = ()) -> DataFrame:
+def plain_letters(seqs: DataFrame, alphabet: str) -> DataFrame:
+    """Sequences in capitals; for nucleotides U is T."""
+    upper = F.upper("seq")
+    return seqs.withColumn("seq", F.translate(upper, "U", "T") if alphabet in NUCLEOTIDES else upper)
+
+
+def kmer_index(seqs: DataFrame, k: int, max_df: int | None = None, keep: list[str] = (), letters: str | None = None) -> DataFrame:
     """``seq_id, kmer, kpos`` (from 0); k-mers in more than ``max_df`` sequences are left out.
 
-    ``max_df`` is the sensitivity setting of the search, as in other seed
-    searches: over-common k-mers carry no signal. None keeps all.
+    ``letters`` leaves out k-mers that hold others. ``max_df`` is a sensitivity
+    setting, as in other seed searches; None keeps all. Sequences are read tile
+    by tile, so one of any length makes no long array.
     """
-    index = seqs.select("seq_id", *keep, F.posexplode(kmers(F.col("seq"), k)).alias("kpos", "kmer")).select("seq_id", *keep, "kmer", "kpos")
+    tiled = tiles(seqs.select("seq_id", *keep, "seq"), k - 1)
+    index = tiled.select("seq_id", *keep, "offset", F.posexplode(kmers(F.col("seq"), k)).alias("_i", "kmer")).select("seq_id", *keep, "kmer", (F.col("offset") + F.col("_i")).alias("kpos"))
+    if letters:
+        index = index.where(F.translate("kmer", letters, "") == "")
     if max_df is None:
         return index
     frequent = index.select("seq_id", "kmer").distinct().groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_df)
     return index.join(frequent, "kmer", "left_anti").select("seq_id", *keep, "kmer", "kpos")
 
 
+def common_kmers(index: DataFrame, share: int = SHARE, least: int = HOT_ROWS) -> dict[str, int]:
+    """K-mers with more than one of ``share`` rows, and into how many parts each is to be split.
+
+    A frequency sketch in each task, merged: no exchange of k-mers. What it
+    misses has a smaller share than it is asked for.
+    """
+    row = index.agg(F.expr(f"approx_top_k(kmer, {SKETCHED}, {8 * SKETCHED})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    return {x["item"]: -(-x["count"] * share // row["n"]) for x in row["top"] or [] if x["count"] >= least and x["count"] * share > row["n"]}
+
+
+def seed_join(q: DataFrame, s: DataFrame, share: int = SHARE, least: int = HOT_ROWS) -> DataFrame:
+    """Rows of both sides that share a k-mer; a common k-mer's rows are dealt over parts, each met by the other side's copies."""
+    left, right = common_kmers(q, share, least), common_kmers(s, share, least)
+    if not left and not right:
+        return q.join(s, "kmer")
+    rows = [(kmer, left.get(kmer, 1), right.get(kmer, 1)) for kmer in sorted({*left, *right})]
+    # At most 2 * SKETCHED rows.
+    hot = F.broadcast(q.sparkSession.createDataFrame(rows, "kmer string, _l int, _r int"))
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*[c for c in side.columns if c != "kmer"]), F.coalesce(own, F.lit(1))).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        return side.join(hot, "kmer", "left").withColumns({f"{own}_": part}).withColumn(f"{other}_", copies).drop("_l", "_r")
+
+    return dealt(q, "_l", "_r").join(dealt(s, "_r", "_l"), ["kmer", "_l_", "_r_"]).drop("_l_", "_r_")
+
+
 def seed_pairs(queries: DataFrame, subjects: DataFrame, k: int, min_seeds: int = 1, max_df: int | None = None) -> DataFrame:
     """``queryid, subjectid, seeds, diag, diag_seeds`` of pairs with at least ``min_seeds`` distinct shared k-mers.
 
     ``diag`` (subject place minus query place) is the diagonal with most shared
-    k-mers, the least of those that tie.
+    k-mers, the least of those that tie. One join is grouped both by diagonal
+    and by k-mer.
     """
     q = kmer_index(queries, k).select(F.col("seq_id").alias("queryid"), "kmer", F.col("kpos").alias("qpos"))
     s = kmer_index(subjects, k, max_df).select(F.col("seq_id").alias("subjectid"), "kmer", F.col("kpos").alias("spos"))
-    met = q.join(s, "kmer").select("queryid", "subjectid", "kmer", (F.col("spos") - F.col("qpos")).alias("diag"))
-    diagonals = met.groupBy("queryid", "subjectid", "diag").agg(F.count(F.lit(1)).alias("n"))
-    best = diagonals.groupBy("queryid", "subjectid").agg(F.max(F.struct("n", (-F.col("diag")).alias("d"))).alias("b"))
-    shared = met.select("queryid", "subjectid", "kmer").distinct().groupBy("queryid", "subjectid").agg(F.count(F.lit(1)).alias("seeds"))
-    joined = best.join(shared, ["queryid", "subjectid"]).where(F.col("seeds") >= min_seeds)
+    return pairs_of_seeds(seed_join(q, s), min_seeds)
+
+
+def pairs_of_seeds(met: DataFrame, min_seeds: int) -> DataFrame:
+    rows = met.select("queryid", "subjectid", "kmer", (F.col("spos") - F.col("qpos")).alias("diag"))
+    both = rows.groupingSets([["queryid", "subjectid", "diag"], ["queryid", "subjectid", "kmer"]], "queryid", "subjectid", "diag", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    best = F.max(F.when(F.col("diag").isNotNull(), F.struct("n", (-F.col("diag")).alias("d"))))
+    joined = both.groupBy("queryid", "subjectid").agg(best.alias("b"), F.count("kmer").alias("seeds")).where(F.col("seeds") >= min_seeds)
     return joined.select("queryid", "subjectid", "seeds", (-F.col("b.d")).cast("int").alias("diag"), F.col("b.n").alias("diag_seeds"))
 
 
-def best_segment(query: str, subject: str, table: np.ndarray) -> tuple[float, int, int, int]:
-    """Score, start, end and equal letters of the best segment of two stretches side by side; the first of those that tie."""
+def _walk(scores: np.ndarray, drop: float) -> tuple[float, int, int]:
+    """Best sum of a beginning of ``scores``, its length (the least of those that tie), and how many are looked at until the sum is more than ``drop`` below its best."""
+    total, taken, best, length = 0.0, 0, 0.0, 0
+    while taken < len(scores):
+        sums = total + np.cumsum(scores[taken : taken + max(64, taken)])
+        tops = np.maximum(np.maximum.accumulate(sums), best)
+        fallen = np.flatnonzero(tops - sums > drop)
+        seen = int(fallen[0]) + 1 if len(fallen) else len(sums)
+        at = int(sums[:seen].argmax())
+        if sums[at] > best:
+            best, length = float(sums[at]), taken + at + 1
+        taken += seen
+        if len(fallen):
+            break
+        total = float(sums[-1])
+    return best, length, taken
+
+
+def extend_seeds(query: str, subject: str, table: np.ndarray, letters: str, k: int, drop: float, more_left: bool = False, more_right: bool = False) -> tuple[list[tuple[float, int, int, int]], bool]:
+    """Segments (score, start, end, equal letters) of two stretches side by side, and whether an extension came to an end beyond which there is more.
+
+    Seeds are k equal letters in a row. They are taken from left to right; one
+    that the extension before it has looked at is passed over. An extension to
+    the left ends before the segment before it, as what ended that one is a
+    fall of more than ``drop`` from there.
+    """
     q = np.frombuffer(query.encode("ascii", "replace"), np.uint8)
     s = np.frombuffer(subject.encode("ascii", "replace"), np.uint8)
-    total = np.r_[0.0, np.cumsum(table[q, s])]
-    end = int((total - np.minimum.accumulate(total)).argmax())
-    start = int(total[: end + 1].argmin())
-    return float(total[end] - total[start]), start, end, int((q[start:end] == s[start:end]).sum())
-
-
-def segments(queries: DataFrame, subjects: DataFrame, alphabet: str, k: int | None, min_seeds: int, max_df: int | None, at: list[str]) -> DataFrame:
-    """The best segment of every diagonal on which a query and a subject share at least ``min_seeds`` k-mers.
+    same = (q == s) & np.isin(q, np.frombuffer(letters.encode(), np.uint8))
+    equal = np.r_[0, np.cumsum(same)]
+    seeds = np.flatnonzero(equal[k:] - equal[:-k] == k) if len(q) >= k else np.array([], int)
+    scores, found, reach, beyond = table[q, s], [], -1, False
+    while True:
+        rest = int(np.searchsorted(seeds, reach, side="right"))
+        if rest == len(seeds):
+            return found, beyond
+        p = int(seeds[rest])
+        right, ahead, seen = _walk(scores[p:], drop)
+        left, back, behind = _walk(scores[:p][::-1], drop)
+        beyond |= (more_right and p + seen == len(q)) or (more_left and behind == p)
+        found.append((right + left, p - back, p + ahead, int(equal[p + ahead] - equal[p - back])))
+        reach = p + seen - 1
+
+
+def segments(queries: DataFrame, subjects: DataFrame, alphabet: str, k: int | None, min_seeds: int, max_df: int | None, at: list[str], index: DataFrame | None = None) -> DataFrame:
+    """Extended seeds of every diagonal on which a query and a subject share at least ``min_seeds`` k-mers; written.
 
     ``at`` are the subjects' columns that tell lists apart; ids must be unique
-    within a list. Only the stretches side by side go to Python.
+    within a list. Only the stretches around the seeds go to Python, cut out of
+    the sequences where these are joined; ``index`` is a lasting index of the
+    subjects, if there is one.
     """
-    table, _, _, default_k = score_table(alphabet)
-    q = kmer_index(queries, k or default_k).select(F.col("seq_id").alias("queryid"), "kmer", F.col("kpos").alias("qpos"))
-    s = kmer_index(subjects, k or default_k, max_df, at).select(*at, F.col("seq_id").alias("subjectid"), "kmer", F.col("kpos").alias("spos"))
-    diagonals = q.join(s, "kmer").groupBy(*at, "queryid", "subjectid", (F.col("spos") - F.col("qpos")).alias("diag")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_seeds)
-    full = diagonals.join(queries.select(F.col("seq_id").alias("queryid"), F.col("seq").alias("_q")), "queryid").join(subjects.select(*at, F.col("seq_id").alias("subjectid"), F.col("seq").alias("_s")), [*at, "subjectid"])
-    first = F.greatest(F.lit(0), -F.col("diag"))
-    full = full.withColumns({"first": first, "qlen": F.length("_q"), "slen": F.length("_s")}).withColumn("beside", F.least(F.col("qlen"), F.col("slen") - F.col("diag")) - F.col("first"))
-
-    @F.pandas_udf("struct<score: double, start: int, end: int, matches: int>")
-    def extend(q: pd.Series, s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([best_segment(a, b, table) for a, b in zip(q, s)], columns=["score", "start", "end", "matches"])
-
-    made = full.select(*at, "queryid", "subjectid", "diag", "first", "qlen", "slen", extend(F.substring("_q", F.col("first") + 1, F.col("beside")), F.substring("_s", F.col("first") + F.col("diag") + 1, F.col("beside"))).alias("e"))
-    return made.where("e.end > e.start").select(
-        *at, "queryid", "subjectid", "qlen", "slen", F.col("e.score").alias("score"), (F.col("e.end") - F.col("e.start")).alias("alignmentlength"), F.col("e.matches").alias("matches"),
+    _, _, _, default_k = score_table(alphabet)
+    word = k or default_k
+    letters = letters_of(alphabet)
+    queries, subjects = plain_letters(queries, alphabet), plain_letters(subjects, alphabet)
+    q = kmer_index(queries, word, letters=letters).select(F.col("seq_id").alias("queryid"), "kmer", F.col("kpos").alias("qpos"))
+    if index is None:
+        s = kmer_index(subjects, word, max_df, at, letters).select(*at, F.col("seq_id").alias("subjectid"), "kmer", F.col("kpos").alias("spos"))
+        met = seed_join(q, s)
+    else:
+        met = indexed_seeds(q, index)
+    diagonals = met.groupBy(*at, "queryid", "subjectid", (F.col("spos") - F.col("qpos")).alias("diag")).agg(F.count(F.lit(1)).alias("n"), F.min("qpos").alias("lo"), F.max("qpos").alias("hi")).where(F.col("n") >= min_seeds).drop("n")
+    diagonals = cut(diagonals)
+    near = cut(_extended(diagonals, queries, subjects, alphabet, word, at, MARGIN))
+    names = [*at, "queryid", "subjectid", "diag"]
+    open_ended = near.where("beyond").select(*names).distinct()
+    if open_ended.limit(1).count():
+        far = _extended(diagonals.join(open_ended, names, "left_semi"), queries, subjects, alphabet, word, at, 1 << 30)
+        near = cut(near.join(open_ended, names, "left_anti").unionByName(far))
+    return near.drop("beyond")
+
+
+def _extended(diagonals: DataFrame, queries: DataFrame, subjects: DataFrame, alphabet: str, k: int, at: list[str], margin: int) -> DataFrame:
+    table, scale, _, _ = score_table(alphabet)
+    letters, drop = letters_of(alphabet), DROP_BITS[alphabet] * math.log(2) / scale
+
+    @F.pandas_udf("struct<beyond: boolean, found: array<struct<score: double, start: int, end: int, matches: int>>>")
+    def extend(q: pd.Series, s: pd.Series, more_left: pd.Series, more_right: pd.Series) -> pd.DataFrame:
+        made = [extend_seeds(*x[:2], table, letters, k, drop, *x[2:]) for x in zip(q, s, more_left, more_right)]
+        return pd.DataFrame({"beyond": [b for _, b in made], "found": [[dict(zip(("score", "start", "end", "matches"), x)) for x in f] for f, _ in made]})
+
+    bounded = diagonals.join(queries.select(F.col("seq_id").alias("queryid"), F.col("seq").alias("_q")), "queryid")
+    least = F.greatest(F.lit(0), -F.col("diag"))
+    bounded = bounded.select(*at, "queryid", "subjectid", "diag", least.alias("least"), F.length("_q").alias("qlen"), F.greatest(least, F.col("lo") - margin).alias("first"), "_q", "hi")
+    clipped = bounded.withColumn("_q", F.substring(F.col("_q"), F.col("first") + 1, F.least(F.col("qlen").cast("long"), F.col("hi") + k + margin).cast("int") - F.col("first"))).drop("hi")
+    met = clipped.join(subjects.select(*at, F.col("seq_id").alias("subjectid"), F.col("seq").alias("_s")), [*at, "subjectid"]).withColumn("slen", F.length("_s"))
+    met = met.withColumn("_s", F.substring(F.col("_s"), F.col("first") + F.col("diag") + 1, F.length("_q")))
+    met = met.withColumn("_q", F.substring(F.col("_q"), F.lit(1), F.length("_s")))
+    ends = F.col("first") + F.length("_s") < F.least(F.col("qlen"), F.col("slen") - F.col("diag"))
+    made = met.withColumn("e", extend("_q", "_s", F.col("first") > F.col("least"), ends)).drop("_q", "_s", "least")
+    made = made.select(*at, "queryid", "subjectid", "diag", "first", "qlen", "slen", F.col("e.beyond").alias("beyond"), F.explode("e.found").alias("e"))
+    return made.select(
+        *at, "queryid", "subjectid", "diag", "qlen", "slen", "beyond", F.col("e.score").alias("score"), (F.col("e.end") - F.col("e.start")).alias("alignmentlength"), F.col("e.matches").alias("matches"),
         (F.col("first") + F.col("e.start") + 1).alias("qstart"), (F.col("first") + F.col("e.end")).alias("qend"),
         (F.col("first") + F.col("diag") + F.col("e.start") + 1).alias("sstart"), (F.col("first") + F.col("diag") + F.col("e.end")).alias("send"),
     )
 
 
+def build_index(subjects: DataFrame, table: str, k: int, alphabet: str = "dna", max_df: int | None = None, keep: list[str] = (), buckets: int = 64) -> DataFrame:
+    """A lasting index of the subjects' k-mers: a table of the session's catalog, bucketed and sorted by k-mer.
+
+    One row for each k-mer and subject; ``steps`` are its places, the first as
+    it is and then the distances between them. Searches join it bucket by
+    bucket, so the subjects' side is neither exchanged nor sorted again.
+    """
+    places = kmer_index(plain_letters(subjects, alphabet), k, max_df, list(keep), letters_of(alphabet))
+    # A k-mer of very many places in one subject has a row for each stretch of it.
+    rows = places.groupBy("kmer", *keep, F.col("seq_id").alias("subjectid"), F.expr("kpos div 1024").alias("_stretch")).agg(F.array_sort(F.collect_list("kpos")).alias("p")).drop("_stretch")
+    steps = F.transform("p", lambda x, i: F.when(i == 0, x).otherwise(x - F.col("p")[i - 1]))
+    rows.select("kmer", *keep, "subjectid", steps.alias("steps")).repartition(buckets, "kmer").write.bucketBy(buckets, "kmer").sortBy("kmer").mode("overwrite").saveAsTable(table)
+    return subjects.sparkSession.table(table)
+
+
+def indexed_seeds(q: DataFrame, index: DataFrame) -> DataFrame:
+    """The seed join against a lasting index; queries (``queryid, kmer, qpos``) go to its buckets."""
+    met = q.join(index.hint("merge"), "kmer")
+    # Running sums of the steps are the places again.
+    sums = F.aggregate("steps", F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, x + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))))
+    places = F.when(F.size("steps") == 1, F.col("steps")).otherwise(sums)
+    return met.withColumn("spos", F.explode(places)).drop("steps")
+
+
 def _hits(found: DataFrame, evalue: float, alphabet: str, database: DataFrame, at: list[str], by: list[str]) -> DataFrame:
     """Segments as hits against the sequences of ``database``, one for each of ``by``."""
     _, scale, big_k, _ = score_table(alphabet)
@@ -195,13 +340,21 @@ def search_rbh(
     return reciprocal_best(_hits(found, evalue, alphabet, subjects, at, at), _hits(_turned(found), evalue, alphabet, queries, at, []), mode, by=at)
 
 
+def search_index(evalue: float, queries: DataFrame, subjects: DataFrame, index: DataFrame, k: int, alphabet: str = "dna", min_seeds: int = 1, by: list[str] | None = None) -> DataFrame:
+    """As ``search``, with the seeds of a lasting index (``build_index``) of these subjects, made with the same ``k``."""
+    at = list(by or [])
+    return _hits(segments(queries, subjects, alphabet, k, min_seeds, None, at, index), evalue, alphabet, subjects, at, at)
+
+
 def translated_search(evalue: float, queries: DataFrame, subjects: DataFrame, mode: str, k: int | None = None, **options) -> DataFrame:
     """``blastx`` translates queries, ``tblastn`` subjects, ``tblastx`` both, in six frames.
 
     Coordinates are of the nucleotide sequences; on the other strand start is
-    greater than end. Best frames only: one hit for each pair of frames.
+    greater than end. All segments of all pairs of frames are hits.
     """
     sides = {"blastx": (True, False), "tblastn": (False, True), "tblastx": (True, True)}[mode]
+    # Frame and length stand behind the id, whatever letters that has.
+    pattern = "(?s)^(.*)\u0001(-?[0-9]+)\u0001([0-9]+)$"
 
     def frames(seqs: DataFrame, on: bool) -> DataFrame:
         sized = seqs.withColumn("_len", F.length("seq"))
@@ -210,10 +363,10 @@ def translated_search(evalue: float, queries: DataFrame, subjects: DataFrame, mo
 
     hits = search(evalue, frames(queries, sides[0]), frames(subjects, sides[1]), "protein", k, **options)
     for name, start, end in (("queryid", "qstart", "qend"), ("subjectid", "sstart", "send")):
-        part = F.split(F.col(name), "\u0001")
-        frame, size = part[1].cast("int"), part[2].cast("int")
+        part = lambda i, name=name: F.regexp_extract(name, pattern, i)
+        frame, size = part(2).cast("int"), part(3).cast("int")
         a, b = 3 * (F.col(start) - 1) + F.abs(frame), 3 * F.col(end) + F.abs(frame) - 1
         first = F.when(frame == 0, F.col(start)).when(frame > 0, a).otherwise(size - a + 1)
         last = F.when(frame == 0, F.col(end)).when(frame > 0, b).otherwise(size - b + 1)
-        hits = hits.withColumns({start: first, end: last, name: part[0]})
+        hits = hits.withColumns({start: first, end: last, name: part(1)})
     return hits

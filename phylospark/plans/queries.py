@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from phylospark.functions import numbers, sequences
 from phylospark.operators import groups, hits, ids, mapping, search, sets, sweeps
 from phylospark.plans import workloads
 from phylospark.plans.views import view, with_views
+from phylospark.shared import cut
 from phylospark.sources import readers
 
 QUERIES: dict = {}
@@ -211,6 +215,19 @@ query(
     "six_frames",
     f"WITH b AS (SELECT seq_id, seq, 1 AS sign FROM item_seqs UNION ALL SELECT seq_id, {REVERSED}, -1 FROM item_seqs) SELECT seq_id, CAST(sign * (f + 1) AS INT) AS frame, md5({_translated('seq', 'f')}) AS digest FROM b, (SELECT unnest(range(3)) AS f)",
 )(lambda v: sequences.six_frames(v("item_seqs")).select("seq_id", "frame", F.md5("seq").alias("digest")))
+#: Tiles of 60 letters, put together again: every stretch has its place.
+query("translated_tiles", f"SELECT seq_id, md5({_translated('seq')}) AS digest FROM doc_seqs WHERE length(seq) >= 3")(lambda v: _rejoined(sequences.translated_tiles(v("doc_seqs"), 60), "seq_id"))
+query(
+    "six_frame_tiles",
+    f"WITH b AS (SELECT seq_id, seq, 1 AS sign FROM doc_seqs UNION ALL SELECT seq_id, {REVERSED}, -1 FROM doc_seqs) SELECT seq_id, CAST(sign * (f + 1) AS INT) AS frame, md5({_translated('seq', 'f')}) AS digest FROM b, (SELECT unnest(range(3)) AS f) WHERE length(seq) - f >= 3",
+)(lambda v: _rejoined(sequences.six_frame_tiles(v("doc_seqs"), 60), "seq_id", "frame"))
+
+
+def _rejoined(tiled: DataFrame, *keys: str) -> DataFrame:
+    parts = tiled.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("offset", "seq"))).alias("p"))
+    return parts.select(*keys, F.md5(F.array_join(F.transform("p", lambda x: x["seq"]), "")).alias("digest"))
+
+
 KMERS = "(SELECT seq_id, substr(seq, CAST(i + 1 AS INT), {k}) AS kmer, CAST(i AS INT) AS kpos FROM {t}, unnest(range(greatest(length(seq) - {k} + 1, 0))) AS u(i))"
 query("kmer_index", f"SELECT * FROM {KMERS.format(k=11, t='item_seqs')}")(lambda v: search.kmer_index(v("item_seqs"), 11))
 query("kmer_document_frequency", f"SELECT kmer, count(DISTINCT seq_id) AS sequences, count(*) AS places FROM {KMERS.format(k=6, t='doc_seqs')} GROUP BY kmer")(
@@ -223,19 +240,42 @@ query(
     c AS (SELECT queryid, subjectid, count(DISTINCT kmer) AS seeds FROM m GROUP BY ALL)
     SELECT b.queryid, b.subjectid, seeds, diag, diag_seeds FROM b JOIN c ON b.queryid = c.queryid AND b.subjectid = c.subjectid WHERE seeds >= 10""",
 )(lambda v: search.seed_pairs(v("item_seqs"), v("doc_seqs"), 14, 10))
-SCALE = search.score_scale(4, 1.0, -3.0)
-#: The best segment of a diagonal: where the running score is furthest above its least value so far.
-SEGMENTS = f"""q AS {KMERS.format(k=14, t="item_seqs")}, s AS {KMERS.format(k=14, t="doc_seqs")},
-    d AS (SELECT q.seq_id AS queryid, s.seq_id AS subjectid, s.kpos - q.kpos AS diag FROM q JOIN s ON q.kmer = s.kmer GROUP BY ALL HAVING count(*) >= 5),
-    f AS (SELECT d.*, a.seq AS qs, b.seq AS ss, greatest(0, -diag) AS first, least(length(a.seq), length(b.seq) - diag) - greatest(0, -diag) AS beside FROM d JOIN item_seqs a ON a.seq_id = queryid JOIN doc_seqs b ON b.seq_id = subjectid),
-    l AS (SELECT queryid, subjectid, diag, first, length(qs) AS qlen, length(ss) AS slen, i, CASE WHEN substr(qs, CAST(first + i AS INT), 1) = substr(ss, CAST(first + diag + i AS INT), 1) THEN 1 ELSE 0 END AS same FROM f, unnest(range(1, beside + 1)) AS u(i)),
-    r AS (SELECT *, sum(CASE WHEN same = 1 THEN 1 ELSE -3 END) OVER w AS t, sum(same) OVER w AS m FROM l WINDOW w AS (PARTITION BY queryid, subjectid, diag ORDER BY i)),
-    v AS (SELECT *, t - least(0, min(t) OVER w) AS gain, least(0, min(t) OVER w) AS low FROM r WINDOW w AS (PARTITION BY queryid, subjectid, diag ORDER BY i)),
-    e AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY queryid, subjectid, diag ORDER BY gain DESC, i) = 1),
-    g AS (SELECT e.queryid, e.subjectid, e.diag, e.first, e.qlen, e.slen, e.gain AS score, e.i AS stop, coalesce(min(r.i), 0) AS start, any_value(e.m) - coalesce(arg_min(r.m, r.i), 0) AS matches
-        FROM e LEFT JOIN r ON r.queryid = e.queryid AND r.subjectid = e.subjectid AND r.diag = e.diag AND r.i < e.i AND e.low < 0 AND r.t = e.low GROUP BY ALL),
+
+
+def _reach(scores: str, drop: float) -> str:
+    """A walk along scores: the best sum ``b``, its length ``e``, and how many are looked at, ``i``, until the sum is ``drop`` below it."""
+    return f"""list_reduce(list_transform({scores}, lambda x: {{'c': x::DOUBLE, 'b': 0::DOUBLE, 'e': 0, 'i': 0, 'd': false}}), lambda z, x: CASE WHEN z.d THEN z ELSE {{'c': z.c + x.c, 'b': greatest(z.b, z.c + x.c),
+        'e': CASE WHEN z.c + x.c > z.b THEN z.i + 1 ELSE z.e END, 'i': z.i + 1, 'd': greatest(z.b, z.c + x.c) - (z.c + x.c) > {drop!r}}} END, {{'c': 0::DOUBLE, 'b': 0::DOUBLE, 'e': 0, 'i': 0, 'd': false}})"""
+
+
+def _segments(queries: str, subjects: str, k: int, alphabet: str) -> str:
+    """Seeds taken from left to right, each extended both ways; those that an extension has looked at are passed over."""
+    table, scale, big_k, _ = search.score_table(alphabet)
+    letters, drop = search.letters_of(alphabet), search.DROP_BITS[alphabet] * math.log(2) / scale
+    a, b = "substr(qs, CAST(first + i + 1 AS INT), 1)", "substr(ss, CAST(first + diag + i + 1 AS INT), 1)"
+    if alphabet == "protein":
+        known = "".join(f"{x}" for x in letters) + "*"
+        flat = "[" + ", ".join(str(int(table[ord(x), ord(y)])) for x in known for y in known) + "]"
+        score = f"CASE WHEN instr('{known}', {a}) > 0 AND instr('{known}', {b}) > 0 THEN {flat}[(instr('{known}', {a}) - 1) * {len(known)} + instr('{known}', {b})] WHEN '*' IN ({a}, {b}) THEN {int(search.STOP)} ELSE {int(search.UNKNOWN)} END"
+    else:
+        match, mismatch = int(search.NUCLEOTIDES[alphabet][0]), int(search.NUCLEOTIDES[alphabet][1])
+        score = f"CASE WHEN {a} = {b} AND contains('{letters}', {a}) THEN {match} ELSE {mismatch} END"
+    good = f"regexp_full_match(kmer, '[{letters}]*')"
+    return f"""q AS (SELECT * FROM {KMERS.format(k=k, t=queries)} WHERE {good}), s AS (SELECT * FROM {KMERS.format(k=k, t=subjects)} WHERE {good}),
+    d AS (SELECT q.seq_id AS queryid, s.seq_id AS subjectid, s.kpos - q.kpos AS diag, list(q.kpos ORDER BY q.kpos) AS places FROM q JOIN s ON q.kmer = s.kmer GROUP BY ALL HAVING count(*) >= 5),
+    f AS (SELECT d.*, a.seq AS qs, b.seq AS ss, greatest(0, -diag) AS first, least(length(a.seq), length(b.seq) - diag) - greatest(0, -diag) AS beside FROM d JOIN {queries} a ON a.seq_id = queryid JOIN {subjects} b ON b.seq_id = subjectid),
+    l AS (SELECT queryid, subjectid, diag, first, length(qs) AS qlen, length(ss) AS slen, list_transform(places, lambda x: x - first) AS seeds, list_transform(range(beside), lambda i: {score}) AS sc,
+        list_transform(range(beside), lambda i: CASE WHEN {a} = {b} AND contains('{letters}', {a}) THEN 1 ELSE 0 END) AS eq FROM f),
+    w AS (SELECT *, CAST(-1 AS BIGINT) AS reach, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS stop, 0::DOUBLE AS score FROM l
+        UNION ALL
+        SELECT queryid, subjectid, diag, first, qlen, slen, seeds, sc, eq, p + r.i - 1, p - t.e, p + r.e, r.b + t.b FROM
+        (SELECT *, {_reach("sc[p + 1 :]", drop)} AS r, {_reach("list_reverse(sc[1 : p])", drop)} AS t FROM (SELECT *, list_min(list_filter(seeds, lambda x: x > reach)) AS p FROM w) WHERE p IS NOT NULL)),
+    g AS (SELECT queryid, subjectid, diag, first, qlen, slen, score, start, stop, list_sum(eq[start + 1 : stop]) AS matches FROM w WHERE reach >= 0),
     h AS (SELECT queryid, subjectid, right(subjectid, 1) AS list_id, qlen, slen, score, matches, stop - start AS alignmentlength, first + start + 1 AS qstart, first + stop AS qend, first + diag + start + 1 AS sstart, first + diag + stop AS send,
-        (score * {SCALE!r} - ln(0.711)) / ln(2) AS bits FROM g WHERE stop > start)"""
+        (score * {scale!r} - ln({big_k})) / ln(2) AS bits FROM g)"""
+
+
+SEGMENTS = _segments("item_seqs", "doc_seqs", 14, "dna")
 SHOWN = "CAST(alignmentlength AS INT) AS alignmentlength, CAST(matches AS INT) AS matches"
 FORWARD = "(SELECT sum(length(seq)) FROM doc_seqs)"
 FORWARD_EACH = "(SELECT sum(length(x.seq)) FROM doc_seqs x WHERE right(x.seq_id, 1) = list_id)"
@@ -250,14 +290,14 @@ def _shown(df, *more):
 def _found(columns: str, evalue: str, turned: bool = False) -> str:
     ends = "CAST(sstart AS INT) AS qstart, CAST(send AS INT) AS qend, CAST(qstart AS INT) AS sstart, CAST(qend AS INT) AS send" if turned else "CAST(qstart AS INT) AS qstart, CAST(qend AS INT) AS qend, CAST(sstart AS INT) AS sstart, CAST(send AS INT) AS send"
     ids = "subjectid AS queryid, queryid AS subjectid" if turned else "queryid, subjectid"
-    return f"WITH {SEGMENTS} SELECT {columns}{ids}, {SHOWN}, {ends}, round(bits, 6) AS bitscore FROM h WHERE {'slen' if turned else 'qlen'} * {evalue} * pow(2.0, -bits) <= 1e-5"
+    return f"WITH RECURSIVE {SEGMENTS} SELECT {columns}{ids}, {SHOWN}, {ends}, round(bits, 6) AS bitscore FROM h WHERE {'slen' if turned else 'qlen'} * {evalue} * pow(2.0, -bits) <= 1e-5"
 
 
 def _mutual(each: bool) -> str:
     """Reciprocal best hits of the segments: least e-value, then greatest bits, then least partner, then the other columns."""
     at = "list_id, " if each else ""
     rank = "e, bits DESC, {o}, 100.0 * matches / alignmentlength, alignmentlength, alignmentlength - matches, {s}, {t}, {x}, {y}"
-    return f"""WITH {SEGMENTS}, fw AS (SELECT *, qlen * {FORWARD_EACH if each else FORWARD} * pow(2.0, -bits) AS e FROM h), bw AS (SELECT *, slen * {BACKWARD} * pow(2.0, -bits) AS e FROM h),
+    return f"""WITH RECURSIVE {SEGMENTS}, fw AS (SELECT *, qlen * {FORWARD_EACH if each else FORWARD} * pow(2.0, -bits) AS e FROM h), bw AS (SELECT *, slen * {BACKWARD} * pow(2.0, -bits) AS e FROM h),
     a AS (SELECT * FROM fw WHERE e <= 1e-5 QUALIFY row_number() OVER (PARTITION BY {at}queryid ORDER BY {rank.format(o="subjectid", s="qstart", t="qend", x="sstart", y="send")}) = 1),
     b AS (SELECT * FROM bw WHERE e <= 1e-5 QUALIFY row_number() OVER (PARTITION BY {at}subjectid ORDER BY {rank.format(o="queryid", s="sstart", t="send", x="qstart", y="qend")}) = 1)
     SELECT {at}queryid, subjectid, {SHOWN}, CAST(qstart AS INT) AS qstart, CAST(qend AS INT) AS qend, CAST(sstart AS INT) AS sstart, CAST(send AS INT) AS send, round(bits, 6) AS bitscore
@@ -275,7 +315,49 @@ query("search_rev", _found("", BACKWARD, True))(lambda v: _shown(search.search_r
 query("search_rev_each", _found("list_id, ", BACKWARD, True))(lambda v: _shown(search.search_rev(1e-5, v("item_seqs"), _listed(v), by=["list_id"], **SEEDS), "list_id"))
 query("search_rbh", _mutual(False))(lambda v: _shown(search.search_rbh(1e-5, v("item_seqs"), v("doc_seqs"), **SEEDS)))
 query("search_rbh_each", _mutual(True))(lambda v: _shown(search.search_rbh(1e-5, v("item_seqs"), _listed(v), by=["list_id"], **SEEDS), "list_id"))
-query("translated_search", None)(lambda v: search.translated_search(1e-5, v("item_seqs"), v("doc_seqs"), "tblastx", k=6, min_seeds=5))
+
+
+def _search_index(v):
+    """The index is written, and the search reads it as a later one would."""
+    table = f"seeds_{uuid.uuid4().hex}"
+    index = search.build_index(v("doc_seqs"), table, SEEDS["k"])
+    found = cut(_shown(search.search_index(1e-5, v("item_seqs"), v("doc_seqs"), index, **SEEDS)))
+    index.sparkSession.sql(f"DROP TABLE {table}")
+    return found
+
+
+query("search_index", _found("", FORWARD))(_search_index)
+
+
+def _proteins(name: str, table: str) -> str:
+    return f"{name} AS (SELECT seq_id, {_translated('seq')} AS seq FROM {table})"
+
+
+def _frames(name: str, table: str) -> str:
+    both = f"SELECT seq_id, seq, 1 AS sign FROM {table} UNION ALL SELECT seq_id, {REVERSED}, -1 FROM {table}"
+    return f"{name} AS (SELECT concat(seq_id, chr(1), CAST(sign * (f + 1) AS INT), chr(1), length(seq)) AS seq_id, {_translated('seq', 'f')} AS seq FROM ({both}), (SELECT unnest(range(3)) AS f))"
+
+
+ENDS = "CAST(qstart AS INT) AS qstart, CAST(qend AS INT) AS qend, CAST(sstart AS INT) AS sstart, CAST(send AS INT) AS send"
+query(
+    "search_protein",
+    f"""WITH RECURSIVE {_proteins("item_prots", "item_seqs")}, {_proteins("doc_prots", "doc_seqs")}, {_segments("item_prots", "doc_prots", 5, "protein")}
+    SELECT queryid, subjectid, {SHOWN}, {ENDS}, round(bits, 6) AS bitscore FROM h WHERE qlen * (SELECT sum(length(seq)) FROM doc_prots) * pow(2.0, -bits) <= 1e-5""",
+)(lambda v: _shown(search.search(1e-5, sequences.translate_seqs(v("item_seqs")), sequences.translate_seqs(v("doc_seqs")), "protein", k=5, min_seeds=5)))
+
+
+def _nucleotides(x: str, start: str, end: str) -> str:
+    frame, size = f"CAST(string_split({x}, chr(1))[2] AS INT)", f"CAST(string_split({x}, chr(1))[3] AS INT)"
+    a, b = f"(3 * ({start} - 1) + abs({frame}))", f"(3 * {end} + abs({frame}) - 1)"
+    return f"CAST(CASE WHEN {frame} > 0 THEN {a} ELSE {size} - {a} + 1 END AS INT) AS {start}, CAST(CASE WHEN {frame} > 0 THEN {b} ELSE {size} - {b} + 1 END AS INT) AS {end}"
+
+
+query(
+    "translated_search",
+    f"""WITH RECURSIVE {_frames("item_frames", "item_seqs")}, {_frames("doc_frames", "doc_seqs")}, {_segments("item_frames", "doc_frames", 6, "protein")}
+    SELECT string_split(queryid, chr(1))[1] AS queryid, string_split(subjectid, chr(1))[1] AS subjectid, {SHOWN}, {_nucleotides("queryid", "qstart", "qend")}, {_nucleotides("subjectid", "sstart", "send")}, round(bits, 6) AS bitscore
+    FROM h WHERE qlen * (SELECT sum(length(seq)) FROM doc_frames) * pow(2.0, -bits) <= 1e-5""",
+)(lambda v: _shown(search.translated_search(1e-5, v("item_seqs"), v("doc_seqs"), "tblastx", k=6, min_seeds=5)))
 
 # Names and tables
 query("filter_names", "SELECT p_name AS value FROM part WHERE contains(lower(p_name), 'bl')")(lambda v: readers.filter_names(v("part").select(F.col("p_name").alias("value")), "BL"))

@@ -281,17 +281,6 @@ def test_search_finds_planted_hits(spark):
     assert 0.25 * math.exp(scale) + 0.75 * math.exp(-3 * scale) == pytest.approx(1)
 
 
-def test_best_segment_equals_brute_force():
-    rng = random.Random(8)
-    for _ in range(50):
-        q, s = ("".join(rng.choice("AC") for _ in range(rng.randint(0, 12))) for _ in range(2))
-        d = rng.randint(-12, 12)
-        cells = [1.0 if q[i] == s[i + d] else -3.0 for i in range(max(0, -d), min(len(q), len(s) - d))]
-        want = max((sum(cells[a:b]) for a in range(len(cells)) for b in range(a, len(cells) + 1)), default=0.0)
-        lo, hi = max(0, -d), min(len(q), len(s) - d)
-        assert search.best_segment(q[lo:hi] if hi > lo else "", s[lo + d : hi + d] if hi > lo else "", search.score_table("dna")[0])[0] == max(0.0, want)
-
-
 def test_hashed_ids_come_back(spark):
     seqs = spark.createDataFrame([("a", "a long header"), ("b", "b")], "seq_id string, header string")
     hashed, idmap = ids.hash_ids(seqs, 10)
