@@ -66,12 +66,14 @@ def range_multiply(spark: SparkSession, start: float, stop: float, factor: float
         raise ValueError("the factor of a multiplied range is greater than zero")
     if factor == 1 or (abs(stop) > abs(start)) != (factor > 1):
         raise ValueError("the factor does not lead from start to stop")
-    values, x = [], float(start)
-    within = (lambda v: abs(v) <= abs(stop)) if factor > 1 else (lambda v: abs(v) >= abs(stop))
-    while within(x):  # a range of doubles has at most about two thousand steps of factor two, the driver's list stays small
-        values.append((len(values), x))
-        x *= factor
-    return spark.createDataFrame(values, "pos long, value double")
+    # How many steps there are, then one more or less where the logarithm was rounded the other way.
+    within = (lambda n: abs(start * factor**n) <= abs(stop)) if factor > 1 else (lambda n: abs(start * factor**n) >= abs(stop))
+    steps = max(0, math.floor(math.log(stop / start) / math.log1p(factor - 1)))
+    while within(steps + 1):
+        steps += 1
+    while steps and not within(steps):
+        steps -= 1
+    return _numbers(spark, steps + 1).select("pos", (F.lit(float(start)) * F.pow(F.lit(float(factor)), F.col("pos").cast("double"))).alias("value"))
 
 
 def _asked(x: float, total: int) -> float:

@@ -143,6 +143,26 @@ def dedup_by_content(df: DataFrame, column: str, order: str) -> DataFrame:
     return first.select(*[F.col(c) if c == "content_hash" else F.col(f"_r.{c}") for c in hashed.columns])
 
 
+def content_of(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """One row for each group with ``content``, equal for groups that hold the same rows equally often, in whatever order.
+
+    The number of rows, and the sums and exclusive ors of two 64-bit hashes of
+    each: they add up in every task before the exchange, so a list of any length
+    costs a row a task. Nulls are values.
+    """
+    cells = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    hashes = [F.xxhash64(cells), F.xxhash64(F.md5(cells), F.lit("again"))]
+    sums = [part for h in hashes for part in (F.sum(h.cast("decimal(38,0)")), F.bit_xor(h))]
+    return rows.groupBy(*by).agg(F.struct(F.count(F.lit(1)), *sums).alias("_c")).select(*by, F.sha2(F.to_json("_c"), 256).alias("content"))
+
+
+def dedup_lists_by_content(items: DataFrame, lists: DataFrame) -> DataFrame:
+    """The first (by ``pos``, then id) of ``lists`` that have the same elements equally often; empty lists are equal."""
+    held = lists.join(content_of(items, ["list_id"], ["value"]), "list_id", "left")
+    first = held.groupBy("content").agg(F.min(F.struct("pos", "list_id", *[c for c in lists.columns if c not in ("pos", "list_id")])).alias("_l"))
+    return first.select(*[F.col(f"_l.{c}") for c in lists.columns])
+
+
 def concat(*tables: DataFrame) -> DataFrame:
     """One table of all rows, repeats included; tables of a list lose their ``list_id``."""
     out = None

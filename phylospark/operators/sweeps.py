@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylospark.operators.sets import all_of
@@ -31,33 +31,80 @@ def replace(function: Callable[[DataFrame], DataFrame], values: DataFrame, varia
     return function(values.where(F.col("variant") == variant))
 
 
+def tightest(value: Column, cutoffs: list[float], at_most: bool = True) -> tuple[Column, list[float]]:
+    """The number of the tightest cutoff that a value passes (that of cutoffs if none; null for null), and the cutoffs, tightest first.
+
+    A lookup in two steps, first among every 32nd of the sorted cutoffs and then
+    between two of these, so a grid of thousands is still a small expression.
+    """
+    order = sorted(set(map(float, cutoffs)), reverse=not at_most)
+    fails = (lambda c: value > c) if at_most else (lambda c: value < c)
+    width = 32
+    coarse = F.size(F.filter(F.lit(order[width - 1 :: width]) if len(order) >= width else F.array().cast("array<double>"), fails))
+    fine = F.size(F.filter(F.slice(F.lit(order), coarse * width + 1, F.lit(width)), fails))
+    return F.when(value.isNotNull(), coarse * width + fine), order
+
+
+def _added_up(grid: DataFrame, counts: DataFrame, names: list[str]) -> DataFrame:
+    """Running sums over ``i`` of one row per cutoff."""
+    upto = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return grid.join(counts, "i", "left").select("cutoff", *[F.sum(F.coalesce(n, F.lit(0))).over(upto).alias(n) for n in names])
+
+
 def sweep_cutoff(hits: DataFrame, column: str, cutoffs: list[float], metric: str = "hits", at_most: bool = True) -> DataFrame:
     """``cutoff, n``: hits, or distinct queries, that pass each cutoff, in one pass.
 
-    A row goes to the tightest cutoff it passes (binary search in the sorted
-    cutoffs), counts per cutoff are added up from the tightest on. For queries
-    the best value of each query is taken first. Rows are never multiplied.
+    A row goes to the tightest cutoff it passes, counts per cutoff are added up
+    from the tightest on. For queries the best value of each query is taken
+    first. Rows are never multiplied.
     """
-    order = sorted(set(map(float, cutoffs)), reverse=not at_most)
-    passes = (lambda c: F.col(column) <= c) if at_most else (lambda c: F.col(column) >= c)
-    rows = hits
-    if metric == "queries":
-        rows = hits.groupBy("queryid").agg((F.min if at_most else F.max)(column).alias(column))
-    elif metric != "hits":
+    if metric not in ("hits", "queries"):
         raise ValueError("metric is 'hits' or 'queries'")
+    rows = hits.groupBy("queryid").agg((F.min if at_most else F.max)(column).alias(column)) if metric == "queries" else hits
+    at, order = tightest(F.col(column), cutoffs, at_most)
+    counts = rows.where(F.col(column).isNotNull()).groupBy(at.alias("i")).agg(F.count(F.lit(1)).alias("n"))
+    return _added_up(hits.sparkSession.createDataFrame(list(enumerate(order)), "i int, cutoff double"), counts, ["n"])
 
-    def tightest(lo: int, hi: int):
-        if hi - lo == 1:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(passes(order[mid - 1]), tightest(lo, mid)).otherwise(tightest(mid, hi))
 
-    bucket = tightest(0, len(order) + 1)
-    counts = rows.where(F.col(column).isNotNull()).groupBy(bucket.alias("i")).agg(F.count(F.lit(1)).alias("n"))
-    grid = hits.sparkSession.createDataFrame(list(enumerate(order)), "i int, cutoff double")
-    # One row per cutoff from here on.
-    upto = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.join(counts, "i", "left").select("cutoff", F.sum(F.coalesce("n", F.lit(0))).over(upto).alias("n"))
+def sweep_both(hits: DataFrame, column: str, cutoffs: list[float], at_most: bool = True) -> DataFrame:
+    """``cutoff, hits, queries``: both of ``sweep_cutoff`` from one scan.
+
+    Counts for each query and cutoff serve both: their sum is the hits, and a
+    query counts where its tightest cutoff is.
+    """
+    at, order = tightest(F.col(column), cutoffs, at_most)
+    cells = hits.select("queryid", at.alias("i")).where("i is not null").groupBy("queryid", "i").agg(F.count(F.lit(1)).alias("n"))
+    each = cells.groupBy("queryid").agg(F.min("i").alias("first"), F.collect_list(F.struct("i", "n")).alias("cells"))
+    rows = each.select("first", F.explode("cells").alias("c")).select("c.i", "c.n", (F.col("c.i") == F.col("first")).cast("long").alias("q"))
+    counts = rows.groupBy("i").agg(F.sum("n").alias("hits"), F.sum("q").alias("queries"))
+    return _added_up(hits.sparkSession.createDataFrame(list(enumerate(order)), "i int, cutoff double"), counts, ["hits", "queries"])
+
+
+def sweep_grid(hits: DataFrame, columns: tuple[str, str], cutoffs: tuple[list[float], list[float]], at_most: tuple[bool, bool] = (True, False)) -> DataFrame:
+    """Two cutoffs at once: ``first_cutoff, second_cutoff, hits, queries`` for every pair of them, in one pass.
+
+    A row is one point of the grid, and hits are sums of points over both axes.
+    The cutoff pairs that a query passes are a staircase: one corner for each of
+    its best points, less one where two neighbouring steps overlap, so queries
+    are sums over both axes too. Neither axis multiplies rows.
+    """
+    a, firsts = tightest(F.col(columns[0]), cutoffs[0], at_most[0])
+    b, seconds = tightest(F.col(columns[1]), cutoffs[1], at_most[1])
+    points = hits.select("queryid", a.alias("i"), b.alias("j")).where((F.col("i") < len(firsts)) & (F.col("j") < len(seconds)))
+    cells = points.groupBy("queryid", "i").agg(F.min("j").alias("j"))
+    # At most one point for each first cutoff: those that a better one does not cover are the corners.
+    steps = cells.groupBy("queryid").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("p"))
+    corner = "aggregate(p, cast(array() as array<struct<i:int,j:int>>), (s, x) -> if(size(s) = 0 or x.j < try_element_at(s, -1).j, array_append(s, x), s))"
+    both = steps.select(F.expr(corner).alias("s")).select(F.explode(F.concat(F.expr("transform(s, x -> struct(x.i as i, x.j as j, 1L as q))"), F.expr("transform(slice(s, 2, size(s)), (x, k) -> struct(x.i as i, s[k].j as j, -1L as q))"))).alias("c"))
+    queries = both.groupBy("c.i", "c.j").agg(F.sum("c.q").alias("queries"))
+    counts = points.groupBy("i", "j").agg(F.count(F.lit(1)).alias("hits"))
+    grid = [(i, j, x, y) for i, x in enumerate(firsts) for j, y in enumerate(seconds)]
+    whole = hits.sparkSession.createDataFrame(grid, "i int, j int, first_cutoff double, second_cutoff double").join(counts, ["i", "j"], "left").join(queries, ["i", "j"], "left")
+    # One row per pair of cutoffs from here on.
+    along = lambda by, to: Window.partitionBy(by).orderBy(to).rowsBetween(Window.unboundedPreceding, 0)
+    for names in ("hits", "queries"):
+        whole = whole.withColumn(names, F.sum(F.coalesce(names, F.lit(0))).over(along("i", "j"))).withColumn(names, F.sum(names).over(along("j", "i")))
+    return whole.select("first_cutoff", "second_cutoff", "hits", "queries")
 
 
 def score_repeats(function: Callable[[DataFrame], DataFrame], values: DataFrame) -> DataFrame:

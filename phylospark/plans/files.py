@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phylospark.plans.queries import _translated as translated
 from phylospark.plans.queries import query
 from phylospark.shared import shared_dir
 from phylospark.sources import genbank, readers, writers
@@ -112,19 +113,20 @@ def write_table(v):
     return table.sparkSession.read.schema("l_orderkey long, l_linenumber int, l_returnflag string").csv(path, sep="\t", header=True)
 
 
-def _genbank(v):
-    """Each benchmark item as a record with one feature, its first 30 bases."""
-    seqs = v("item_seqs").where("length(seq) >= 30")
+def _genbank(v) -> tuple:
+    """Each benchmark item as a record with two features: its first 30 bases backwards, and the 15 first with all that follow these 30."""
+    seqs = v("item_seqs").where("length(seq) >= 33")
     text = F.concat(
         F.lit("LOCUS       "), "seq_id", F.lit(" DNA\nVERSION     "), "seq_id", F.lit("\nFEATURES             Location/Qualifiers\n     CDS             complement(1..30)\n"),
-        F.lit('                     /locus_tag="'), "seq_id", F.lit('"\nORIGIN\n        1 '), F.lower("seq"), F.lit("\n//"),
+        F.lit('                     /locus_tag="'), "seq_id", F.lit('"\n     CDS             join(1..15,31..'), F.length("seq").cast("string"), F.lit(')\n                     /gene="'), "seq_id",
+        F.lit('"\n                     /product="long one"\nORIGIN\n        1 '), F.lower("seq"), F.lit("\n//"),
     )
-    return readers.read_genbank(seqs.sparkSession, _lines(seqs, text))
+    return seqs.sparkSession, _lines(seqs, text)
 
 
-FEATURE = "translate(reverse(substr(seq, 1, 30)), 'ACGT', 'TGCA')"
-query("read_genbank", "SELECT seq_id AS record_id, seq FROM item_seqs WHERE length(seq) >= 30")(lambda v: _genbank(v)[1].select("record_id", "seq"))
-query("gbk_to_fna", f"SELECT seq_id, concat(seq_id, ' | ', seq_id, ' | missing_product_qualifer | 0:30 Reverse') AS header, {FEATURE} AS seq FROM item_seqs WHERE length(seq) >= 30")(
-    lambda v: genbank.gbk_to_fna("cds", *_genbank(v))
-)
-query("gbk_to_faa", None)(lambda v: genbank.gbk_to_faa("cds", *_genbank(v)))
+NAMED = "seq_id, concat(seq_id, ' | ', seq_id, ' | missing_product_qualifer | 0:30 Reverse') AS header, translate(reverse(substr(seq, 1, 30)), 'ACGT', 'TGCA') AS seq"
+LONG = "seq_id, concat(seq_id, ' | ', seq_id, ' | long one | 0:', length(seq), ' Forward') AS header, concat(substr(seq, 1, 15), substr(seq, 31)) AS seq"
+FEATURES = f"(SELECT {NAMED} FROM item_seqs WHERE length(seq) >= 33 UNION ALL SELECT {LONG} FROM item_seqs WHERE length(seq) >= 33)"
+query("read_genbank", "SELECT seq_id AS record_id, seq FROM item_seqs WHERE length(seq) >= 33")(lambda v: readers.read_genbank(*_genbank(v))[1].select("record_id", "seq"))
+query("gbk_to_fna", f"SELECT * FROM {FEATURES}")(lambda v: genbank.parsed_to_fasta(readers.parse_genbank(*_genbank(v)), "cds", False))
+query("gbk_to_faa", f"SELECT seq_id, header, regexp_replace({translated('seq')}, '\\*$', '') AS seq FROM {FEATURES}")(lambda v: genbank.parsed_to_fasta(readers.parse_genbank(*_genbank(v)), "cds", True))

@@ -111,6 +111,15 @@ query("sample", f"SELECT * FROM items {SAMPLE.format(by='list_id', salt=7)}")(la
 query("dedup_by_content", "SELECT md5(text) AS content_hash, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1")(
     lambda v: sets.dedup_by_content(v("documents").where("text is not null").select("doc_id", "text"), "text", "doc_id").select("content_hash", "doc_id")
 )
+FLAGS = "SELECT l_orderkey AS list_id, l_orderkey AS pos, concat(l_returnflag, l_linestatus, l_linenumber) AS value FROM lineitem"
+query("dedup_lists_by_content", f"WITH n AS ({FLAGS}), c AS (SELECT list_id, list_sort(list(value)) AS held FROM n GROUP BY list_id) SELECT min(list_id) AS list_id, min(list_id) AS pos FROM c GROUP BY held")(
+    lambda v: sets.dedup_lists_by_content(_flags(v), v("lineitem").select(F.col("l_orderkey").alias("list_id"), F.col("l_orderkey").alias("pos")).distinct())
+)
+
+
+def _flags(v):
+    """Orders as lists of what became of their lines: many orders agree."""
+    return v("lineitem").select(F.col("l_orderkey").alias("list_id"), F.col("l_orderkey").alias("pos"), F.concat("l_returnflag", "l_linestatus", "l_linenumber").alias("value"))
 
 
 def _single_lines(v):
@@ -156,6 +165,11 @@ GRID = "(VALUES " + ", ".join(f"({c}::DOUBLE)" for c in CUTOFFS) + ") c(cutoff)"
 query("sweep_cutoff", f"SELECT cutoff, count(evalue) AS n FROM {GRID} LEFT JOIN hits_fwd ON evalue <= cutoff GROUP BY cutoff")(lambda v: sweeps.sweep_cutoff(v("hits_fwd"), "evalue", CUTOFFS))
 query("sweep_cutoff_queries", f"SELECT cutoff, count(DISTINCT queryid) AS n FROM {GRID} LEFT JOIN hits_fwd ON evalue <= cutoff GROUP BY cutoff")(lambda v: sweeps.sweep_cutoff(v("hits_fwd"), "evalue", CUTOFFS, "queries"))
 query("w3_cutoff_stability", f"SELECT cutoff, count(evalue) AS hits, count(DISTINCT queryid) AS queries FROM {GRID} LEFT JOIN hits_fwd ON evalue <= cutoff GROUP BY cutoff")(lambda v: workloads.cutoff_stability(v("hits_fwd"), CUTOFFS))
+query(
+    "sweep_grid",
+    """WITH e AS (SELECT unnest([0.0, 0.0005, 0.001, 0.002, 0.005, 0.01, 0.05]::DOUBLE[]) AS x), b AS (SELECT unnest([0, 10000, 20000, 40000, 60000, 80000]::DOUBLE[]) AS y)
+    SELECT x AS first_cutoff, y AS second_cutoff, count(queryid) AS hits, count(DISTINCT queryid) AS queries FROM e CROSS JOIN b LEFT JOIN hits_fwd ON evalue <= x AND bitscore >= y GROUP BY x, y""",
+)(lambda v: sweeps.sweep_grid(v("hits_fwd"), ("evalue", "bitscore"), (CUTOFFS, [0, 10000, 20000, 40000, 60000, 80000])))
 
 
 def _brand_values(v):
@@ -405,6 +419,9 @@ for _name, (_make, _sql) in RANGES.items():
 query("map_each", "SELECT l_suppkey % 100 AS list_id, count(*) AS n, max(l_partkey) AS most FROM lineitem GROUP BY 1")(
     lambda v: mapping.map_each(v("lineitem").select((F.col("l_suppkey") % 100).alias("list_id"), "l_partkey"), ["list_id"], _summary, "list_id long, n long, most long")
 )
+query("map_each_in_parts", "SELECT l_returnflag, count(*) AS n, max(l_partkey) AS most, count(DISTINCT l_linenumber) AS lines FROM lineitem GROUP BY 1")(
+    lambda v: mapping.map_each_in_parts(v("lineitem").select("l_returnflag", "l_partkey", "l_linenumber"), ["l_returnflag"], _some_lines, _merged_lines, _all_lines, "n long, most long, seen array<long>", "n long, most long, lines long")
+)
 query("compose", "SELECT DISTINCT list_id, queryid FROM hits_fwd WHERE evalue <= 0.001")(lambda v: mapping.compose(lambda d: hits.filter_evalue(d, 0.001), hits.extract_queries)(v("hits_fwd")))
 
 
@@ -412,3 +429,21 @@ def _summary(pdf):
     import pandas as pd
 
     return pd.DataFrame({"list_id": [pdf["list_id"].iloc[0]], "n": [len(pdf)], "most": [pdf["l_partkey"].max()]})
+
+
+def _some_lines(pdf):
+    import pandas as pd
+
+    return pd.DataFrame({"n": [len(pdf)], "most": [pdf["l_partkey"].max()], "seen": [sorted(set(pdf["l_linenumber"]))]})
+
+
+def _merged_lines(pdf):
+    import pandas as pd
+
+    return pd.DataFrame({"n": [pdf["n"].sum()], "most": [pdf["most"].max()], "seen": [sorted({x for s in pdf["seen"] for x in s})]})
+
+
+def _all_lines(pdf):
+    import pandas as pd
+
+    return pd.DataFrame({"n": pdf["n"], "most": pdf["most"], "lines": [len(s) for s in pdf["seen"]]})

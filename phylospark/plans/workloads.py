@@ -28,7 +28,5 @@ def spanning_families(rb_hits: DataFrame, more_hits: DataFrame, proteomes: DataF
 
 
 def cutoff_stability(forward: DataFrame, cutoffs: list[float]) -> DataFrame:
-    """W3: hits and distinct queries at each cutoff."""
-    a = sweeps.sweep_cutoff(forward, "evalue", cutoffs).withColumnRenamed("n", "hits")
-    b = sweeps.sweep_cutoff(forward, "evalue", cutoffs, "queries").withColumnRenamed("n", "queries")
-    return a.join(b, "cutoff")
+    """W3: hits and distinct queries at each cutoff, from one scan."""
+    return sweeps.sweep_both(forward, "evalue", cutoffs)

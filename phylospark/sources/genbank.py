@@ -73,9 +73,36 @@ def parse_records(batches):
         yield pd.DataFrame({"record": [r for r, _ in found], "features": [f for _, f in found]})
 
 
-def _first(*names: str) -> Column:
+def _first(qualifiers: Column, *names: str) -> Column:
     """The first value of the first of these qualifiers that is there."""
-    return F.coalesce(*[F.get(F.element_at("qualifiers", n), F.lit(0)) for n in names], F.lit(f"missing_{names[0]}_qualifer"))
+    return F.coalesce(*[F.get(F.try_element_at(qualifiers, F.lit(n)), F.lit(0)) for n in names], F.lit(f"missing_{names[0]}_qualifer"))
+
+
+def _cut_out(f: Column, whole: Column) -> Column:
+    """A feature as ``seq_id, header, dna, aa``."""
+    piece = lambda p: F.substring(whole, p["start"] + 1, p["end"] - p["start"])
+    dna = F.array_join(F.transform(f["parts"], lambda p: F.when(p["strand"] < 0, reverse_complement(piece(p))).otherwise(piece(p))), "")
+    place = F.concat(f["start"], F.lit(":"), f["end"], F.when(f["strand"] < 0, F.lit(" Reverse")).otherwise(F.lit(" Forward")))
+    tag = _first(f["qualifiers"], "locus_tag", "gene", "db_xref")
+    header = F.concat_ws(" | ", tag, _first(f["qualifiers"], "gene", "locus_tag", "db_xref"), _first(f["qualifiers"], "product"), place)
+    return F.struct(tag.alias("seq_id"), header.alias("header"), dna.alias("dna"), F.get(F.try_element_at(f["qualifiers"], F.lit("translation")), F.lit(0)).alias("aa"))
+
+
+def _as_fasta(cut_out: DataFrame, protein: bool) -> DataFrame:
+    seq = F.coalesce("c.aa", F.regexp_replace(translate("c.dna"), r"\*$", "")) if protein else F.col("c.dna")
+    return cut_out.select("c.seq_id", "c.header", seq.alias("seq"))
+
+
+def _type(feature_type: str) -> str:
+    return "CDS" if feature_type == "cds" else feature_type
+
+
+def parsed_to_fasta(parsed: DataFrame, feature_type: str, protein: bool) -> DataFrame:
+    """As ``features_to_fasta``, from records as they were parsed (``record, features``): features are cut inside their record, which goes nowhere."""
+    if feature_type == "whole":
+        return features_to_fasta(None, parsed.select("record.*"), feature_type, protein)
+    chosen = F.filter("features", lambda f: f["type"] == _type(feature_type))
+    return _as_fasta(parsed.select(F.explode(F.transform(chosen, lambda f: _cut_out(f, F.col("record.seq")))).alias("c")), protein)
 
 
 def features_to_fasta(features: DataFrame, records: DataFrame, feature_type: str, protein: bool) -> DataFrame:
@@ -83,19 +110,14 @@ def features_to_fasta(features: DataFrame, records: DataFrame, feature_type: str
 
     ``cds`` means ``CDS``; ``whole`` gives the records themselves. A protein is
     the feature's own translation or else that of its extracted nucleotides.
+    A record meets the array of its features, not each of them.
     """
     if feature_type == "whole":
         notes = F.array_join(F.transform(F.array_sort(F.map_entries("annotations")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ";"))), " | ")
         return records.select(F.col("record_id").alias("seq_id"), F.concat_ws(" | ", "record_id", notes).alias("header"), (translate("seq") if protein else F.col("seq")).alias("seq"))
-    chosen = features.where(F.col("type") == ("CDS" if feature_type == "cds" else feature_type)).join(records.select("record_id", F.col("seq").alias("_whole")), "record_id")
-    piece = lambda p: F.substring(F.col("_whole"), p["start"] + 1, p["end"] - p["start"])
-    dna = F.array_join(F.transform("parts", lambda p: F.when(p["strand"] < 0, reverse_complement(piece(p))).otherwise(piece(p))), "")
-    place = F.concat(F.col("start"), F.lit(":"), F.col("end"), F.when(F.col("strand") < 0, F.lit(" Reverse")).otherwise(F.lit(" Forward")))
-    tag = _first("locus_tag", "gene", "db_xref")
-    header = F.concat_ws(" | ", tag, _first("gene", "locus_tag", "db_xref"), _first("product"), place)
-    made = chosen.select(tag.alias("seq_id"), header.alias("header"), dna.alias("_dna"), F.get(F.element_at("qualifiers", "translation"), F.lit(0)).alias("_aa"))
-    seq = F.coalesce("_aa", F.regexp_replace(translate("_dna"), r"\*$", "")) if protein else F.col("_dna")
-    return made.select("seq_id", "header", seq.alias("seq"))
+    chosen = features.where(F.col("type") == _type(feature_type)).groupBy("record_id").agg(F.collect_list(F.struct("parts", "start", "end", "strand", "qualifiers")).alias("_f"))
+    joined = records.select("record_id", "seq").join(chosen, "record_id")
+    return _as_fasta(joined.select(F.explode(F.transform("_f", lambda f: _cut_out(f, F.col("seq")))).alias("c")), protein)
 
 
 def gbk_to_faa(feature_type: str, features: DataFrame, records: DataFrame) -> DataFrame:

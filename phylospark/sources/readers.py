@@ -59,10 +59,15 @@ def extract_hmm_targets(hits: DataFrame) -> DataFrame:
     return hits.select("target").distinct()
 
 
-def read_genbank(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
-    """Features and records. Files split at the line ``//``; each task parses whole records one by one."""
+def parse_genbank(spark: SparkSession, paths) -> DataFrame:
+    """``record, features``: one row per record with the array of its features. Files split at the line ``//``; each task parses whole records one by one."""
     raw = spark.read.option("lineSep", "\n//").text(paths).select("value").where(F.trim("value") != "")
-    parsed = raw.mapInPandas(parse_records, f"record struct<{RECORDS}>, features array<struct<{FEATURES}>>")
+    return raw.mapInPandas(parse_records, f"record struct<{RECORDS}>, features array<struct<{FEATURES}>>")
+
+
+def read_genbank(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
+    """Features and records, as tables of their own."""
+    parsed = parse_genbank(spark, paths)
     return parsed.select(F.explode("features").alias("f")).select("f.*"), parsed.select("record.*")
 
 

@@ -401,3 +401,63 @@ def test_set_goldens(spark):
     c = spark.createDataFrame([("c", 0, "z"), ("c", 1, "w"), ("c", 2, "w")], "list_id string, pos long, value string")
     regions = {r["lists"]: r["n"] for r in sets.set_regions(a.unionByName(b).unionByName(c)).collect()}
     assert regions == {"a": 1, "b": 1, "a,b": 1, "a,c": 1, "a,b,c": 1}
+
+
+def test_grid_sweep_equals_filtering(spark):
+    """Over more cutoffs than one step of the lookup holds, with ties, nulls and cutoffs that nothing passes."""
+    rng = random.Random(7)
+    rows = [(f"q{rng.randrange(30)}", rng.choice([None, *[i / 4 for i in range(60)]]), rng.choice([None, *range(0, 400, 5)])) for _ in range(500)]
+    table = spark.createDataFrame([(q, e, None if b is None else float(b)) for q, e, b in rows], "queryid string, evalue double, bitscore double")
+    first, second = [i / 5 - 1 for i in range(70)], [0.0, 50.0, 50.5, 200.0, 395.0, 1000.0]
+    found = {(r["first_cutoff"], r["second_cutoff"]): (r["hits"], r["queries"]) for r in sweeps.sweep_grid(table, ("evalue", "bitscore"), (first, second)).collect()}
+    kept = {(x, y): [q for q, e, b in rows if e is not None and b is not None and e <= x and b >= y] for x in first for y in second}
+    assert found == {k: (len(v), len(set(v))) for k, v in kept.items()}
+    both = {r["cutoff"]: (r["hits"], r["queries"]) for r in sweeps.sweep_both(table, "evalue", first).collect()}
+    assert both == {x: (len(v), len(set(v))) for x in first for v in [[q for q, e, _ in rows if e is not None and e <= x]]}
+    assert {r["cutoff"]: r["n"] for r in sweeps.sweep_cutoff(table, "bitscore", second, "queries", False).collect()} == {y: len({q for q, _, b in rows if b is not None and b >= y}) for y in second}
+
+
+def test_long_multiplied_ranges(spark):
+    steps = numbers.range_multiply(spark, 1, 10, 1.00001)
+    assert steps.count() == 230_260 and abs(steps.agg(F.max("value")).first()[0] - 10) < 1e-4
+    assert 693_147_000 < numbers.range_multiply(spark, 1, 2, 1 + 1e-9).count() < 693_147_300
+    assert [r["value"] for r in numbers.range_multiply(spark, 1000, 1, 0.1).orderBy("pos").collect()] == pytest.approx([1000, 100, 10, 1])
+    assert [r["value"] for r in numbers.range_multiply(spark, -1, -9, 3).orderBy("pos").collect()] == [-1, -3, -9]
+
+
+def test_lists_of_equal_content(spark):
+    made = {"a": "xyz", "b": "zyx", "c": "xxyz", "d": "xyzz", "e": [None, "x"], "f": ["x", None], "g": "x", "h": [], "i": []}
+    rows = [(n, i, v) for n, vs in made.items() for i, v in enumerate(vs)]
+    lists = spark.createDataFrame([(n, i) for i, n in enumerate(made)], "list_id string, pos long")
+    kept = sets.dedup_lists_by_content(spark.createDataFrame(rows, "list_id string, pos long, value string"), lists)
+    assert values(kept, "list_id") == ["a", "c", "d", "e", "g", "h"]
+
+
+def test_features_are_cut_inside_their_record(spark, tmp_path):
+    from phylospark.sources.genbank import gbk_to_faa, gbk_to_fna, parsed_to_fasta
+
+    body = "LOCUS       {n} DNA\nVERSION     {n}\nFEATURES             Location/Qualifiers\n     CDS             complement(1..9)\n                     /gene=\"{n}a\"\n     CDS             join(1..3,7..12)\n                     /gene=\"{n}b\"\nORIGIN\n        1 atgaaacccg ggttt\n//\n"
+    (tmp_path / "a.gbk").write_text("".join(body.format(n=f"R{i}") for i in range(20)))
+    parsed = readers.parse_genbank(spark, str(tmp_path / "a.gbk"))
+    features, records = readers.read_genbank(spark, str(tmp_path / "a.gbk"))
+    for protein, pair in ((True, gbk_to_faa), (False, gbk_to_fna)):
+        for kind in ("cds", "whole"):
+            got = parsed_to_fasta(parsed, kind, protein)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pair(kind, features, records).collect())) and got.count() == (40 if kind == "cds" else 20)
+        plan = parsed_to_fasta(parsed, "cds", protein)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInPandas") == 1 and "Join" not in plan and "Exchange" not in plan
+
+
+def test_map_each_in_parts(spark):
+    """One list with most rows: every call sees a bounded number of them."""
+    import pandas as pd
+
+    from phylospark.operators import mapping
+
+    rows = spark.range(0, 50_000, 1, 8).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("l"), F.col("id") % 7)).when(F.col("id") % 10 < 9, "big").alias("k"), "id")
+    some = lambda p: pd.DataFrame({"n": [len(p)], "s": [p["id"].sum()], "widest": [len(p)]})
+    merge = lambda p: pd.DataFrame({"n": [p["n"].sum()], "s": [p["s"].sum()], "widest": [max(p["widest"].max(), len(p))]})
+    made = mapping.map_each_in_parts(rows, ["k"], some, merge, lambda p: p, "n long, s long, widest long", "n long, s long, widest long")
+    got = {r["k"]: (r["n"], r["s"]) for r in made.collect()}
+    assert got == {r["k"]: (r["n"], r["s"]) for r in rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("s")).collect()} and None in got
+    assert made.agg(F.max("widest")).first()[0] <= 10_000
