@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phylospark.shared import cut
+
 #: Hexadecimal digits of a hashed id.
 DIGITS = 32
 
@@ -45,17 +47,48 @@ def unhash_text(df: DataFrame, idmap: DataFrame, column: str, key: str, long: bo
     return joined.withColumn(column, F.when(F.col(column).isNotNull(), F.array_join(F.transform("_p", lambda p: p["t"]), ""))).select(*df.columns)
 
 
-def _starts(longer: DataFrame, column: str, prefixes: DataFrame) -> DataFrame:
-    """Pairs in which ``column`` begins with ``prefix``.
+#: Prefixes of up to so many lengths give each row a start for each; beyond it rows go by the order of strings.
+MOST_LENGTHS = 8
+#: Prefixes whose chains are broadcast at most.
+BROADCAST_CHAINS = 100_000
+
+
+def _by_length(longer: DataFrame, column: str, prefixes: DataFrame, lengths: list[int]) -> DataFrame:
+    starts = F.array_distinct(F.array(*[F.when(F.length(column) >= n, F.substring(F.col(column), 1, n)) for n in lengths]))
+    return longer.withColumn("prefix", F.explode(starts)).join(prefixes, "prefix")
+
 
-    Prefixes have few lengths, so each row gets a start for every length that
-    occurs and rows meet on whole prefixes, by an equality join.
+def _by_order(values: DataFrame, prefixes: DataFrame, lengths: list[int]) -> DataFrame:
+    """``_v, prefix``: which distinct strings begin with which prefixes, through the order of strings.
+
+    The last prefix that is not greater than a string is a prefix of it, or
+    else every prefix of it is one of that one too. So each string meets one
+    chain of nested prefixes, whatever the number of their lengths, and only
+    what it really begins with makes rows. Strings are dealt by ranges; the last
+    prefix before a range is carried on, one row for each range.
     """
-    lengths = [r["n"] for r in prefixes.select(F.length("prefix").alias("n")).distinct().collect() if r["n"] is not None]
+    marks = prefixes.select("prefix").where("prefix is not null").distinct()
+    chains = _by_length(marks.select(F.col("prefix").alias("_p")), "_p", marks, lengths).groupBy("_p").agg(F.collect_list("prefix").alias("chain"))
+    both = values.select(F.col("_v").alias("s"), F.lit(1).alias("kind")).unionByName(marks.select(F.col("prefix").alias("s"), F.lit(0).alias("kind")))
+    dealt = cut(both.repartitionByRange("s", "kind").withColumn("_part", F.spark_partition_id()))
+    mark = F.when(F.col("kind") == 0, F.col("s"))
+    before = dealt.groupBy("_part").agg(F.max(mark).alias("m")).select("_part", F.max("m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    upto = Window.partitionBy("_part").orderBy("s", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = dealt.withColumn("_m", F.max(mark).over(upto)).where("kind = 1").join(F.broadcast(before), "_part").select(F.col("s").alias("_v"), F.coalesce("_m", "_before").alias("_p"))
+    chains = cut(chains)
+    met = last.join(F.broadcast(chains) if chains.count() <= BROADCAST_CHAINS else chains, "_p")
+    return met.select("_v", F.explode(F.filter("chain", lambda c: F.startswith("_v", c))).alias("prefix"))
+
+
+def _starts(longer: DataFrame, column: str, prefixes: DataFrame) -> DataFrame:
+    """Pairs in which ``column`` begins with ``prefix``, by equality joins."""
+    lengths = sorted(r["n"] for r in prefixes.select(F.length("prefix").alias("n")).distinct().collect() if r["n"] is not None)
     if not lengths:
         return longer.join(prefixes.limit(0), F.col(column) == F.col("prefix"))
-    starts = F.array_distinct(F.array(*[F.when(F.length(column) >= n, F.substring(F.col(column), 1, n)) for n in sorted(lengths)]))
-    return longer.withColumn("prefix", F.explode(starts)).join(prefixes, "prefix")
+    if len(lengths) <= MOST_LENGTHS:
+        return _by_length(longer, column, prefixes, lengths)
+    pairs = _by_order(longer.select(F.col(column).alias("_v")).where("_v is not null").distinct(), prefixes, lengths)
+    return longer.join(pairs, F.col(column) == F.col("_v")).drop("_v").join(prefixes, "prefix")
 
 
 def lookup_ids(idmap: DataFrame, partial: DataFrame) -> DataFrame:

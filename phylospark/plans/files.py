@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylospark.plans.queries import _translated as translated
 from phylospark.plans.queries import query
-from phylospark.shared import shared_dir
+from phylospark.shared import new_path
 from phylospark.sources import genbank, readers, writers
 
 
 def _new(df: DataFrame) -> str:
-    return f"{shared_dir(df.sparkSession)}/files-{uuid.uuid4().hex}"
+    return new_path(df.sparkSession, "files")
 
 
 def _lines(df: DataFrame, line) -> str:

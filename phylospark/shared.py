@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +37,22 @@ def require(df: DataFrame, condition: Column, message: Column) -> DataFrame:
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that ``clear`` removes."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove every table that this application has cut so far; call it when no result that reads them is needed any more."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(made)
+
+
 def cut(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -44,7 +61,7 @@ def cut(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     that a Python worker gets at once while this table is made.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = new_path(spark, "cut")
     before = spark.conf.get(BATCH)
     if batch_rows:
         spark.conf.set(BATCH, str(batch_rows))

@@ -461,3 +461,28 @@ def test_map_each_in_parts(spark):
     got = {r["k"]: (r["n"], r["s"]) for r in made.collect()}
     assert got == {r["k"]: (r["n"], r["s"]) for r in rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("s")).collect()} and None in got
     assert made.agg(F.max("widest")).first()[0] <= 10_000
+
+
+def test_prefixes_of_a_thousand_lengths(spark):
+    """Nested prefixes of every length among unrelated ones: the same pairs as a plain search, rows not multiplied by lengths."""
+    rng = random.Random(10)
+    stem = "".join(rng.choice("ab") for _ in range(1200))
+    asked = [stem[:n] for n in range(3, 1003)] + ["", "x", "xyz", "ab" * 30, "zz", "é", "éa"]
+    rows = [stem[: rng.randrange(1200)] + rng.choice(["", "c", "zz"]) for _ in range(60)] + ["x", "xy", "xyzw", "zz", "", "w", "ab" * 40, "éab", "~", None]
+    seqs = spark.createDataFrame([(r,) for r in rows], "seq_id string").repartition(5)
+    table = spark.createDataFrame([(a,) for a in [*asked, None]], "value string")
+    wanted = sorted(r for r in rows if r is not None and any(r.startswith(a) for a in asked))
+    assert values(ids.extract_seqs(seqs, table), "seq_id") == wanted
+    idmap = seqs.where("seq_id is not null").select(F.md5("seq_id").alias("hash"), F.col("seq_id").alias("header"))
+    found = sorted({(r["value"], r["header"]) for r in ids.lookup_ids(idmap, table).collect() if r["header"] is not None})
+    assert found == sorted({(a, r) for a in asked for r in rows if r is not None and r.startswith(a)})
+
+
+def test_cut_tables_can_be_removed(spark):
+    import os
+
+    from phylospark import shared
+
+    path = shared.cut(spark.range(5)).inputFiles()[0].removeprefix("file:").replace("//", "")
+    assert os.path.exists(path)
+    assert shared.clear(spark) > 0 and not os.path.exists(path)
