@@ -45,6 +45,11 @@ def reverse_complement(seq: Column) -> Column:
 TILE, PIECE = 1 << 16, 64
 
 
+def spread(tiled: DataFrame) -> DataFrame:
+    """Tiles dealt evenly, so that what is made of one long sequence is made by many tasks."""
+    return tiled.repartition(int(tiled.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq_id", "offset")
+
+
 def tiles(seqs: DataFrame, overlap: int, size: int = TILE) -> DataFrame:
     """Sequences as rows of bounded length: ``offset`` (from 0) and ``seq``, ``size`` letters and ``overlap`` more that begin the next tile.
 
@@ -66,7 +71,7 @@ def six_frame_tiles(seqs: DataFrame, size: int = TILE) -> DataFrame:
     ``six_frames`` gives; empty tiles are left out.
     """
     step = max(1, size // 3) * 3
-    made = tiles(seqs.withColumn("_len", F.length("seq")), 2, step)
+    made = spread(tiles(seqs.withColumn("_len", F.length("seq")), 2, step))
     frames = [F.struct(F.lit(f).alias("frame"), F.floor(F.col("offset") / 3).alias("offset"), F.substring(F.col("seq"), F.lit(f), F.lit(step)).alias("s")) for f in (1, 2, 3)]
     for f in (1, 2, 3):
         # Read backwards, a frame's codons end f - 1 letters before the end, so forwards they begin at what is left of that by threes.
@@ -81,7 +86,7 @@ def six_frame_tiles(seqs: DataFrame, size: int = TILE) -> DataFrame:
 def translated_tiles(seqs: DataFrame, size: int = TILE) -> DataFrame:
     """First-frame translation of long sequences as rows of bounded length: ``offset`` (from 0, in amino acids) and ``seq``."""
     step = max(1, size // 3) * 3
-    made = tiles(seqs, 0, step)
+    made = spread(tiles(seqs, 0, step))
     return made.withColumns({"offset": F.floor(F.col("offset") / 3), "seq": translate("seq")}).where("seq <> ''")
 
 

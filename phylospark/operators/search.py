@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phylospark.functions.sequences import kmers, six_frames, tiles
+from phylospark.functions.sequences import kmers, six_frames, spread, tiles
 from phylospark.operators.hits import reciprocal_best
 from phylospark.shared import cut
 
@@ -110,9 +110,10 @@ def kmer_index(seqs: DataFrame, k: int, max_df: int | None = None, keep: list[st
 
     ``letters`` leaves out k-mers that hold others. ``max_df`` is a sensitivity
     setting, as in other seed searches; None keeps all. Sequences are read tile
-    by tile, so one of any length makes no long array.
+    by tile, so one of any length makes no long array, and tiles are dealt over
+    all tasks: they are a fraction of what their k-mers are.
     """
-    tiled = tiles(seqs.select("seq_id", *keep, "seq"), k - 1)
+    tiled = spread(tiles(seqs.select("seq_id", *keep, "seq"), k - 1))
     index = tiled.select("seq_id", *keep, "offset", F.posexplode(kmers(F.col("seq"), k)).alias("_i", "kmer")).select("seq_id", *keep, "kmer", (F.col("offset") + F.col("_i")).alias("kpos"))
     if letters:
         index = index.where(F.translate("kmer", letters, "") == "")

@@ -157,5 +157,6 @@ def test_lasting_index(spark):
     assert sorted(map(tuple, search.search_index(1e-6, q, s, index, 11).collect())) == sorted(map(tuple, search.search(1e-6, q, s, k=11).collect()))
     seeds = search.kmer_index(q, 11).select(F.col("seq_id").alias("queryid"), "kmer", F.col("kpos").alias("qpos"))
     plan = search.indexed_seeds(seeds, spark.table("lasting_seeds"))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan, plan
+    subjects = plan[plan.rindex("Sort [") :]
+    assert "SortMergeJoin" in plan and "Bucketed: true" in subjects and "Exchange" not in subjects, plan
     spark.sql("DROP TABLE lasting_seeds")
