@@ -1,6 +1,7 @@
 """Search: extension with a drop-off, real letters, common k-mers, tiles, lasting index."""
 
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,11 +153,11 @@ def test_lasting_index(spark):
     genes = [dna(rng, 200) for _ in range(12)]
     q = spark.createDataFrame([(f"q{i}", g) for i, g in enumerate(genes)], SEQS)
     s = spark.createDataFrame([(f"s{i}", dna(rng, 50) + g[:90] + dna(rng, 3) + g[90:] + "ACACACACACACACACACACACAC") for i, g in enumerate(genes)], SEQS)
-    spark.sql("DROP TABLE IF EXISTS lasting_seeds")
-    index = search.build_index(s, "lasting_seeds", 11, buckets=8)
+    name = f"lasting_seeds_{uuid.uuid4().hex}"
+    index = search.build_index(s, name, 11, buckets=8)
     assert sorted(map(tuple, search.search_index(1e-6, q, s, index, 11).collect())) == sorted(map(tuple, search.search(1e-6, q, s, k=11).collect()))
     seeds = search.kmer_index(q, 11).select(F.col("seq_id").alias("queryid"), "kmer", F.col("kpos").alias("qpos"))
-    plan = search.indexed_seeds(seeds, spark.table("lasting_seeds"))._jdf.queryExecution().executedPlan().toString()
+    plan = search.indexed_seeds(seeds, spark.table(name))._jdf.queryExecution().executedPlan().toString()
     subjects = plan[plan.rindex("Sort [") :]
     assert "SortMergeJoin" in plan and "Bucketed: true" in subjects and "Exchange" not in subjects, plan
-    spark.sql("DROP TABLE lasting_seeds")
+    spark.sql(f"DROP TABLE {name}")
