@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from phylospark.operators.sets import all_of
 
 
+#: Cutoffs that are searched in compiled code.
+MOST_BRANCHES = 64
+
+
 def replace_each(function: Callable, values: DataFrame | list) -> DataFrame:
     """``function`` for each alternative value, in one plan.
 
@@ -34,11 +38,21 @@ def replace(function: Callable[[DataFrame], DataFrame], values: DataFrame, varia
 def tightest(value: Column, cutoffs: list[float], at_most: bool = True) -> tuple[Column, list[float]]:
     """The number of the tightest cutoff that a value passes (that of cutoffs if none; null for null), and the cutoffs, tightest first.
 
-    A lookup in two steps, first among every 32nd of the sorted cutoffs and then
-    between two of these, so a grid of thousands is still a small expression.
+    Up to ``MOST_BRANCHES`` cutoffs are a binary search in compiled code. More of
+    them are looked up in two steps, among every 32nd of the sorted cutoffs and
+    then between two of these, as one expression of thousands can't be compiled.
     """
     order = sorted(set(map(float, cutoffs)), reverse=not at_most)
     fails = (lambda c: value > c) if at_most else (lambda c: value < c)
+
+    def searched(lo: int, hi: int) -> Column:
+        if hi == lo:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(fails(order[mid]), searched(mid + 1, hi)).otherwise(searched(lo, mid))
+
+    if len(order) <= MOST_BRANCHES:
+        return F.when(value.isNotNull(), searched(0, len(order))), order
     width = 32
     coarse = F.size(F.filter(F.lit(order[width - 1 :: width]) if len(order) >= width else F.array().cast("array<double>"), fails))
     fine = F.size(F.filter(F.slice(F.lit(order), coarse * width + 1, F.lit(width)), fails))
