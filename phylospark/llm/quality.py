@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phylospark.llm.sampling import least_hashes
 from phylospark.shared import cut
 
 #: Bound of the training sample: labelled documents, and characters of all of them (fewer documents beyond it, each whole).
@@ -137,21 +136,31 @@ class AttentionModel:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held: int = 2, sample_docs: int = SAMPLE_DOCS) -> AttentionModel:
     """Train on about ``sample_docs`` labels, at most twice as many, of least hash whose crc32(id) mod ``folds`` is not ``held``.
 
-    Each is read whole; if they have more than ``SAMPLE_CHARS`` characters in
-    all, those of greatest hash are left out. Without labels the model stays as
-    it began. An id with both labels counts as 0.
+    Each is read whole. A text that would bring their characters beyond
+    ``SAMPLE_CHARS`` is left out, and those of greater hash are tried; labelled
+    texts none of which fits are an error. Without labels of given documents the
+    model stays as it began. An id with both labels counts as 0, one with
+    several texts as the text of least hash, so repeated rows change nothing.
     """
     key = F.col("_id").cast("string")
     usable = F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (F.crc32(key) % folds != held)
-    drawn = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(usable)
-    drawn = least_hashes(drawn, "_id", sample_docs, drawn.count()).groupBy("_id").agg(F.min("_y").alias("_y"))
+    labelled = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(usable)
+    share = min(1.0, 1.25 * sample_docs / max(1, labelled.agg(F.approx_count_distinct("_id", 0.01)).first()[0]))
+    drawn = labelled.where(F.shiftrightunsigned(F.xxhash64("_id", F.lit("sample")), 2) <= int(share * 2**62))
+    drawn = drawn.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id", F.lit("sample")), "_id").limit(2 * sample_docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # The sample has at most 2 * ``sample_docs`` rows, so its broadcast is bounded.
     joined = docs.select(F.col(id_col).alias("_key"), text.alias("text")).join(F.broadcast(drawn), F.col("_key") == F.col("_id"))
-    sample = cut(joined.select(F.xxhash64(key).alias("h"), "_id", "_y", "text").limit(4 * sample_docs))
-    sizes = sorted((r["h"], r["n"]) for r in sample.select("h", F.char_length("text").alias("n")).collect())
-    inside = np.cumsum([n for _, n in sizes]) <= SAMPLE_CHARS
-    rows = sorted(sample.where(F.col("h") <= sizes[int(inside.sum()) - 1][0]).select("_id", "_y", "text").collect()) if inside.any() else []
+    sample = cut(joined.groupBy("_id", "_y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).withColumn("h", F.xxhash64(key)))
+    sizes = sorted((r["h"], r["_id"], r["n"]) for r in sample.select("h", "_id", F.char_length("text").alias("n")).collect())
+    left, fits = SAMPLE_CHARS, []
+    for h, _, n in sizes:
+        if n <= left:
+            left -= n
+            fits.append(h)
+    if sizes and not fits:
+        raise ValueError(f"every labelled text is longer than {SAMPLE_CHARS} characters")
+    rows = sorted((sample if len(fits) == len(sizes) else sample.where(F.col("h").isin(fits))).select("_id", "_y", "text").collect())
     model = AttentionModel()
     if rows:
         model.train([r["text"].encode("utf-8", "replace") for r in rows], np.array([r["_y"] for r in rows], np.float32))
