@@ -34,6 +34,8 @@ SAMPLE = 4096
 VECTORS_PER_BLOCK, QUERIES_PER_BLOCK = 4096, 512
 #: Queries with one vector from which on they are salted; at most ``MOST_COMMON`` vectors can be that common.
 COMMON_QUERY, MOST_COMMON, SALTS = 256, 4096, 32
+#: Parts in which the candidates of a query class are ranked first.
+PARTS = 32
 BOUNDS = "block long, part int, n int, low binary"
 
 
@@ -195,8 +197,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, cells:
                 yield pd.DataFrame({"q": np.frombuffer(ids, "<i8")[at], "class_id": np.frombuffer(c_ids, "<i8")[of], "bound": high[at, of]})
 
     found = _pairs(approximations, q_blocks.join(floors, "block"), groups).select("dim", "ids", "body", "floor", "c_ids", "c_body").mapInPandas(candidates, "q long, class_id long, bound double")
-    order = Window.partitionBy("q").orderBy(F.desc("bound"), "class_id")
-    found = cut(found.withColumn("place", F.row_number().over(order)))
+    found = cut(found)
+    # The greatest bounds of a query class are found part by part, so a class that prunes badly is not ranked in one task.
+    best_of = lambda rows, *by: rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("bound"), "class_id"))).where(F.col("place") <= keep)
+    heads = cut(best_of(best_of(found.withColumn("part", F.pmod(F.xxhash64("class_id"), F.lit(PARTS))), "q", "part"), "q").select("q", "class_id", "bound"))
 
     @F.pandas_udf("long")
     def product(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -206,9 +210,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, cells:
         read = some.join(classes.select("class_id", "packed", "ids"), "class_id").join(q_classes.select("q", F.col("packed").alias("q_packed")), "q")
         return read.select("q", "ids", product("packed", "q_packed").alias("score"))
 
-    first = cut(exact(found.where(F.col("place") <= keep)))
-    certain = first.groupBy("q").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n"))
-    rest = found.where(F.col("place") > keep).join(certain, "q").where(F.col("bound") >= F.col("kth"))
+    first = cut(exact(heads))
+    # Each query class has one row here, so the rest is told from the heads by the last of them, without ranks.
+    last = heads.groupBy("q").agg(F.min(F.struct(F.col("bound"), (-F.col("class_id")).alias("back"))).alias("last"))
+    certain = first.groupBy("q").agg(F.min("score").alias("kth")).join(last, "q")
+    rest = found.join(certain, "q").where((F.col("bound") >= F.col("kth")) & (F.struct(F.col("bound"), (-F.col("class_id")).alias("back")) < F.col("last")))
     scored = first.unionByName(exact(rest)).select("q", "score", F.explode("ids").alias("vec_id"))
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= keep)
     # Queries of a very common vector are dealt by a salt to copies of their class; such classes are few and broadcast as marks.
