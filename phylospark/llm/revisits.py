@@ -23,8 +23,8 @@ NOT_UPDATED = (
     "content-length content-encoding content-type content-range content-md5 connection keep-alive proxy-authenticate "
     "proxy-authentication-info proxy-authorization te trailer transfer-encoding upgrade"
 ).split()
-#: Ids of wanted responses that are broadcast (8 bytes each), so that other responses' bodies stay where they are.
-BROADCAST_WANTED = 1_000_000
+#: Places of the bit table that tells which responses are wanted: at most 32 MB, whatever the number of ids.
+WANTED_BITS = 1 << 28
 #: Query parameters that track a visit.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid|sessionid|phpsessid)(=|$)"
 
@@ -48,6 +48,23 @@ def merged_headers(stored, fresh):
     return F.map_concat(old, update)
 
 
+def likely_wanted(bodies: DataFrame, wanted: DataFrame, bits: int = WANTED_BITS) -> DataFrame:
+    """``bodies`` without most rows whose id ``_b`` is not in ``wanted``, and with all that are.
+
+    Ids are hashed to places of a bit table, of which 4 kB stretches with a set
+    bit are broadcast. So other responses' bodies stay where they are; the few
+    that share a place with a wanted id fall away in the join that follows.
+    """
+    place = F.pmod(F.xxhash64("_b"), F.lit(bits)) + 1
+    stretch, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    # Places meet by stretch before bits are set, so no task makes stretches that another makes too.
+    places = wanted.select(stretch.alias("_s"), bit.alias("_at")).distinct().repartition("_s")
+    table = places.groupBy("_s").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = bodies.withColumns({"_s": stretch, "_at": bit}).join(F.broadcast(table), "_s")
+    return found.where(F.getbit(byte, F.pmod("_at", F.lit(8)).cast("int")) == 1).select(*bodies.columns)
+
+
 def resolve_revisits(records: DataFrame, slots: int = 1024) -> DataFrame:
     """What each revisit stands for.
 
@@ -105,8 +122,7 @@ def resolve_revisits(records: DataFrame, slots: int = 1024) -> DataFrame:
     joined = cut(joined.withColumn("_want", F.when(F.col("status") == "resolved", F.col("response_id"))))
     bodies = records.where(F.col("kind") == "response").select(F.col("record_id").alias("_b"), F.col("headers").alias("stored"), "payload")
     wanted = joined.where("_want is not null").select(F.col("_want").alias("_b")).distinct()
-    if wanted.limit(BROADCAST_WANTED + 1).count() <= BROADCAST_WANTED:
-        bodies = bodies.join(F.broadcast(wanted), "_b", "left_semi")
+    bodies = likely_wanted(bodies, wanted)
     content = F.xxhash64("payload", F.to_json("stored"))
     bodies = bodies.groupBy("_b").agg(F.min_by(F.struct("stored", "payload"), content).alias("r")).select("_b", "r.stored", "r.payload")
     out = joined.join(bodies, F.col("_want") == F.col("_b"), "left")

@@ -593,6 +593,40 @@ def test_wrappers_drop_template_text_in_articles():
     assert html_wrappers.main_text(page(1), None) == "Daily news\n\nStory 1 is told here in a paragraph.\n\nSubscribe to read it to the end"
 
 
+@pytest.mark.parametrize("pages", [4, 8, 16, 40])
+def test_wrappers_keep_labels_that_repeat_in_articles(spark, pages):
+    """One text on every page is the article's own in its middle; the boilerplate after it, and in links, is not."""
+    recipe = lambda i: f"<body><nav>menu</nav><article><h1>Dish {i}</h1><blockquote>It is eaten {i} times a year in the village.</blockquote><p><b>Ingredients</b></p><ul><li>{i} eggs</li><li>salt</li></ul><div><a href=/all>All of our recipes by name</a></div><p><b>Method</b></p><ol><li>Stir it {i} times.</ol><div>Subscribe to read more</div></article></body>"
+    city = lambda i: f"<body><article><h1>City {i}</h1><table><tr><th>Country</th><td>Land {i}</td></tr><tr><th>Population</th><td>{i * 977}</td></tr></table><p>A city of its own kind, number {i}.</p></article></body>"
+    rows = [(i, f"http://food.example/{i}", recipe(i)) for i in range(pages)] + [(100 + i, f"http://city.example/{i}", city(i)) for i in range(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    found = {r["page_id"]: r["text"].split("\n\n") for r in html_wrappers.extract_main_text(df).collect()}
+    for i in range(pages):
+        dish = [t for t in found[i] if t not in ("All of our recipes by name", "Subscribe to read more")]
+        assert dish == [f"Dish {i}", f"It is eaten {i} times a year in the village.", "Ingredients", f"{i} eggs", "salt", "Method", f"Stir it {i} times."]
+        assert found[100 + i] == [f"City {i}", "Country", f"Land {i}", "Population", str(i * 977), f"A city of its own kind, number {i}."]
+    if pages >= 16:
+        assert "All of our recipes by name" not in found[1] and "Subscribe to read more" not in found[1]
+
+
+def test_wrappers_match_every_page_they_were_made_of_as_a_naive_matcher_says():
+    """The wrapper as a regular expression over tags and texts, matched with full backtracking, agrees with ``read_by``."""
+    rng = random.Random(11)
+
+    def pattern(nodes):
+        return "".join(re.escape(f"<{n[1]}>") if n[0] == "t" else "#" if n[0] == "s" else f"(?:{pattern(n[1])}){n[0]}" for n in nodes)
+
+    for _ in range(40):
+        made = [f"<div>head</div><article><h1>t{i}</h1>" + "".join(rng.choice((f"<p>a{i}</p>", "<ul><li>x<li>y</ul>", f"<div>d{i}</div>")) for _ in range(rng.randint(1, 6))) + "</article>" for i in range(6)]
+        streams = [html_wrappers.tokens(page) for page in made]
+        wrapper = html_wrappers.decide(html_wrappers.merge_shapes([html_wrappers.page_expression(s) for s in streams[:5]]))
+        for k, stream in enumerate(streams):
+            naive = re.fullmatch(pattern(wrapper), "".join("#" if x[0] == "s" else f"<{x[1]}>" for x in stream))
+            flags = html_wrappers.read_by(wrapper, stream)
+            assert k == 5 or naive
+            assert flags is None or (naive and len(flags) == sum(x[0] == "s" for x in stream))
+
+
 def test_marks_on_the_region_are_layout():
     page = lambda i: f"<body><div class='sidebar-layout'><div class=notice-board><h1>Head {i}</h1><p>Told here in a paragraph of its own: {i * 17}, and then some more of it.</p><div class=comments><p>nice {i}</p></div></div></div><p>imprint</p></body>"
     wrapper = html_wrappers.decide(html_wrappers.merge_shapes([html_wrappers.page_expression(html_wrappers.tokens(page(i))) for i in range(9)]))
@@ -651,6 +685,16 @@ def test_revisits(spark):
     assert revisits.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_wanted_bodies_are_told_by_bits(spark):
+    bodies = spark.range(5000).select(F.concat(F.lit("r"), "id").alias("_b"), F.lit("body").alias("payload"))
+    wanted = bodies.where("_b like '%7'").select("_b").unionByName(spark.createDataFrame([("none",), (None,)], "_b string"))
+    ids = {r[0] for r in wanted.collect()} - {"none", None}
+    for bits, most in ((1 << 28, len(ids) + 3), (1 << 12, 2000), (8, 5000)):
+        found = [r["_b"] for r in revisits.likely_wanted(bodies, wanted, bits).collect()]
+        assert ids <= set(found) and len(found) == len(set(found)) <= most
+    assert revisits.likely_wanted(bodies, wanted.limit(0)).count() == 0
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(3)
     model = quality.AttentionModel()
@@ -717,6 +761,30 @@ def test_quality_trains_on_whole_texts(spark, monkeypatch):
     assert set(seen[0]) <= whole and set(seen[1]) <= whole and 10 <= len(seen[1]) <= 16 < len(seen[0])
 
 
+def test_quality_skips_texts_beyond_the_bound_and_does_not_go_untrained(spark, monkeypatch):
+    rows = [(i, ("GOOD9 " if i % 2 else "bad# ") * 100) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality.AttentionModel, "train", lambda self, texts, y: seen.append(texts))
+    drawn = lambda texts: quality.fit(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), labels)
+    drawn(rows)
+    first = seen[0][0]
+    # The one of least hash is far too long: all others are still trained on.
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 100_000)
+    inside = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    least = spark.createDataFrame([(i,) for i in inside], "i long").orderBy(F.xxhash64(F.col("i").cast("string"))).first()[0]
+    drawn([(i, "x" * 200_000 if i == least else t) for i, t in rows])
+    assert first and len(seen[1]) == len(inside) - 1 and max(map(len, seen[1])) < 1000
+    # Every row 20 times, and another text for one id: the same sample again and again.
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 64_000_000)
+    for _ in range(2):
+        drawn([*rows, (inside[0], "another text")] * 20)
+    assert len(seen[2]) == len(inside) and seen[2] == seen[3]
+    monkeypatch.setattr(quality, "SAMPLE_CHARS", 100)
+    with pytest.raises(ValueError, match="longer"):
+        drawn(rows)
+
+
 def test_quality(spark, odd, none, sf_dir):
     wide = sf_dir.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{wide}/documents.parquet"), spark.read.parquet(f"{wide}/labels.parquet")
