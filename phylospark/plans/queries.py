@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phylospark.functions import numbers, sequences
-from phylospark.operators import groups, hits, ids, mapping, search, sets, sweeps
+from phylospark.operators import bitmaps, groups, hits, ids, mapping, search, sets, sweeps
 from phylospark.plans import workloads
 from phylospark.plans.views import view, with_views
 from phylospark.shared import cut
@@ -83,6 +83,15 @@ def _two(v):
 query("union", f"{A} UNION {B}")(lambda v: sets.union(*_two(v)))
 query("intersection", f"{A} INTERSECT {B}")(lambda v: sets.intersection(*_two(v)))
 query("difference", f"{A} EXCEPT {B}")(lambda v: sets.difference(*_two(v)))
+
+
+def _difference_of_hours(events: DataFrame) -> DataFrame:
+    """The users and tens of hour 0 without (those of hour 1 without (those of hour 2 ...))."""
+    hour = F.hour("ts").cast("long")
+    data = events.select(hour.alias("list_id"), (F.col("user_id") * 10 + F.col("event_id") % 10).alias("value"))
+    return bitmaps.diff_of(data, data.select("list_id", F.col("list_id").alias("pos")).distinct())
+
+
 COUNTS = "SELECT value FROM items GROUP BY value HAVING count(DISTINCT list_id)"
 query("any", "SELECT DISTINCT value FROM items")(lambda v: sets.any_of(v("items")))
 query("all", f"{COUNTS} = (SELECT count(*) FROM full_lists)")(lambda v: sets.all_of(v("items"), v("full_lists")))
@@ -99,6 +108,20 @@ query("length_each", "SELECT l.list_id, l.pos, count(i.value) AS n FROM lists l
 NAMES = ["click", "purchase", "scroll", "signup", "view"]
 query("sets_table", "SELECT value, " + ", ".join(f"coalesce(max(CASE WHEN list_id = '{n}' THEN 'x' END), '') AS \"{n}\"" for n in NAMES) + " FROM items GROUP BY value")(lambda v: sets.sets_table(v("items"), NAMES))
 query("set_regions", "WITH c AS (SELECT value, string_agg(DISTINCT list_id, ',' ORDER BY list_id) AS lists FROM items GROUP BY value) SELECT lists, count(*) AS n FROM c GROUP BY lists")(lambda v: sets.set_regions(v("items")))
+query("all_bitmaps", f"{COUNTS} = (SELECT count(*) FROM full_lists)")(lambda v: bitmaps.all_of(v("items"), v("full_lists")))
+query("some_bitmaps", f"{COUNTS} < (SELECT count(*) FROM full_lists)")(lambda v: bitmaps.some_of(v("items"), v("full_lists")))
+# Lists of users by day and kind of event, some hundreds to thousands.
+DAY_LISTS = "SELECT concat(event_type, ' ', CAST(CAST(ts AS DATE) AS VARCHAR(10))) AS list_id, user_id AS value FROM events"
+query("set_regions_bitmaps", f"WITH d AS ({DAY_LISTS}), c AS (SELECT value, string_agg(DISTINCT list_id, ',' ORDER BY list_id) AS lists FROM d GROUP BY value) SELECT lists, count(*) AS n FROM c GROUP BY lists")(
+    lambda v: bitmaps.set_regions(v("events").select(F.concat_ws(" ", "event_type", F.to_date("ts").cast("string")).alias("list_id"), F.col("user_id").alias("value")))
+)
+query(
+    "diff_bitmaps",
+    """WITH RECURSIVE d AS (SELECT DISTINCT CAST(hour(ts) AS BIGINT) AS pos, user_id * 10 + event_id % 10 AS value FROM events), m AS (SELECT max(pos) AS p FROM d),
+    f AS (SELECT value, (SELECT p FROM m) + 1 AS p, false AS holds FROM (SELECT DISTINCT value FROM d)
+    UNION ALL SELECT f.value, p - 1, NOT holds AND EXISTS (SELECT 1 FROM d WHERE d.pos = p - 1 AND d.value = f.value) FROM f WHERE p > 0)
+    SELECT value FROM f WHERE p = 0 AND holds""",
+)(lambda v: _difference_of_hours(v("events")))
 query("leave_each_out", "WITH n AS (SELECT DISTINCT l_orderkey AS list_id, l_partkey AS pos, concat('p', l_partkey) AS value FROM lineitem) SELECT a.list_id, b.pos AS out_pos, a.pos, a.value FROM n a JOIN n b ON a.list_id = b.list_id AND a.pos <> b.pos")(
     lambda v: sets.leave_each_out(v("lineitem").select(F.col("l_orderkey").alias("list_id"), F.col("l_partkey").alias("pos"), F.concat(F.lit("p"), "l_partkey").alias("value")).distinct())
 )
