@@ -23,8 +23,8 @@ NOT_UPDATED = (
     "content-length content-encoding content-type content-range content-md5 connection keep-alive proxy-authenticate "
     "proxy-authentication-info proxy-authorization te trailer transfer-encoding upgrade"
 ).split()
-#: Places of the bit table that tells which responses are wanted: at most 32 MB, whatever the number of ids.
-WANTED_BITS = 1 << 28
+#: Places of the bit table that tells which responses are wanted: about so many for each, and at most so many, 32 MB.
+PLACES_EACH, WANTED_BITS = 16, 1 << 28
 #: Query parameters that track a visit.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid|sessionid|phpsessid)(=|$)"
 
@@ -48,7 +48,7 @@ def merged_headers(stored, fresh):
     return F.map_concat(old, update)
 
 
-def likely_wanted(bodies: DataFrame, wanted: DataFrame, bits: int = WANTED_BITS) -> DataFrame:
+def likely_wanted(bodies: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
     """``bodies`` without most rows whose id ``_b`` is not in ``wanted``, and with all that are.
 
     Ids are hashed to places of a bit table, of which 4 kB stretches with a set
@@ -122,7 +122,8 @@ def resolve_revisits(records: DataFrame, slots: int = 1024) -> DataFrame:
     joined = cut(joined.withColumn("_want", F.when(F.col("status") == "resolved", F.col("response_id"))))
     bodies = records.where(F.col("kind") == "response").select(F.col("record_id").alias("_b"), F.col("headers").alias("stored"), "payload")
     wanted = joined.where("_want is not null").select(F.col("_want").alias("_b")).distinct()
-    bodies = likely_wanted(bodies, wanted)
+    bits = 1 << (PLACES_EACH * wanted.count()).bit_length()
+    bodies = likely_wanted(bodies, wanted, min(bits, WANTED_BITS))
     content = F.xxhash64("payload", F.to_json("stored"))
     bodies = bodies.groupBy("_b").agg(F.min_by(F.struct("stored", "payload"), content).alias("r")).select("_b", "r.stored", "r.payload")
     out = joined.join(bodies, F.col("_want") == F.col("_b"), "left")

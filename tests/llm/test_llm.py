@@ -692,7 +692,7 @@ def test_wanted_bodies_are_told_by_bits(spark):
     for bits, most in ((1 << 28, len(ids) + 3), (1 << 12, 2000), (8, 5000)):
         found = [r["_b"] for r in revisits.likely_wanted(bodies, wanted, bits).collect()]
         assert ids <= set(found) and len(found) == len(set(found)) <= most
-    assert revisits.likely_wanted(bodies, wanted.limit(0)).count() == 0
+    assert revisits.likely_wanted(bodies, wanted.limit(0), 1).count() == 0
 
 
 def test_attention_gradients():
