@@ -3,7 +3,7 @@
 Elements get numbers, and every list is a bitmap over stretches of 32,768
 numbers: 4 kB for each stretch in which it has an element, however many. Folds
 run over the lists of a stretch, so no element carries an array of list names.
-For few lists the groupings of ``sets`` move less; the results are the same.
+The groupings of ``sets`` give the same and are faster while elements are in few lists.
 """
 
 from __future__ import annotations
