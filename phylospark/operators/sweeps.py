@@ -83,14 +83,15 @@ def sweep_cutoff(hits: DataFrame, column: str, cutoffs: list[float], metric: str
 def sweep_both(hits: DataFrame, column: str, cutoffs: list[float], at_most: bool = True) -> DataFrame:
     """``cutoff, hits, queries``: both of ``sweep_cutoff`` from one scan.
 
-    Counts for each query and cutoff serve both: their sum is the hits, and a
-    query counts where its tightest cutoff is.
+    Rows are grouped by cutoff and by query at once (grouping sets), so a task
+    sends one row per cutoff and one per query: hits are counted where they are,
+    a query at its tightest cutoff.
     """
     at, order = tightest(F.col(column), cutoffs, at_most)
-    cells = hits.select("queryid", at.alias("i")).where("i is not null").groupBy("queryid", "i").agg(F.count(F.lit(1)).alias("n"))
-    each = cells.groupBy("queryid").agg(F.min("i").alias("first"), F.collect_list(F.struct("i", "n")).alias("cells"))
-    rows = each.select("first", F.explode("cells").alias("c")).select("c.i", "c.n", (F.col("c.i") == F.col("first")).cast("long").alias("q"))
-    counts = rows.groupBy("i").agg(F.sum("n").alias("hits"), F.sum("q").alias("queries"))
+    rows = hits.select("queryid", at.alias("i")).where("i is not null").withColumn("own", F.col("i"))
+    both = rows.groupingSets([["queryid"], ["i"]], "queryid", "i").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("first"))
+    # Of the two groupings the one by query has no ``i``.
+    counts = both.groupBy(F.col("first").alias("i")).agg(F.sum(F.when(F.col("i").isNotNull(), F.col("n"))).alias("hits"), F.count(F.when(F.col("i").isNull(), 1)).alias("queries"))
     return _added_up(hits.sparkSession.createDataFrame(list(enumerate(order)), "i int, cutoff double"), counts, ["hits", "queries"])
 
 

@@ -414,6 +414,9 @@ def test_grid_sweep_equals_filtering(spark):
     assert found == {k: (len(v), len(set(v))) for k, v in kept.items()}
     both = {r["cutoff"]: (r["hits"], r["queries"]) for r in sweeps.sweep_both(table, "evalue", first).collect()}
     assert both == {x: (len(v), len(set(v))) for x in first for v in [[q for q, e, _ in rows if e is not None and e <= x]]}
+    nameless = spark.createDataFrame([(None, 0.5), (None, 0.1), ("q", 0.5), ("q", None)], "queryid string, evalue double")
+    assert [tuple(r) for r in sweeps.sweep_both(nameless, "evalue", [0.0, 0.1, 0.5]).orderBy("cutoff").collect()] == [(0.0, 0, 0), (0.1, 1, 1), (0.5, 3, 2)]
+    assert [tuple(r) for r in sweeps.sweep_both(nameless.limit(0), "evalue", [0.1]).collect()] == [(0.1, 0, 0)]
     assert {r["cutoff"]: r["n"] for r in sweeps.sweep_cutoff(table, "bitscore", second, "queries", False).collect()} == {y: len({q for q, _, b in rows if b is not None and b >= y}) for y in second}
 
 
