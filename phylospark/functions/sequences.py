@@ -105,10 +105,23 @@ def six_frames(seqs: DataFrame) -> DataFrame:
     return made.withColumns({"frame": F.col("_f.frame"), "seq": translate("_f.s")}).drop("_f")
 
 
-def kmers(seq: Column, k: int) -> Column:
-    """All k-mers of a sequence in order; empty for sequences shorter than k.
+def kmer_rows(seqs: DataFrame, k: int, letters: str | None = None) -> DataFrame:
+    """A row for each k-mer of each sequence, with ``at`` (from 0) and ``kmer`` in place of ``seq``; with ``letters``, of these letters alone.
 
-    A look-ahead matches at every place, so a sequence is read once; a substring
-    per place would scan from its start each time.
+    Places are exploded and k-mers cut from bytes, which takes no scan of the
+    sequence and stays in compiled code; only where a letter has several bytes
+    are they cut from the string. K-mers of a sequence that has no other letters
+    are not looked at again.
     """
-    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+
+    def plain(text: str) -> Column:
+        return F.translate(text, letters, "") == "" if letters else F.lit(True)
+
+    kept = [c for c in seqs.columns if c != "seq"]
+    one_byte = F.octet_length("seq") == F.length("seq")
+    long_enough = seqs.where(F.length("seq") >= k)
+    ready = long_enough.select(*kept, F.col("seq").cast("binary").alias("_bytes"), F.when(~one_byte, F.col("seq")).alias("_wide"), plain("seq").alias("_plain"), (F.length("seq") - k).alias("_last"))
+    places = ready.select(*kept, "_bytes", "_wide", "_plain", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("at"))
+    cut_out = lambda c: F.substring(F.col(c), F.col("at") + 1, F.lit(k))
+    made = places.select(*kept, "at", F.when(F.col("_wide").isNull(), cut_out("_bytes").cast("string")).otherwise(cut_out("_wide")).alias("kmer"), "_plain")
+    return (made.where(F.col("_plain") | plain("kmer")) if letters else made).drop("_plain")

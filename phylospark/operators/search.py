@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phylospark.functions.sequences import kmers, six_frames, spread, tiles
+from phylospark.functions.sequences import kmer_rows, six_frames, spread, tiles
 from phylospark.operators.hits import reciprocal_best
 from phylospark.shared import cut
 
@@ -114,9 +114,7 @@ def kmer_index(seqs: DataFrame, k: int, max_df: int | None = None, keep: list[st
     all tasks: they are a fraction of what their k-mers are.
     """
     tiled = spread(tiles(seqs.select("seq_id", *keep, "seq"), k - 1))
-    index = tiled.select("seq_id", *keep, "offset", F.posexplode(kmers(F.col("seq"), k)).alias("_i", "kmer")).select("seq_id", *keep, "kmer", (F.col("offset") + F.col("_i")).alias("kpos"))
-    if letters:
-        index = index.where(F.translate("kmer", letters, "") == "")
+    index = kmer_rows(tiled, k, letters).select("seq_id", *keep, "kmer", (F.col("offset") + F.col("at")).alias("kpos"))
     if max_df is None:
         return index
     frequent = index.select("seq_id", "kmer").distinct().groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_df)

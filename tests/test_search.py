@@ -120,8 +120,8 @@ def test_tiles_give_what_whole_sequences_give(spark, monkeypatch, size):
     rows = [(f"s{n}", dna(rng, n, "ACGTN")) for n in [0, 1, 2, 3, 4, 5, 6, 7, 20, 63, 64, 65, 200, 401]]
     seqs = spark.createDataFrame([*rows, ("null", None)], SEQS)
     for k in (1, 4, 11):
-        got = sequences.tiles(seqs, k - 1, size).select("seq_id", "offset", F.posexplode(sequences.kmers(F.col("seq"), k)).alias("i", "kmer"))
-        assert sorted((r["seq_id"], r["offset"] + r["i"], r["kmer"]) for r in got.collect()) == sorted((n, i, s[i : i + k]) for n, s in rows for i in range(len(s) - k + 1))
+        got = sequences.kmer_rows(sequences.tiles(seqs, k - 1, size), k)
+        assert sorted((r["seq_id"], r["offset"] + r["at"], r["kmer"]) for r in got.collect()) == sorted((n, i, s[i : i + k]) for n, s in rows for i in range(len(s) - k + 1))
 
     def joined(tiled, *keys):
         made = {}
@@ -137,6 +137,18 @@ def test_tiles_give_what_whole_sequences_give(spark, monkeypatch, size):
     assert joined(sequences.translated_tiles(seqs, size), "seq_id") == first
 
 
+def test_kmers_cut_from_bytes_are_those_of_the_string(spark):
+    """Letters of several bytes, line ends, other letters, short, empty and null sequences; a column named like the inner ones."""
+    texts = ["", "AC", "ACGT", "ACGTNACGTACG", "acgtACGT", "ÄCGTACGTÄ", "AC\nGTACGT", "日本語ACGTA", "ACGT😀ACGT", None]
+    seqs = spark.createDataFrame([(f"s{i}", t, i) for i, t in enumerate(texts)], "seq_id string, seq string, _at int")
+    for k in (1, 3, 4):
+        plain = [(f"s{i}", i, at, t[at : at + k]) for i, t in enumerate(texts) if t is not None for at in range(len(t) - k + 1)]
+        for letters, wanted in ((None, plain), ("ACGT", [x for x in plain if set(x[3]) <= set("ACGT")])):
+            got = sequences.kmer_rows(seqs, k, letters)
+            assert got.columns == ["seq_id", "_at", "at", "kmer"]
+            assert sorted(map(tuple, got.collect())) == sorted(wanted)
+
+
 def test_a_chromosome_is_read_in_tiles(spark):
     """Five million letters in one record: tiles of bounded length, and a search that finds what is planted at its end."""
     rng = random.Random(12)
