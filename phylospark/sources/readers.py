@@ -97,9 +97,12 @@ def read_orthogroups(spark: SparkSession, path, kind: str) -> DataFrame:
     return made.where(F.trim("member") != "").select("group_id", F.trim("member").alias("member"))
 
 
-def read_busco_summaries(spark: SparkSession, paths) -> DataFrame:
-    """``path, text``: whole summary files."""
-    return spark.read.text(paths, wholetext=True).select(_path().alias("path"), F.col("value").alias("text"))
+def read_busco_summaries(spark: SparkSession, paths, separator: str | None = None) -> DataFrame:
+    """``path, text``: whole summary files, or, with a ``separator``, the summaries that files of many hold, which split at it."""
+    if separator is None:
+        return spark.read.text(paths, wholetext=True).select(_path().alias("path"), F.col("value").alias("text"))
+    raw = spark.read.option("lineSep", separator).text(paths)
+    return raw.where(F.trim("value") != "").select(_path().alias("path"), F.col("value").alias("text"))
 
 
 def busco_scores_table(summaries: DataFrame) -> DataFrame:

@@ -489,3 +489,19 @@ def test_cut_tables_can_be_removed(spark):
     path = shared.cut(spark.range(5)).inputFiles()[0].removeprefix("file:").replace("//", "")
     assert os.path.exists(path)
     assert shared.clear(spark) > 0 and not os.path.exists(path)
+
+
+def test_summaries_of_many_a_file(spark, sf_dir, tmp_path, monkeypatch):
+    """The query writes no file for each summary; summaries of several lines stay whole, and a file of one is read as before."""
+    from phylospark.plans import files, queries
+
+    texts = [f"# for file f{i}\nC:{i}.5%[S:{i}.1%,D:0.4%],F:1.5%,M:3.0%,n:9\n\nend" for i in range(50)]
+    spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2).write.option("lineSep", "\n//\n").text(str(tmp_path / "many"))
+    assert sorted(r["text"] for r in readers.read_busco_summaries(spark, str(tmp_path / "many"), "\n//\n").collect()) == sorted(texts)
+    (tmp_path / "one").write_text(texts[3])
+    assert [r["text"] for r in readers.read_busco_summaries(spark, str(tmp_path / "one")).collect()] == [texts[3]]
+    made = []
+    monkeypatch.setattr(files, "_new", lambda df: made.append(str(tmp_path / f"q{len(made)}")) or made[-1])
+    found = queries.QUERIES["read_busco_summaries"](spark, sf_dir)
+    assert found.agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    assert len([p for folder in made for p in __import__("pathlib").Path(folder).rglob("*.txt")]) <= 16
