@@ -173,3 +173,41 @@ def test_lasting_index(spark):
     subjects = plan[plan.rindex("Sort [") :]
     assert "SortMergeJoin" in plan and "Bucketed: true" in subjects and "Exchange" not in subjects, plan
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_few_queries_go_to_the_subjects(spark, monkeypatch):
+    """The subjects' k-mers are neither sketched nor exchanged if the queries are few; many queries give the same hits."""
+    rng = random.Random(21)
+    genes = [dna(rng, 150) for _ in range(6)]
+    q = spark.createDataFrame([(f"q{i}", g) for i, g in enumerate(genes)], SEQS)
+    s = spark.createDataFrame([(f"s{i}", dna(rng, 40) + g + dna(rng, 30)) for i, g in enumerate(genes * 2)], SEQS)
+    sketches = []
+    common = search.common_kmers
+    monkeypatch.setattr(search, "common_kmers", lambda *a: sketches.append(1) or common(*a))
+    runs = (lambda: search.search(1e-6, q, s, k=11), lambda: search.search_rev(1e-6, q, s, k=11), lambda: search.search_rbh(1e-6, q, s, k=11), lambda: search.seed_pairs(q, s, 11))
+    sent = [sorted(map(tuple, run().collect())) for run in runs]
+    assert not sketches and len(sent[0]) >= 12
+    monkeypatch.setattr(search, "SENT_KMERS", 0)
+    assert [sorted(map(tuple, run().collect())) for run in runs] == sent and len(sketches) == 8
+
+
+def test_kmer_frequency_counts_in_tasks(spark):
+    """Long sequences, ids that repeat, ids that are null, letters of several bytes; no row for each k-mer and sequence leaves a task."""
+    rng = random.Random(22)
+    rows = [(f"s{i}", dna(rng, rng.choice([0, 3, 4, 50]))) for i in range(40)] + [("long", dna(rng, 500) * 150), ("s1", "ACGTACGT"), ("s1", "ACGTTT"), (None, "ACGTACGTA"), (None, "ACGT"), ("w", "ÄÖ日本ACGT"), ("n", None)]
+    seqs = spark.createDataFrame(rows, SEQS)
+    ids, places = {}, {}
+    for name, seq in rows:
+        for i in range(len(seq or "") - 3):
+            kmer = seq[i : i + 4]
+            places[kmer] = places.get(kmer, 0) + 1
+            ids.setdefault(kmer, set()).update({name} - {None})
+    found = search.kmer_frequency(seqs, 4)
+    assert sorted(map(tuple, found.collect())) == sorted((x, len(ids[x]), n) for x, n in places.items())
+    assert "Generate" in found._jdf.queryExecution().executedPlan().toString() and "MapInPandas" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_translation_of_a_batch_is_that_of_each():
+    rng = random.Random(23)
+    seqs = [dna(rng, n, "ACGTUNacgtÄ日") for n in [0, 1, 2, 3, 4, 5, 6, 61, 0, 200]]
+    assert sequences.translate_all(seqs) == [sequences.translate_sequence(x) for x in seqs] and sequences.translate_all([]) == []
