@@ -211,3 +211,22 @@ def test_translation_of_a_batch_is_that_of_each():
     rng = random.Random(23)
     seqs = [dna(rng, n, "ACGTUNacgtÄ日") for n in [0, 1, 2, 3, 4, 5, 6, 61, 0, 200]]
     assert sequences.translate_all(seqs) == [sequences.translate_sequence(x) for x in seqs] and sequences.translate_all([]) == []
+
+
+@pytest.mark.parametrize("alphabet, k, block", [("dna", 11, 1 << 22), ("dna", 6, 300), ("dna", 20, 300), ("protein", 5, 300)])
+def test_index_rows_hold_many_kmers(spark, monkeypatch, alphabet, k, block):
+    """All places of all k-mers, over blocks and odd letters, in far fewer rows than k-mers; frequent ones are left out."""
+    monkeypatch.setattr(search, "BLOCK", block)
+    rng = random.Random(31)
+    letters = search.letters_of(alphabet)
+    rows = [(f"s{i}", dna(rng, rng.choice([0, k - 1, k, 200]), letters + "x")) for i in range(20)] + [("r", letters[:2] * 40), ("t", letters[:2] * 30), ("u", "é" + letters * 3)]
+    s = spark.createDataFrame(rows, SEQS)
+    q = search.kmer_index(search.plain_letters(s, alphabet), k, letters=letters).select(F.col("seq_id").alias("queryid"), "kmer", F.col("kpos").alias("qpos"))
+    for most in (None, 1):
+        name = f"lasting_seeds_{uuid.uuid4().hex}"
+        index = search.build_index(s, name, k, alphabet, max_df=most, buckets=4)
+        found = search.indexed_seeds(q, index).select("queryid", "subjectid", "kmer", "qpos", "spos").collect()
+        other = search.kmer_index(search.plain_letters(s, alphabet), k, most, letters=letters).select(F.col("seq_id").alias("subjectid"), "kmer", F.col("kpos").alias("spos"))
+        assert sorted(map(tuple, found)) == sorted(map(tuple, q.join(other, "kmer").select("queryid", "subjectid", "kmer", "qpos", "spos").collect())) and found
+        assert "steps" not in index.columns
+        spark.sql(f"DROP TABLE {name}")
