@@ -6,9 +6,10 @@ is a stream of block tags and text runs; adjacent repeats of a stream fold into
 ``+``. Where wrapper and page differ: two texts become a slot, a group that one
 side repeats becomes ``+``, and what only one side has becomes ``?``.
 
-Every slot carries what is needed to judge it: a sample of the host's pages
-with a digest of the text that each has there, how much text and how much of it
-in links, and what the tags around it say. From these the wrapper decides which
+Every slot carries how much text it holds and how much of it in links, and what
+the tags around it say. Which texts repeat in it is counted over all pages of the
+host: each page is matched by the finished wrapper and gives a digest for every
+slot, and Spark counts them (``count_texts``). From these the wrapper decides which
 slots are the article (``decide``), and a page is read by its host's wrapper.
 
 Pages of one shape add up place by place in their own task; the shapes of a
@@ -26,7 +27,7 @@ import json
 import math
 import re
 from collections import Counter
-from itertools import groupby, takewhile
+from itertools import count, groupby, takewhile
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -65,8 +66,8 @@ FURNITURE_WORDS = frozenset(
 NOT_THE_ARTICLE = frozenset("ad ads advert advertisement sponsored promo promotion comment comments reply replies related recommended".split())
 #: Words beside which a word of furniture keeps its meaning inside an article: ``comment-list``, but not ``related-work``.
 NEUTRAL = frozenset("site page post entry article blog user reader main primary secondary global top bottom left right inner outer wrap wrapper container box block bar area section list item items group panel region row column".split())
-#: Different pages kept for a host and for a slot: those with the least hashes, so both samples agree.
-SAMPLE_PAGES = 16
+#: The share of a host's pages that agree weighs as it does among so many pages, if the host has more: all are counted, but a label on 10,000 pages is no worse than one on 16.
+WEIGHED_PAGES = 16
 #: Copies of a page differ in shorter texts only.
 LONG_TEXT = 60
 #: How far a merge looks for the next place that both sides have, and how long a group may be that a page repeats.
@@ -75,12 +76,14 @@ LOOK_AHEAD, LONGEST_BODY = 64, 24
 MOST_NODES = 4096
 #: Shapes or partial wrappers that one task merges for a host, about, and the parts that the pages of one shape merge in first.
 MERGED_AT_ONCE, SALTS = 256, 256
+#: Rows of shapes that one task merges: they are few bytes but long work, so tasks are not dealt by size.
+ROWS_A_TASK = 256
 
 #: What the tags around a text say of it.
 FURNITURE, OUTSIDE, OTHER, ARTICLE = range(4)
 #: Worth of a slot by what tags say: tags of furniture, outside the page's article, on a page without article, in it.
 TAG_WORTH = (-4.0, -3.0, 0.5, 3.0)
-#: Pages of the sample that must agree before their number counts as evidence, and the share of them that makes a template, outside articles and in one.
+#: Pages of the host that must agree before their number counts as evidence, and the share of them that makes a template, outside articles and in one.
 AGREEING, TEMPLATE_SHARE, ARTICLE_SHARE = 3, 0.5, 0.8
 #: Worth of: each doubling of the pages that have one text in the slot; varied texts; text in links; long texts; a heading in an article; a place outside the region that holds most varied text.
 TEMPLATE_WORTH, VARIED_WORTH, LINK_WORTH, LONG_WORTH, HEADING_WORTH, REGION_WORTH = -1.2, 0.5, -1.5, 0.5, 2.0, -1.5
@@ -158,8 +161,12 @@ def tokens(page: str) -> list[tuple[str, str, float]]:
     return [x for x, y in zip(out, [*out[1:], ("t", "/", 0)]) if x != ("t", "p", 0) or y[0] == "s"] if out else out
 
 
-# Wrapper nodes: ("t", tag), ("s", sample, texts, characters, characters in links, texts by what tags say), ("?", body), ("+", body), and first of all ("n", sample, pages).
-# A slot's sample lists (page, digest of its text there); the first node's lists pages.
+# Wrapper nodes: ("t", tag), ("s", seen, texts, characters, characters in links, texts by what tags say), ("?", body), ("+", body), and first of all ("n", seen, pages).
+# What a slot has seen lists (page, digest of its text there), all of them; the first node lists pages. Wrappers made by Spark leave both empty, ``count_texts`` counts them there.
+
+
+#: Digests are less than this, and so are sums of them.
+DIGESTS = 2**48
 
 
 def _digest(text: str) -> int:
@@ -173,8 +180,8 @@ def page_number(stream: list[tuple]) -> int:
     return _digest("\0".join(long if 2 * sum(map(len, long)) >= sum(map(len, texts)) else texts))
 
 
-def leaves(stream: list[tuple], page: int) -> list[tuple]:
-    """A page's stream as nodes."""
+def leaves(stream: list[tuple], page: int | None) -> list[tuple]:
+    """A page's stream as nodes, with digests of its texts if the page has a number."""
     said = iter(tags_say(stream))
     out = []
     for kind, value, linked in stream:
@@ -183,18 +190,15 @@ def leaves(stream: list[tuple], page: int) -> list[tuple]:
         else:
             counts = [0] * 4
             counts[next(said)] = 1
-            out.append(("s", [(page, _digest(value))], 1, len(value), round(linked * len(value)), counts))
+            out.append(("s", [] if page is None else [(page, _digest(value))], 1, len(value), round(linked * len(value)), counts))
     return out
 
 
-def sampled(a: list[tuple], b: list[tuple]) -> list[tuple]:
-    """The pages of least hash of two samples; a page that both have keeps its least digest."""
+def seen_by_both(a: list[tuple], b: list[tuple]) -> list[tuple]:
+    """The pages of two lists; a page that both have keeps its least digest."""
     if a == b:
         return a
-    both: dict[int, int] = {}
-    for page, digest in sorted([*a, *b], reverse=True):
-        both[page] = digest
-    return sorted(both.items())[:SAMPLE_PAGES]
+    return sorted(dict(sorted([*a, *b], reverse=True)).items())
 
 
 def key(node: tuple):
@@ -210,11 +214,11 @@ def unify(a: tuple, b: tuple, repeats: bool = False) -> tuple:
     if a[0] == "t":
         return a
     if a[0] == "n":
-        return ("n", sampled(a[1], b[1]), a[2] + b[2])
+        return ("n", seen_by_both(a[1], b[1]), a[2] + b[2])
     if a[0] != "s":
         return (a[0], merge(a[1], b[1]))
-    sample = [(a[1][0][0], (a[1][0][1] + b[1][0][1]) % 2**48)] if repeats else sampled(a[1], b[1])
-    return ("s", sample, a[2] + b[2], a[3] + b[3], a[4] + b[4], [x + y for x, y in zip(a[5], b[5])])
+    seen = [(a[1][0][0], (a[1][0][1] + b[1][0][1]) % DIGESTS)] if repeats and a[1] else seen_by_both(a[1], b[1])
+    return ("s", seen, a[2] + b[2], a[3] + b[3], a[4] + b[4], [x + y for x, y in zip(a[5], b[5])])
 
 
 def step(node: tuple) -> int:
@@ -356,9 +360,9 @@ def merge(a: list[tuple], b: list[tuple]) -> list[tuple]:
     return out + _optional(a[i:]) + _optional(b[j:])
 
 
-def page_expression(stream: list[tuple]) -> list[tuple]:
-    page = page_number(stream)
-    return [("n", [(page, 0)] if stream else [], 1), *fold(leaves(stream, page))]
+def page_expression(stream: list[tuple], digests: bool = True) -> list[tuple]:
+    page = page_number(stream) if digests else None
+    return [("n", [(page, 0)] if stream and digests else [], 1), *fold(leaves(stream, page))]
 
 
 def shape(nodes: list[tuple]) -> str:
@@ -485,10 +489,50 @@ def tags_say(stream: list[tuple]) -> list[int]:
     return [FURNITURE if r == 0 else OTHER if best == 1 else ARTICLE if r == best else OUTSIDE for r in roles]
 
 
-def decide(wrapper: list[tuple]) -> list[tuple]:
+def numbered(wrapper: list[tuple]) -> list[tuple]:
+    """The wrapper with ``("s", k)`` for its k-th slot, from 1."""
+    at = count(1)
+
+    def number(nodes):
+        return [(n[0], number(n[1])) if n[0] in "?+" else ("s", next(at)) if n[0] == "s" else n for n in nodes]
+
+    return number(wrapper[1:])
+
+
+def texts_by_slot(wrapper: list[tuple], stream: list[tuple]) -> dict[int, int] | None:
+    """Slot -> digest of what the page has there, repeats added up, by a ``numbered`` wrapper; slot 0 is the page. None if the page doesn't match."""
+    slots = read_by(wrapper, stream) if stream else None
+    if slots is None:
+        return None
+    found = {0: 0}
+    for slot, text in zip(slots, (x[1] for x in stream if x[0] == "s")):
+        found[slot] = (found.get(slot, 0) + _digest(text)) % DIGESTS
+    return found
+
+
+def _counts(wrapper: list[tuple]) -> dict[int, tuple[int, int]]:
+    """What ``count_texts`` counts, from what a wrapper's nodes have seen."""
+    out, at = {0: (len(wrapper[0][1]),) * 2}, count(1)
+
+    def walk(nodes):
+        for n in nodes:
+            if n[0] == "s":
+                out[next(at)] = max(Counter(d for _, d in n[1]).values(), default=0), len(n[1])
+            elif n[0] != "t":
+                walk(n[1])
+
+    walk(wrapper[1:])
+    return out
+
+
+def decide(wrapper: list[tuple], counts: dict[int, tuple[int, int]] | None = None) -> list[tuple]:
     """The wrapper with ``("s", 1)`` for slots of the article and ``("s", 0)`` for others.
 
-    A slot is worth what its tags say, less the more pages of the sample have
+    ``counts`` has for the k-th slot, from 1, how many different pages of the
+    host have its commonest text and how many have any, and for 0 how many
+    pages there are; without it what the nodes have seen is counted.
+
+    A slot is worth what its tags say, less the more pages of the host have
     one text in it, more if texts vary or are long, less if they are links.
     In an article one text on all pages (a label of a table, "Ingredients") is
     evidence only in links or at the article's edge, with nothing but such
@@ -497,8 +541,9 @@ def decide(wrapper: list[tuple]) -> list[tuple]:
     varied text of the host: on pages without article, slots outside it are worth less, and marks
     on it or around it, which are layout then, don't count.
     """
-    host = {page for page, _ in wrapper[0][1]}
-    known = len(host) >= AGREEING
+    counts = _counts(wrapper) if counts is None else counts
+    host = counts.get(0, (0, 0))[0]
+    known = host >= AGREEING
     slots, at = [], Elements()
 
     def walk(nodes):
@@ -506,15 +551,14 @@ def decide(wrapper: list[tuple]) -> list[tuple]:
             if n[0] == "t":
                 at.tag(n[1])
             elif n[0] == "s":
-                agree = Counter(d for p, d in n[1] if p in host).most_common(1)
-                slots.append((n, list(at.open), agree[0][1] if agree else 0))
+                slots.append((n, list(at.open), counts.get(len(slots) + 1, (0, 0))[0]))
             else:
                 walk(n[1])
 
     walk(wrapper[1:])
 
     def template(n, agree, share):
-        return known and agree >= AGREEING and agree >= share * len(host)
+        return known and agree >= AGREEING and agree >= share * host
 
     mass: dict[int, float] = {}
     holds = Counter(id(e) for _, around, _ in slots for e in around)
@@ -541,8 +585,8 @@ def decide(wrapper: list[tuple]) -> list[tuple]:
             said = OTHER
         worth = TAG_WORTH[said]
         if template(n, agree, ARTICLE_SHARE if said == ARTICLE else TEMPLATE_SHARE) and (said != ARTICLE or k in edge or n[4] > LINKED * n[3]):
-            worth += TEMPLATE_WORTH * math.log2(agree)
-        elif known and sum(p in host for p, _ in n[1]) >= AGREEING:
+            worth += TEMPLATE_WORTH * math.log2(agree * min(1.0, WEIGHED_PAGES / host))
+        elif known and counts.get(k + 1, (0, 0))[1] >= AGREEING:
             worth += VARIED_WORTH
         worth += LINK_WORTH * (n[4] > LINKED * n[3]) + LONG_WORTH * (n[3] >= LONG_ENOUGH * n[2])
         if said == ARTICLE and around and re.fullmatch("h[1-6]", around[-1].name):
@@ -559,7 +603,7 @@ def decide(wrapper: list[tuple]) -> list[tuple]:
 
 
 def read_by(wrapper: list[tuple], stream: list[tuple]) -> list[int] | None:
-    """1 for every text of the stream in a slot of the article, 0 for others; None if the page doesn't match."""
+    """The mark of its slot for every text of the stream, 1 for the article and 0 for others after ``decide``; None if the page doesn't match."""
     flags: list[int] = []
 
     def run(nodes: list[tuple], at: int) -> int:
@@ -616,14 +660,50 @@ def host_of(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#]+)", 1)), F.lit(""))
 
 
-def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", at_once: int = MERGED_AT_ONCE) -> DataFrame:
-    """``host, wrapper`` (JSON, marked by ``decide``) of all pages."""
+def _joined(rows: DataFrame, wrappers: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """Pages with the wrapper of their host, if it has one."""
+    if (wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= broadcast_bytes:
+        wrappers = F.broadcast(wrappers)
+    return rows.join(wrappers, "host", "left")
+
+
+def count_texts(pages: DataFrame, wrappers: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """``host, slot, agree, pages``: how many different pages have a slot's commonest text and how many have the slot.
+
+    Every page (``host, html``) that its host's ``numbered`` wrapper matches is
+    counted, once with its copies, of which the one with the least digests
+    stands for all. Slot 0 is the page itself.
+    """
+
+    def matched(batches):
+        known: dict[str, list] = {}
+        for b in batches:
+            out = []
+            for host, page, w in zip(b["host"], b["html"], b["wrapper"]):
+                if w not in known:
+                    known[w] = loads(w)
+                stream = tokens(page)
+                found = texts_by_slot(known[w], stream)
+                if found:
+                    out.append((host, page_number(stream), list(found), list(found.values())))
+            yield pd.DataFrame(out, columns=["host", "page", "slots", "digests"])
+
+    rows = _joined(pages, wrappers, broadcast_bytes).where("wrapper is not null").select("host", "html", "wrapper")
+    found = rows.mapInPandas(matched, "host string, page long, slots array<int>, digests array<long>")
+    one = found.groupBy("host", "page").agg(F.min(F.struct("slots", "digests")).alias("has"))
+    texts = one.select("host", F.explode(F.arrays_zip("has.slots", "has.digests")).alias("x")).select("host", "x.slots", "x.digests")
+    same = texts.groupBy("host", F.col("slots").alias("slot"), "digests").agg(F.count(F.lit(1)).alias("n"))
+    return same.groupBy("host", "slot").agg(F.max("n").alias("agree"), F.sum("n").alias("pages"))
+
+
+def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", at_once: int = MERGED_AT_ONCE, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """``host, wrapper`` (JSON, marked by ``decide``) of all pages, in two passes: what the pages have in common, then which texts repeat."""
 
     def shapes(batches):
         found: dict[tuple[str, int], list] = {}
         for b in batches:
             for host, page in zip(b["host"], b["html"]):
-                expression = page_expression(tokens(page))
+                expression = page_expression(tokens(page), digests=False)
                 at = host, _digest(shape(expression))
                 found[at] = merge(found[at], expression) if at in found else expression
                 if len(found) >= 2000:
@@ -636,14 +716,18 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         return _rows({at: merge_shapes([loads(p) for p in sorted(pdf["wrapper"])])})
 
     @F.pandas_udf("string")
-    def marked(wrappers: pd.Series) -> pd.Series:
-        return wrappers.map(lambda w: json.dumps(decide(loads(w))))
+    def by_number(wrappers: pd.Series) -> pd.Series:
+        return wrappers.map(lambda w: json.dumps(numbered(loads(w))))
+
+    @F.pandas_udf("string")
+    def marked(wrappers: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(decide(loads(w), {x["slot"]: (x["agree"], x["pages"]) for x in json.loads(c or "[]")})) for w, c in zip(wrappers, counts)], dtype=object)
 
     schema = "host string, shape long, wrapper string"
     some = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).where("html is not null")
     made = cut(some.mapInPandas(shapes, schema))
-    salt = F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))
-    made = made.groupBy("host", "shape", salt.alias("salt")).applyInPandas(join, schema)
+    made = made.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
+    made = cut(made.repartition(1 + made.count() // ROWS_A_TASK, "host", "shape", "salt").groupBy("host", "shape", "salt").applyInPandas(join, schema))
     most = made.groupBy("host").agg(F.count_distinct("shape").alias("n")).agg(F.max("n")).first()[0] or 0
     # A function of the data alone: as many levels as bring the shapes of the largest host down to one.
     parts = 1
@@ -653,8 +737,12 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     while True:
         made = made.withColumn("shape", F.pmod("shape", F.lit(parts))).groupBy("host", "shape").applyInPandas(join, schema)
         if parts == 1:
-            return made.select("host", marked("wrapper").alias("wrapper"))
+            break
         parts //= at_once
+    made = cut(made.select("host", "wrapper"))
+    counts = count_texts(some, made.select("host", by_number("wrapper").alias("wrapper")), broadcast_bytes)
+    counts = counts.groupBy("host").agg(F.to_json(F.collect_list(F.struct("slot", "agree", "pages"))).alias("counts"))
+    return made.join(counts, "host", "left").select("host", marked("wrapper", "counts").alias("wrapper"))
 
 
 def _rows(found: dict[tuple[str, int], list]) -> pd.DataFrame:
@@ -671,9 +759,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     shapes of equally many pages go by the shape's text. Columns of other names
     play no part.
     """
-    wrappers = cut(infer_wrappers(pages, url_col, html_col))
-    if (wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= broadcast_bytes:
-        wrappers = F.broadcast(wrappers)
+    wrappers = cut(infer_wrappers(pages, url_col, html_col, broadcast_bytes=broadcast_bytes))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(url_col).alias("host"))
 
     @F.pandas_udf("string")
@@ -686,5 +772,5 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             out.append(main_text(page, known.get(w)))
         return pd.Series(out, dtype=object)
 
-    made = rows.join(wrappers, "host", "left").select("page_id", "url", extract("html", "wrapper").alias("text"))
+    made = _joined(rows, wrappers, broadcast_bytes).select("page_id", "url", extract("html", "wrapper").alias("text"))
     return made.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -586,6 +586,28 @@ def test_wrappers_decide_without_marks(spark):
     assert levels[0] == levels[1]
 
 
+def test_slots_are_judged_by_all_pages_of_a_host(spark):
+    """What the 16 pages of least hash say of a slot is not what all 80 say; copies count once."""
+    page = lambda i, note: f"<body><div><h1>Head {i}</h1><p>The story numbered {i} is told here in one paragraph that is long enough, {i * 7919}.</p><div>{note}</div></div></body>"
+    order = sorted(range(80), key=lambda i: html_wrappers.page_number(html_wrappers.tokens(page(i, ""))))
+    first = set(order[:16])
+    made = {}
+    for i in range(80):
+        made[i] = "mostly.example", i, f"Only here {i}" if i in first else "All rights are kept"
+        made[100 + i] = "rarely.example", i, "All rights are kept" if i in first else f"Only here {i}"
+    for k in range(200):
+        made[1000 + k] = "rarely.example", order[0], "All rights are kept"
+    df = spark.createDataFrame([(k, f"http://{host}/", page(i, note)) for k, (host, i, note) in made.items()], "page_id long, url string, html string")
+    texts = [{r["page_id"]: r["text"].split("\n\n") for r in html_wrappers.extract_main_text(df.repartition(n), broadcast_bytes=b).collect()} for n, b in ((1, 0), (7, 1 << 20))]
+    assert texts[0] == texts[1]
+    for k, (host, i, note) in made.items():
+        assert (note in texts[0][k]) == (host == "rarely.example") and texts[0][k][0] == f"Head {i}", k
+    pages = spark.createDataFrame([("h", page(i, "same" if i % 4 else f"own {i}" if i else "")) for i in [*range(40), 1, 1]], "host string, html string")
+    wrapper = html_wrappers.merge_shapes([html_wrappers.page_expression(html_wrappers.tokens(page(i, note)), False) for i, note in ((1, "x"), (2, ""))])
+    wrappers = spark.createDataFrame([("h", json.dumps(html_wrappers.numbered(wrapper)))], "host string, wrapper string")
+    assert sorted(map(tuple, html_wrappers.count_texts(pages, wrappers).collect())) == [("h", 0, 40, 40), ("h", 1, 1, 40), ("h", 2, 1, 40), ("h", 3, 30, 39)]
+
+
 def test_wrappers_drop_template_text_in_articles():
     page = lambda i: f"<body><article><h1>Daily news</h1><p>Story {i} is told here in a paragraph.</p><div>Subscribe to read it to the end</div></article></body>"
     wrapper = html_wrappers.decide(html_wrappers.merge_shapes([html_wrappers.page_expression(html_wrappers.tokens(page(i))) for i in range(40)]))
