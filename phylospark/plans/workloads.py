@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylospark.operators import groups, hits, sets, sweeps
+from phylospark.shared import cut
 
 
 def shared_genes(forward: DataFrame, backward: DataFrame, evalue: float) -> DataFrame:
@@ -23,7 +24,7 @@ def reciprocal_genes(forward: DataFrame, backward: DataFrame, evalue: float) ->
 
 def spanning_families(rb_hits: DataFrame, more_hits: DataFrame, proteomes: DataFrame, least: float) -> DataFrame:
     """W2: families built from hits, kept if they span enough proteomes."""
-    families = groups.greencut2_families(rb_hits, more_hits).select(F.col("family").alias("group_id"), "member")
+    families = cut(groups.greencut2_families(rb_hits, more_hits).select(F.col("family").alias("group_id"), "member"))
     return groups.ortholog_in_min(least, families, proteomes)
 
 

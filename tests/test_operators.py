@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from phylospark.functions import numbers, sequences
 from phylospark.operators import components, groups, hits, ids, search, sets, sweeps
+from phylospark.plans import workloads
 from phylospark.sources import readers, writers
 
 
@@ -97,6 +98,17 @@ def test_families(spark):
     assert rows == {("a", "a", True), ("a", "c", True), ("a", "x", False), ("b", "b", True), ("b", "y", False), ("b", "z", False)}
 
 
+def test_steps_of_spanning_families_read_what_earlier_ones_wrote(spark):
+    """No step joins again what the ones before have joined, so a task's sorts are those of one step."""
+    rb = spark.createDataFrame([("a", "b"), ("b", "x"), ("c", "y"), ("d", "d"), ("e", "f"), ("f", "c")], "queryid string, subjectid string")
+    more = spark.createDataFrame([("b", "z"), ("c", "z"), ("q", "w")], "queryid string, subjectid string")
+    proteomes = spark.createDataFrame([("one", "a"), ("two", "z"), ("one", "c"), ("one", "e"), ("two", "d")], "list_id string, value string")
+    found = workloads.spanning_families(rb, more, proteomes, 2)
+    assert sorted(map(tuple, found.collect())) == [("a", "a"), ("a", "b"), ("a", "x"), ("a", "z")] + [("c", m) for m in "cefyz"]
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(found) <= 3 and joins(groups.greencut2_families(rb, more)) == 1
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
