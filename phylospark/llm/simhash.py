@@ -74,16 +74,20 @@ def _half(fp, half: int):
 
 
 def _index(distinct: DataFrame) -> DataFrame:
-    """``fp, sig`` for every signature of every fingerprint."""
-    parts = [distinct.select("fp", F.explode(_variants(_half(F.col("fp"), half), half, 32)).alias("sig")) for half in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    """``fp, sig`` for every signature of every fingerprint, made anew where it is read; fingerprints are dealt first, so no task counts too many."""
+    dealt = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    return dealt.select("fp", F.explode(F.concat(*[_variants(_half(F.col("fp"), half), half, 32) for half in (0, 1)])).alias("sig"))
 
 
 def _refined(index: DataFrame) -> DataFrame:
-    """Rows with signatures ``finer`` of the other half: one 16-bit quarter of it differs by at most one bit too."""
+    """Rows with signatures ``finer`` of the other half: one 16-bit quarter of it differs by at most one bit too.
+
+    One list holds those of both quarters: joins of a union's rows may fail in
+    Spark 4.1, which counts its partitions as those of one side.
+    """
     other = F.when(F.shiftright("sig", 38) == 0, _half(F.col("fp"), 1)).otherwise(_half(F.col("fp"), 0))
-    parts = [index.withColumn("finer", F.explode(_variants(F.shiftrightunsigned(other, 16 * quarter).bitwiseAND(F.lit(0xFFFF)), quarter, 16))) for quarter in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    quarters = [_variants(F.shiftrightunsigned(other, 16 * quarter).bitwiseAND(F.lit(0xFFFF)), quarter, 16) for quarter in (0, 1)]
+    return index.withColumn("finer", F.explode(F.concat(*quarters)))
 
 
 def _meet(index: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -105,22 +109,21 @@ def _unsettled(index: DataFrame, keys: list[str]) -> DataFrame:
 
 def near_components(distinct: DataFrame, most: int = 3, common: int = COMMON) -> DataFrame:
     """``node, component`` of the distinct fingerprints (``fp``) that another one is near, by at most ``most`` <= 3 bits, over any number of links."""
-    index, keys = cut(_index(distinct)), ["sig"]
+    index, keys = _index(distinct), ["sig"]
     sums = cut(index.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("first")).where("n > 1"))
     shared = cut(index.join(_sized(sums), keys))
     links = shared.where((F.col("fp") != F.col("first")) & _near("fp", "first", most)).select(F.col("fp").alias("src"), F.col("first").alias("dst"))
     settled = cut(connected_components(links))
     labelled = shared.join(settled.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     open_ = cut(_unsettled(labelled, keys))
-    pairs = _meet(open_.where(F.col("n") <= common), keys, most)
+    pairs = cut(_meet(open_.where(F.col("n") <= common), keys, most))
     many = open_.where(F.col("n") > common)
     if many.limit(1).count():
         finer = [*keys, "finer"]
-        pairs = pairs.unionByName(_meet(_unsettled(_refined(many), finer), finer, most))
-    pairs = cut(pairs)
+        pairs = pairs.unionByName(cut(_meet(_unsettled(_refined(many), finer), finer, most)))
     if not pairs.limit(1).count():
         return settled
-    joined = connected_components(pairs).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    joined = cut(connected_components(pairs).select(F.col("node").alias("component"), F.col("component").alias("whole")))
     inside = settled.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     # Fingerprints that no first link holds are components of their own; those joined now get a label too.
     return inside.unionByName(joined.select(F.col("component").alias("node"), F.col("whole").alias("component")).join(inside, "node", "left_anti"))

@@ -211,6 +211,26 @@ def test_near_components_are_those_of_all_pairs(spark, common):
     assert dict(map(tuple, found)) == near_labels(signed) and len(found) == len({r["node"] for r in found})
 
 
+def test_near_components_without_broadcasts(spark):
+    """As in large tables: common signatures are refined and every join is a shuffled one."""
+    rng = random.Random(7)
+    base = rng.getrandbits(64)
+    marks = {base}
+    for _ in range(150):
+        x = base
+        for bit in rng.sample(range(64), rng.randint(1, 7)):
+            x ^= 1 << bit
+        marks.add(x)
+    signed = sorted(m - 2**64 if m >> 63 else m for m in marks)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = simhash.near_components(spark.createDataFrame([(m,) for m in signed], "fp long"), common=2).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert dict(map(tuple, found)) == near_labels(signed) and len(found) == len({r["node"] for r in found})
+
+
 def test_a_dense_ball_makes_few_links(spark, monkeypatch):
     rng = random.Random(8)
     center, marks = rng.getrandbits(63), set()
