@@ -3,6 +3,7 @@
 import random
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +231,25 @@ def test_index_rows_hold_many_kmers(spark, monkeypatch, alphabet, k, block):
         assert sorted(map(tuple, found)) == sorted(map(tuple, q.join(other, "kmer").select("queryid", "subjectid", "kmer", "qpos", "spos").collect())) and found
         assert "steps" not in index.columns
         spark.sql(f"DROP TABLE {name}")
+
+
+@pytest.mark.parametrize("alphabet, k, size", [("dna", 14, 1.3), ("dna", 9, None), ("dna", 5, None), ("dna", 35, None), ("dna", 39, None), ("protein", 5, None), ("protein", 17, None)])
+@pytest.mark.parametrize("compared", [0, 10**9])
+def test_index_entries_tell_all_kmers(monkeypatch, alphabet, k, size, compared):
+    monkeypatch.setattr(search, "COMPARED", compared)
+    rng, letters = random.Random(k), search.letters_of(alphabet)
+    some = "".join(rng.choice(letters[:2]) for _ in range(300))
+    whole = "?".join([some, "".join(rng.choice(letters) for _ in range(3000)), some[40:90], "N" + some[:60] + "N" + some[10:80], letters[0] * 70, "", letters[:2]])
+    at, first, rest = search._entries(whole.encode(), k, letters)
+    _, step, kind = search._layout(k, letters)
+    assert size is None or len(at) * (kind.itemsize + 3) < size * len(whole)
+    rows = {h: rest[first == h].astype(kind).tobytes() + at[first == h].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes() for h in set(first.tolist())}
+    kmers = sorted({whole[i : i + k] for i in range(len(whole) - k + 1)})
+    heads, rests = search._lookups(kmers, letters)
+    found = []
+    for i, kmer in enumerate(kmers):
+        for o in range(step):
+            if heads[i, o] in rows:
+                got = search._found(k, letters, rests[i, o : o + 1], np.array([o]), rows[heads[i, o]])
+                found += [(kmer, int(x)) for x in got]
+    assert sorted(found) == sorted((whole[i : i + k], i) for i in range(len(whole) - k + 1) if set(whole[i : i + k]) <= set(letters))
