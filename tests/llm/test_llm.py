@@ -231,6 +231,27 @@ def test_near_components_without_broadcasts(spark):
     assert dict(map(tuple, found)) == near_labels(signed) and len(found) == len({r["node"] for r in found})
 
 
+def test_the_pipelines_near_copies_without_broadcasts(spark, monkeypatch):
+    """Stage 3 where common signatures are refined by shuffled joins: one document of each group stays, the least id."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(150)]
+    texts = {i: " ".join(w if rng.random() > i % 4 / 150 else "other" for w in words) for i in range(40)}
+    marks = {i: brute_fingerprint(t) for i, t in texts.items()}
+    near = near_labels(sorted(set(marks.values())))
+    want = {}
+    for i in sorted(texts):
+        want.setdefault(near.get(marks[i], marks[i]), i)
+    plain = simhash.near_components
+    monkeypatch.setattr(simhash, "near_components", lambda distinct, most, common: plain(distinct, most, 2))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = [r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(kept) == sorted(want.values())
+
+
 def test_a_dense_ball_makes_few_links(spark, monkeypatch):
     rng = random.Random(8)
     center, marks = rng.getrandbits(63), set()
